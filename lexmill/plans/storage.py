@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side of two or three long columns may be broadcast (some 32 MB).
 BROADCAST_ROWS = 1_000_000
+_own: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; only where it is unset (tests on one machine) a new one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lexmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if not found and not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="lexmill-"))
+    return found or _own[0]
 
 
 def materialize(df: DataFrame) -> DataFrame:
