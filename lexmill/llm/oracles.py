@@ -52,14 +52,14 @@ FROM a LEFT JOIN more USING (conv_id) LEFT JOIN sys USING (conv_id)
 """
 
 OP9 = rf"""
-WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS at FROM documents),
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
 n AS (SELECT *, trim(regexp_replace(lower(line), '{_SPACE}+', ' ', 'g'), ' ') AS norm FROM l),
-k AS (SELECT doc_id, at AS at_first, lead(at, 2) OVER w AS at_last, norm || chr(10) || lead(norm) OVER w || chr(10) || lead(norm, 2) OVER w AS h FROM n WHERE norm <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY at)),
-win AS (SELECT doc_id, at_first, at_last, h FROM k WHERE at_last IS NOT NULL UNION ALL SELECT doc_id, at, at, norm FROM n WHERE len(norm) - len(replace(norm, ' ', '')) + 1 > 50),
+k AS (SELECT doc_id, pos AS at_first, lead(pos, 2) OVER w AS at_last, norm || chr(10) || lead(norm) OVER w || chr(10) || lead(norm, 2) OVER w AS h FROM n WHERE norm <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+win AS (SELECT doc_id, at_first, at_last, h FROM k WHERE at_last IS NOT NULL UNION ALL SELECT doc_id, pos, pos, norm FROM n WHERE len(norm) - len(replace(norm, ' ', '')) + 1 > 50),
 f AS (SELECT *, first_value(doc_id) OVER o AS kept_doc, first_value(at_last) OVER o AS kept_last, row_number() OVER o AS nth FROM win WINDOW o AS (PARTITION BY h ORDER BY doc_id, at_first)),
-c AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_id = kept_doc THEN greatest(at_first, kept_last + 1) ELSE at_first END, at_last + 1)) AS at FROM f WHERE nth > 1)
-SELECT l.doc_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.at) FILTER (WHERE c.at IS NULL), '') AS text, count(*) AS n_lines, count(c.at) AS n_removed
-FROM l LEFT JOIN c ON c.doc_id = l.doc_id AND c.at = l.at GROUP BY l.doc_id
+c AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_id = kept_doc THEN greatest(at_first, kept_last + 1) ELSE at_first END, at_last + 1)) AS pos FROM f WHERE nth > 1)
+SELECT l.doc_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE c.pos IS NULL), '') AS text, count(*) AS n_lines, count(c.pos) AS n_removed
+FROM l LEFT JOIN c ON c.doc_id = l.doc_id AND c.pos = l.pos GROUP BY l.doc_id
 """
 
 ORACLES = {"op4_embedding_near_dedup": OP4, "op6_line_frequency_rules": OP6, "op7_chat_formatting": OP7, "op9_line_window_dedup": OP9}
