@@ -2,9 +2,10 @@
 
 Both dictionaries are trained on the labelled sample. They share what is common to all text, a dictionary trained on
 ordinary windows; the toxic one goes on with the words that mark the toxic class, the ordinary one with as much
-ordinary text. A window of a document is compressed with either, and the difference of the two lengths says to which
-class it is nearer. The differences of all windows of a document are summed up in a few figures, which a logistic
-curve fitted on the sample turns into a score.
+ordinary text. A window of a document is compressed with either, at two levels (a quick and a thorough search for
+matches find different ones), and the difference of the two lengths says to which class it is nearer. The differences
+of all windows of a document are summed up in a few figures, and a logistic curve over them, fitted on the part of
+the sample that the dictionaries have not seen, sets the thresholds.
 """
 
 import random
@@ -21,8 +22,9 @@ from lexmill.llm.labelled import labelled_sample, remainder
 #: Labelled rows the model is fitted on at most.
 SAMPLE_ROWS = 6000
 WINDOW = 64
-LEVEL = 3
+LEVELS = (3, 9)
 SHARED_BYTES = 112_000
+FIGURES = 12
 MARK_WORDS = 100
 
 
@@ -62,28 +64,39 @@ class ToxicityModel:
         own = b" ".join(marks[::-1])
         other = b" ".join(some[20_000:21_000] or some)[: len(own)]
         self.dictionaries = [shared + b" " + x + b" " for x in (own, other)]
-        self.weights, self.mean, self.scale = np.zeros(6), np.zeros(5), np.ones(5)
+        n = FIGURES * len(LEVELS)
+        self.weights, self.mean, self.scale = np.zeros(n + 1), np.zeros(n), np.ones(n)
         y = np.array([k for _, k in second], float)
         if len(set(y.tolist())) == 2:
             self._fit(self.features([t for t, _ in second]), y)
 
     def compressors(self):
+        """For each level the compressors with the toxic and the ordinary dictionary."""
         out = []
-        for x in self.dictionaries:
-            d = zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+        for level in LEVELS:
+            pair = []
+            for x in self.dictionaries:
+                d = zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(level=level)
+                pair.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+            out.append(pair)
         return out
 
     def features(self, texts, tools=None) -> np.ndarray:
-        """Per text: greatest difference, mean of the three greatest, mean, share of large ones, log of their number."""
-        toxic, ordinary = tools or self.compressors()
-        out = np.zeros((len(texts), 5))
+        """Per text and level: the greatest differences, means, and how many windows have large ones."""
+        tools = tools or self.compressors()
+        out = np.zeros((len(texts), len(LEVELS), FIGURES))
         for i, t in enumerate(texts):
-            d = np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(t)] or [0])
-            top = np.sort(d)[-3:]
-            out[i] = top[-1], top.mean(), d.mean(), (d >= 4).mean(), np.log1p((d >= 4).sum())
-        return out
+            parts = windows(t) or [b""]
+            for k, (toxic, ordinary) in enumerate(tools):
+                d = np.array([len(ordinary(w)) - len(toxic(w)) for w in parts])
+                top = np.zeros(5)
+                top[: len(d)] = np.sort(d)[::-1][:5]
+                out[i, k] = (
+                    *top[[0, 1, 2, 4]], top[:4].mean(), d.mean(), np.maximum(d, 0).mean(), (d >= 3).mean(),
+                    np.log1p((d >= 2).sum()), np.log1p((d >= 3).sum()), np.log1p((d >= 5).sum()), np.sqrt(np.maximum(d - 1, 0).sum()),
+                )
+        return out.reshape(len(texts), -1)
 
     def _fit(self, x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> None:
         """Logistic regression by Newton steps; the classes count as in nature, where toxic text is rare."""
@@ -91,7 +104,7 @@ class ToxicityModel:
         a = np.c_[(x - self.mean) / self.scale, np.ones(len(x))]
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(a @ self.weights, -30, 30)))
-            h = (a * (p * (1 - p))[:, None]).T @ a + ridge * len(x) * np.eye(6)
+            h = (a * (p * (1 - p))[:, None]).T @ a + ridge * len(x) * np.eye(a.shape[1])
             self.weights += np.linalg.solve(h, a.T @ (y - p) - ridge * len(x) * self.weights)
 
     def score(self, texts, tools=None) -> np.ndarray:
@@ -104,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Toxicity
     return ToxicityModel(labelled_sample(docs, labels, "toxic", rows, remainder("doc_id", 5) != 0))
 
 
-_tools: dict[int, list] = {}
+_tools: dict[int, list] = {}  # one model a worker
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = 0.5) -> DataFrame:
