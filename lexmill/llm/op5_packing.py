@@ -62,9 +62,9 @@ def sweep(runs: dict[int, int], room: int) -> np.ndarray:
                 gap = size + (over & -over).bit_length() - 1
                 first, n = gaps[gap].pop()
             else:
-                gap, first, n = room, opened, -(-left // (room // size))
+                gap, first, n = room, opened, max(1, left // (room // size))
                 opened += n
-            take = min(n, left)
+            take = min(n, max(1, left // (gap // size)))  # gaps that are filled up before others are touched
             out.append((size, rank, take, first, room - gap))
             if take < n:
                 gaps[gap].append((first + take, n - take))
