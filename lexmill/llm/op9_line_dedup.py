@@ -77,27 +77,32 @@ def covered_lines(docs: DataFrame) -> DataFrame:
     return runs.select("row", F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"]))))).alias("covered"))
 
 
+def _deduped(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with text less its repeated lines, and _n_lines and _n_removed."""
+    plain = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")))
+    covered = materialize(covered_lines(plain.select("doc_id", "text", F.col("_row").alias("row"))))
+    lines = _lines(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    out = plain.join(covered.select(F.col("row").alias("_row"), F.col("covered").alias("_covered")).hint("shuffle_hash"), "_row", "left")
+    return out.select(
+        *[F.when(F.col("_covered").isNull(), F.col("text").cast("string")).otherwise(_without(lines, F.col("_covered"))).alias("text") if c == "text" else F.col(c) for c in docs.columns],
+        F.size(lines).cast("long").alias("_n_lines"),
+        F.coalesce(F.size("_covered"), F.lit(0)).cast("long").alias("_n_removed"),
+    )
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs, all columns, with text less its repeated lines, and n_lines and n_removed (long).
 
     Null and empty texts stay as they are. Rows that repeat both doc_id and text are one document to this operator:
     the second is no later occurrence. Rows without a doc_id come last in the order of occurrences. An empty table
-    gives an empty table; columns of docs named n_lines, n_removed, row or covered are replaced.
+    gives an empty table; columns of docs named n_lines or n_removed are replaced.
     """
-    plain = docs.drop("n_lines", "n_removed", "row", "covered")
-    plain = plain.withColumn("row", F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")))
-    covered = materialize(covered_lines(plain.select("doc_id", "text", "row")))
-    lines = _lines(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    out = plain.join(covered.hint("shuffle_hash"), "row", "left")
-    return out.select(
-        *[F.when(F.col("covered").isNull(), F.col("text").cast("string")).otherwise(_without(lines, F.col("covered"))).alias("text") if c == "text" else F.col(c) for c in plain.columns if c != "row"],
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("n_removed"),
-    )
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return _deduped(docs).select(*kept, F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs less repeated lines, without the rows of which no word is left; the columns are those of docs."""
-    found = dedup_lines(docs)
-    empty = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    found = _deduped(docs)
+    empty = (F.col("_n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return found.filter(~F.coalesce(empty, F.lit(False))).select(*docs.columns)
