@@ -6,7 +6,8 @@ probability 0.83; 30 tables of 12 hashes therefore bring 97 % of pairs at the ve
 0.97 over 99.8 %. Vectors of one bucket are compared exactly in double precision.
 
 Buckets, and afterwards the components that links make, are worked in blocks of bounded size, a large one by pairs of
-blocks; only spanning forests and counts leave a block. Counting links within components also finds pairs that no
+blocks; only spanning forests and counts leave a block. Equal vectors are one row with a count before any of this, so
+a group of copies, however large, is one vector to compare. Counting links within components also finds pairs that no
 table brought together.
 """
 
@@ -92,8 +93,8 @@ def _matrix(units) -> np.ndarray:
     return np.frombuffer(b"".join(units), np.float64).reshape(len(units), -1)
 
 
-def _groups(batches, keys):
-    for rows, starts in sorted_groups(batches, keys, ["own", "vec_id", "unit"], _to_numpy):
+def _groups(batches, keys, columns=("own", "vec_id", "unit")):
+    for rows, starts in sorted_groups(batches, keys, list(columns), _to_numpy):
         for a, b in zip(starts, [*starts[1:], len(rows["vec_id"])], strict=True):
             if b - a > 1 and len({len(u) for u in rows["unit"][a:b]}) == 1:
                 yield {k: v[a:b] for k, v in rows.items()}
@@ -113,14 +114,13 @@ def _forests(threshold: float):
 
 def _counts(threshold: float):
     def run(batches):
-        for g in _groups(batches, ["component", "i", "j"]):
+        for g in _groups(batches, ["component", "i", "j"], ("own", "vec_id", "unit", "copies")):
             x, i, j, own = _matrix(g["unit"]), g["i"][0], g["j"][0], g["own"]
             near = x @ x.T >= threshold
             np.fill_diagonal(near, False)
             if i != j:  # links within one block are counted where i = j
                 near &= own[:, None] != own[None, :]
-            n = near.sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(g["vec_id"]), pa.array(n.astype(np.int64))], ["vec_id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(g["vec_id"]), pa.array(near @ g["copies"])], ["vec_id", "n"])
 
     return run
 
@@ -134,22 +134,30 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, tables: int = 30, ha
     that repeat one, any usable vector counts and each row is returned. An empty table gives an empty table; other
     columns are not read. More hashes a table suit a larger corpus, with more tables to hold the recall.
     """
-    vectors = materialize(_vectors(df).dropDuplicates(["vec_id"]))
-    found = _blocks(_buckets(vectors, tables, hashes, width, seed), ["t", "bucket"])
+    vectors = materialize(_vectors(df).dropDuplicates(["vec_id"]).withColumn("same", F.sha2("unit", 256)))
+    classes = materialize(vectors.groupBy("same", "dims", "unit").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")))
+    units = classes.select("vec_id", "unit", "copies")
+    found = _blocks(_buckets(classes.select("vec_id", "dims", "unit"), tables, hashes, width, seed), ["t", "bucket"])
     ordered = lambda d, keys: d.repartition(*keys).sortWithinPartitions(*keys)
     keys = ["t", "bucket", "i", "j"]
-    edges = ordered(found.join(vectors.select("vec_id", "unit"), "vec_id"), keys).select(*keys, "own", "vec_id", "unit").mapInArrow(_forests(threshold), "src long, dst long")
+    edges = ordered(found.join(units.drop("copies"), "vec_id"), keys).select(*keys, "own", "vec_id", "unit").mapInArrow(_forests(threshold), "src long, dst long")
     parts = materialize(connected_components(edges.distinct()).withColumnRenamed("node", "vec_id"))
     keys = ["component", "i", "j"]
     dealt = _blocks(parts, ["component"])
     links = (
-        ordered(dealt.join(vectors.select("vec_id", "unit"), "vec_id"), keys)
-        .select(*keys, "own", "vec_id", "unit")
+        ordered(dealt.join(units, "vec_id"), keys)
+        .select(*keys, "own", "vec_id", "unit", "copies")
         .mapInArrow(_counts(threshold), "vec_id long, n long")
         .groupBy("vec_id")
         .agg(F.sum("n").alias("n_links"))
     )
-    known = parts.join(links, "vec_id", "left")
+    of_class = (
+        classes.select("same", "vec_id", "copies")
+        .join(parts, "vec_id", "left")
+        .join(links, "vec_id", "left")
+        .select("same", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component"))
+    )
+    known = vectors.select("vec_id", "same").join(of_class, "same").drop("same")
     return (
         df.select(F.col("vec_id").cast("long"))
         .join(known, "vec_id", "left")

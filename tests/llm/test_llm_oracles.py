@@ -73,7 +73,8 @@ def test_odd_vectors(spark):
     rng = np.random.default_rng(0)
     base = rng.standard_normal((40, 16))
     rows = [(i, (base[i % 40] + 0.05 * rng.standard_normal(16)).tolist()) for i in range(200)]
-    rows += [(1000 + i, base[0].tolist()) for i in range(1200)]  # a bucket of more than two blocks
+    rows += [(1000 + i, base[0].tolist()) for i in range(1200)]  # copies, one class
+    rows += [(2500 + i, (base[1] + 0.001 * rng.standard_normal(16)).tolist()) for i in range(1200)]  # a bucket of more than two blocks
     rows += [(5000, None), (5001, []), (5002, [0.0] * 16), (5003, [float("nan")] + [1.0] * 15), (5004, [None] + [1.0] * 15), (5005, [float("inf")] * 16), (5006, [1.0, 2.0])]
     ok = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows if i < 5000]
     x = np.array([v for _, v in ok])
