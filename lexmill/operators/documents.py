@@ -53,9 +53,9 @@ def first_per(df: DataFrame, keys: list[str], *order) -> DataFrame:
 
 def upsert(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Merged rows with `change` new, updated, unchanged or kept; nulls of the new rows overwrite nothing."""
-    both = old.select(key, *columns).alias("o").join(new.select(key, *columns).alias("n"), key, "full_outer")
+    both = old.select(key, *columns, F.lit(True).alias("here")).alias("o").join(new.select(key, *columns, F.lit(True).alias("here")).alias("n"), key, "full_outer")
     merged = {c: F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")) for c in columns}
-    is_new, is_old = F.coalesce(*[F.col(f"o.{c}").isNotNull() for c in columns[:1]]) == F.lit(False), F.col(f"n.{columns[0]}").isNull()
+    is_new, is_old = F.col("o.here").isNull(), F.col("n.here").isNull()
     differs = F.lit(False)
     for c in columns:
         differs = differs | ~merged[c].eqNullSafe(F.col(f"o.{c}"))
@@ -72,12 +72,14 @@ def audit_pairs(turns: DataFrame) -> DataFrame:
     return pairs.select("conv_id", "turn", n.alias("n_source"), m.alias("n_target"), (m < 0.4 * n).alias("short"), (~F.rtrim("answer").rlike(r"[.!?…]$")).alias("cut"), lost.cast("long").alias("numbers_lost"))
 
 
-def ngram_candidates(left: DataFrame, right: DataFrame, n: int = 5, common: int = 1000) -> DataFrame:
+def ngram_candidates(left: DataFrame, right: DataFrame, n: int = 5, common: int | None = None) -> DataFrame:
     """Distinct (left_id, right_id) that share an n-gram of characters; both have (id, title).
 
-    Blocking for fuzzy matching. An n-gram which over `common` rights hold tells nothing and is not joined on.
+    Blocking for fuzzy matching. With `common`, n-grams which more rights hold are not joined on; the default drops
+    none, and adaptive execution splits the hot ones.
     """
     grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))))
     a, b = left.select(F.col("id").alias("left_id"), grams(F.col("title")).alias("gram")), right.select(F.col("id").alias("right_id"), grams(F.col("title")).alias("gram"))
-    rare = b.groupBy("gram").count().filter(F.col("count") <= common).select("gram")
-    return a.join(b.join(rare, "gram"), "gram").select("left_id", "right_id").distinct()
+    if common is not None:
+        b = b.join(b.groupBy("gram").count().filter(F.col("count") <= common).select("gram"), "gram")
+    return a.join(b, "gram").select("left_id", "right_id").distinct()
