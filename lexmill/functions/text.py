@@ -1,5 +1,6 @@
 """Text, date, number and classification expressions; all stay in the JVM."""
 
+import re
 from functools import reduce
 from operator import and_, or_
 
@@ -97,3 +98,36 @@ def cosine(a: Column, b: Column) -> Column:
 def content_hash(*columns: str) -> Column:
     """sha256 over columns, with a mark of its own for null."""
     return F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]), 256)
+
+
+def masked_labels(x: Column, names: dict[str, str]) -> dict[str, Column]:
+    """label -> whether its name occurs in x other than within a longer name of the same list."""
+    text = F.coalesce(x, F.lit(""))
+    out = {}
+    for label, name in names.items():
+        bare = text
+        for longer in sorted((n for n in names.values() if name in n and n != name), key=len, reverse=True):
+            bare = F.replace(bare, F.lit(longer), F.lit(""))
+        out[label] = F.contains(bare, F.lit(name))
+    return out
+
+
+def number_references(x: Column, issuers: list[str]) -> Column:
+    """The distinct document numbers of the form issuer〔year〕n号 in a text, in order."""
+    form = f"({'|'.join(issuers)})〔[0-9]{{4}}〕[0-9]+号"
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(form), F.lit(0)))
+
+
+def page(x: Column, offset: int, size: int) -> Column:
+    """(text, truncated, next_offset) of one page of a text; next_offset is null on the last."""
+    more = F.length(F.coalesce(x, F.lit(""))) > offset + size
+    return F.struct(F.substring(F.coalesce(x, F.lit("")), offset + 1, size).alias("text"), more.alias("truncated"), F.when(more, F.lit(offset + size)).alias("next_offset"))
+
+
+def highlight(x: Column, terms: list[str]) -> Column:
+    """Markup-safe text with a mark around every hit of a term."""
+    out = F.coalesce(x, F.lit(""))
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    form = "|".join(re.escape(t) for t in sorted(terms, key=len, reverse=True))
+    return F.regexp_replace(out, f"(?i)({form})", "<mark>$1</mark>")

@@ -83,3 +83,12 @@ def ngram_candidates(left: DataFrame, right: DataFrame, n: int = 5, common: int
     if common is not None:
         b = b.join(b.groupBy("gram").count().filter(F.col("count") <= common).select("gram"), "gram")
     return a.join(b, "gram").select("left_id", "right_id").distinct()
+
+
+def merge_spans(spans: DataFrame, keys: list[str], first: str, last: str) -> DataFrame:
+    """Spans of each key that touch or overlap, merged, with the number of spans in each."""
+    order = Window.partitionBy(*keys).orderBy(first, last)
+    before = F.max(last).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(before >= F.col(first), 0).otherwise(1)
+    rows = spans.withColumn("_opens", opens).withColumn("_island", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(*keys, "_island").agg(F.min(first).alias(first), F.max(last).alias(last), F.count("*").alias("n")).drop("_island")

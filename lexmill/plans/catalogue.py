@@ -406,3 +406,139 @@ def fuzzy_title_match(s, d):
     left = table(s, d, "benchmark").select(F.col("item_id").alias("id"), F.substring(F.trim("text"), 1, 40).alias("title"))
     right = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.substring(T.title_of(F.col("text")), 1, 60).alias("title"))
     return fuzzy_match(left, right)
+
+
+_MASKED = [("土地增值税清算", "土地增值税"), ("增值税与土地增值税", "增值税"), ("关于增值税优惠", None), ("", None), (None, None)]
+
+
+@query("""SELECT raw, contains(coalesce(raw, ''), '土地增值税') AS land, contains(replace(coalesce(raw, ''), '土地增值税', ''), '增值税') AS vat
+FROM (VALUES ('土地增值税清算'), ('增值税与土地增值税'), ('关于增值税优惠'), (''), (NULL)) t(raw)""")
+def tax_type_masking(s, d):
+    rows = s.createDataFrame(_MASKED, "raw string, note string")
+    return rows.select("raw", *[c.alias(n) for n, c in T.masked_labels(F.col("raw"), {"land": "土地增值税", "vat": "增值税"}).items()])
+
+
+_NUMBERS = [("依据（财税〔2016〕36号）与国发〔2014〕5号执行",), ("财税〔2016〕36号、财税〔2016〕36号",), ("无文号",), (None,)]
+
+
+@query(r"""SELECT raw, no, regexp_extract(no, '〔([0-9]{4})〕', 1)::INT AS year FROM (SELECT raw, unnest(list_distinct(regexp_extract_all(coalesce(raw, ''), '(财税|国发|发改投资)〔[0-9]{4}〕[0-9]+号'))) AS no
+FROM (VALUES ('依据（财税〔2016〕36号）与国发〔2014〕5号执行'), ('财税〔2016〕36号、财税〔2016〕36号'), ('无文号'), (NULL)) t(raw))""")
+def number_references(s, d):
+    refs = s.createDataFrame(_NUMBERS, "raw string").select("raw", F.explode(T.number_references(F.col("raw"), ["财税", "国发", "发改投资"])).alias("no"))
+    return refs.withColumn("year", F.regexp_extract("no", "〔([0-9]{4})〕", 1).cast("int"))
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderdate::DATE AS a, o_orderdate::DATE + 30 AS b FROM orders), m AS (SELECT *, max(b) OVER (PARTITION BY o_custkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o),
+i AS (SELECT *, sum(CASE WHEN before >= a THEN 0 ELSE 1 END) OVER (PARTITION BY o_custkey ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT o_custkey, first_day, last_day, n FROM (SELECT o_custkey, island, min(a) AS first_day, max(b) AS last_day, count(*) AS n FROM i GROUP BY 1, 2)""")
+def merged_spans(s, d):
+    """Overlapping 30-day spans of each customer's orders as merged spans."""
+    a = F.to_date("o_orderdate")
+    spans = table(s, d, "orders").select("o_custkey", a.alias("first_day"), F.date_add(a, 30).alias("last_day"))
+    return D.merge_spans(spans, ["o_custkey"], "first_day", "last_day")
+
+
+@query("""SELECT w.term, count(*) FILTER (WHERE contains(lower(d.text), w.term)) AS n_docs, coalesce(sum((len(lower(d.text)) - len(replace(lower(d.text), w.term, ''))) // len(w.term)), 0)::BIGINT AS n_uses,
+count(*) FILTER (WHERE contains(lower(d.text), w.term)) * 100 // greatest(count(*), 1) AS pct FROM (VALUES ('license'), ('licence'), ('ation'), ('zzzz')) w(term), documents d GROUP BY 1""")
+def variant_coverage(s, d):
+    """Coverage and uses of each variant, in one pass over the texts."""
+    terms = ["license", "licence", "ation", "zzzz"]
+    each = [F.struct(F.lit(t).alias("term"), F.count_if(F.contains(F.lower("text"), F.lit(t))).alias("n_docs"), F.coalesce(F.sum(T.occurrences(F.col("text"), t).cast("long")), F.lit(0)).alias("n_uses"), F.count("*").alias("n")) for t in terms]
+    return table(s, d, "documents").agg(F.array(*each).alias("v")).select(F.inline("v")).select("term", "n_docs", "n_uses", F.expr("n_docs * 100 div greatest(n, 1)").alias("pct"))
+
+
+@query("""SELECT conv_id, CASE max(CASE WHEN text IS NULL OR len(text) < 20 THEN 2 WHEN len(text) > 400 THEN 1 ELSE 0 END) WHEN 2 THEN 'issue' WHEN 1 THEN 'unsure' ELSE 'ok' END AS verdict, count(*) AS n_chunks FROM conversations GROUP BY 1""")
+def verdict_merge(s, d):
+    """The worst verdict of a conversation's parts: issue over unsure over ok."""
+    worst = F.max(F.when(F.col("text").isNull() | (F.length("text") < 20), 2).when(F.length("text") > 400, 1).otherwise(0))
+    rows = table(s, d, "conversations").groupBy("conv_id").agg(worst.alias("w"), F.count("*").alias("n_chunks"))
+    return rows.select("conv_id", F.when(F.col("w") == 2, "issue").when(F.col("w") == 1, "unsure").otherwise("ok").alias("verdict"), "n_chunks")
+
+
+@query("""WITH e AS (SELECT event_type, ts::DATE AS day FROM events GROUP BY 1, 2), l AS (SELECT event_type, day, day - lag(day) OVER (PARTITION BY event_type ORDER BY day) AS gap FROM e)
+SELECT event_type, max(day) AS last_day, (DATE '2024-02-01' - max(day))::BIGINT AS days_since, coalesce(max(gap), 0)::BIGINT AS longest_gap, least((DATE '2024-02-01' - max(day)) + 7, 90)::BIGINT AS catch_up FROM l GROUP BY 1""")
+def success_gaps(s, d):
+    """Days since the last success at a given day, the longest gap, and the catch-up window (gap and 7, at most 90)."""
+    days = table(s, d, "events").select("event_type", F.to_date("ts").alias("day")).distinct()
+    gap = F.date_diff("day", F.lag("day").over(Window.partitionBy("event_type").orderBy("day")))
+    last = days.withColumn("gap", gap).groupBy("event_type").agg(F.max("day").alias("last_day"), F.coalesce(F.max("gap"), F.lit(0)).cast("long").alias("longest_gap"))
+    since = F.date_diff(F.lit("2024-02-01").cast("date"), "last_day").cast("long")
+    return last.select("event_type", "last_day", since.alias("days_since"), "longest_gap", F.least(since + 7, F.lit(90)).alias("catch_up"))
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE (n_chars IS NULL OR n_chars >= 500) AND (lang IS NULL OR lang NOT IN ('de', 'fr'))")
+def null_tolerant_range(s, d):
+    docs = table(s, d, "documents").select("doc_id", "n_chars", "lang")
+    return docs.filter((F.col("n_chars").isNull() | (F.col("n_chars") >= 500)) & (F.col("lang").isNull() | ~F.col("lang").isin("de", "fr"))).drop("lang")
+
+
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+def clean_set_difference(s, d):
+    return table(s, d, "documents").select("doc_id").subtract(table(s, d, "labels").select("doc_id"))
+
+
+@query("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
+def set_intersection(s, d):
+    return table(s, d, "documents").select("doc_id").intersect(table(s, d, "labels").select("doc_id"))
+
+
+@query("""SELECT o_custkey, o_orderkey, days_left, days_left BETWEEN 0 AND 3 AS urgent FROM (SELECT o_custkey, o_orderkey, (DATE '1997-01-01' - o_orderdate::DATE)::BIGINT AS days_left,
+row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS nth FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01') WHERE nth = 1""")
+def due_items(s, d):
+    """The item next to the due day for each key, with its days left and the urgent flag."""
+    rows = table(s, d, "orders").filter(F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz"))
+    first = rows.groupBy("o_custkey").agg(F.max_by(F.struct("o_orderkey", "o_orderdate"), F.struct("o_orderdate", -F.col("o_orderkey"))).alias("m"))
+    left = F.date_diff(F.lit("1997-01-01").cast("date"), F.to_date("m.o_orderdate")).cast("long")
+    return first.select("o_custkey", "m.o_orderkey", left.alias("days_left"), left.between(0, 3).alias("urgent"))
+
+
+@query("""SELECT doc_id, sha256(substring(coalesce(text, ''), 301, 1000)) AS page_hash, len(coalesce(text, '')) > 1300 AS truncated, CASE WHEN len(coalesce(text, '')) > 1300 THEN 1300 END AS next_offset FROM documents""")
+def content_page(s, d):
+    """One page of each text: 1,000 characters from offset 300."""
+    page = T.page(F.col("text"), 300, 1000)
+    return table(s, d, "documents").select("doc_id", page.alias("p")).select("doc_id", F.sha2("p.text", 256).alias("page_hash"), "p.truncated", "p.next_offset")
+
+
+@query(r"""SELECT item_id, regexp_replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?i)(license|ation|the)', '<mark>\1</mark>', 'g') AS marked FROM benchmark""")
+def highlight_terms(s, d):
+    return table(s, d, "benchmark").select("item_id", T.highlight(F.col("text"), ["license", "ation", "the"]).alias("marked"))
+
+
+@query("""SELECT event_id, k, least(greatest(k, 0), 5) AS score FROM (SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""")
+def json_scores(s, d):
+    """A number out of lenient JSON, clamped to 0..5."""
+    k = F.get_json_object("props", "$.k").try_cast("long")
+    return table(s, d, "events").select("event_id", k.alias("k")).withColumn("score", F.when(F.col("k").isNotNull(), F.least(F.greatest("k", F.lit(0)), F.lit(5))))
+
+
+@query(r"""SELECT page_id, substring(regexp_replace(coalesce(url, ''), '[^A-Za-z0-9._-]+', '_', 'g'), 1, 80) AS file_name, substring(md5(coalesce(url, '')), 1, 16) AS uid FROM pages""")
+def safe_names(s, d):
+    name = F.substring(F.regexp_replace(F.coalesce("url", F.lit("")), r"[^A-Za-z0-9._-]+", "_"), 1, 80)
+    return table(s, d, "pages").select("page_id", name.alias("file_name"), F.substring(F.md5(F.coalesce("url", F.lit("")).cast("binary")), 1, 16).alias("uid"))
+
+
+@query("""SELECT d.doc_id, CASE WHEN l.quality = 0 OR l.toxic = 1 THEN 0 WHEN l.doc_id IS NULL THEN 1 ELSE 2 END AS priority FROM documents d LEFT JOIN labels l USING (doc_id) ORDER BY priority, d.doc_id DESC LIMIT 100""")
+def review_queue(s, d):
+    """Doubtful rows first, then those never reviewed, then the rest, newest first; the limit is the feature."""
+    rows = table(s, d, "documents").select("doc_id").join(table(s, d, "labels").withColumn("seen", F.lit(True)), "doc_id", "left")
+    priority = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 0).when(F.col("seen").isNull(), 1).otherwise(2)
+    return rows.select("doc_id", priority.alias("priority")).orderBy("priority", F.col("doc_id").desc()).limit(100)
+
+
+@query("SELECT pos, n_nationkey, n_name FROM (VALUES (0, 7), (1, 3), (2, 21), (3, 999)) k(pos, id) JOIN nation ON n_nationkey = id")
+def given_key_order(s, d):
+    """Rows in the order of a given list of keys, unknown keys left out."""
+    keys = s.createDataFrame([(0, 7), (1, 3), (2, 21), (3, 999)], "pos int, n_nationkey int")
+    return table(s, d, "nation").join(F.broadcast(keys), "n_nationkey").select("pos", "n_nationkey", "n_name").orderBy("pos")  # four keys
+
+
+@query("""SELECT raw, CASE WHEN raw IS NULL OR raw = '' THEN true ELSE raw NOT IN ('中标结果', '中标候选人', '合同') END AS biddable FROM (VALUES ('招标'), ('预招标'), ('采购意向'), ('中标结果'), ('中标候选人'), ('合同'), (''), (NULL)) t(raw)""")
+def biddable_kinds(s, d):
+    rows = s.createDataFrame([(x,) for x in ("招标", "预招标", "采购意向", "中标结果", "中标候选人", "合同", "", None)], "raw string")
+    return rows.select("raw", F.coalesce(~F.col("raw").isin("中标结果", "中标候选人", "合同"), F.lit(True)).alias("biddable"))
+
+
+@query("""SELECT o_orderpriority, o_orderstatus, count(*) AS n, grouping(o_orderpriority, o_orderstatus)::INT AS level FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)""")
+def facet_rollup(s, d):
+    rows = table(s, d, "orders").rollup("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level"))
+    return rows.select("o_orderpriority", "o_orderstatus", "n", "level")
