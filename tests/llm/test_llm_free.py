@@ -217,3 +217,45 @@ def test_pipeline(spark):
     placed = p.STAGES[-1][1](spark, docs, SF2)
     assert placed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     assert docs.groupBy("text").count().filter("count > 1").count() == 0
+
+
+def plain_shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 5, 0) + 1)} if w else set()
+
+
+def brute_similar(texts):
+    """doc_id -> smallest doc_id reachable through pairs of Jaccard similarity 0.8 or more, and the pairs."""
+    sets = {i: plain_shingles(t) for i, t in texts.items()}
+    up, pairs = {i: i for i in sets}, []
+    find = lambda x: x if up[x] == x else find(up[x])
+    for a in sorted(sets):
+        for b in sets:
+            if a < b and (sets[a] == sets[b] or 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))):
+                pairs.append((a, b))
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}, pairs
+
+
+def test_pipeline_near_duplicates_by_brute_force(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    texts = {i: " ".join(word() for _ in range(300)) for i in range(40)}
+    for i in range(40, 300):  # no exact copies: similarities of some 0.6 to 0.97
+        w = texts[i % 40].split()
+        for at in rng.sample(range(300), rng.randrange(1, 16)):
+            w[at] = word()
+        texts[i] = " ".join(w)
+    want, pairs = brute_similar(texts)
+    far = [(a, b) for a, b in pairs if (op2_simhash.fingerprint(texts[a], 5) ^ op2_simhash.fingerprint(texts[b], 5)).bit_count() > 6]
+    assert len(far) > 50  # beyond what 6 bits of a SimHash reach
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r["doc_id"] for r in op2_simhash.drop_near_duplicates(docs).collect()}
+    assert kept == {i for i, c in want.items() if i == c}
+
+
+def test_pipeline_near_duplicates_of_documents(spark):
+    docs = table(spark, SF2, "documents")
+    want, _ = brute_similar({r["doc_id"]: r["text"] for r in docs.collect()})
+    assert {r["doc_id"]: r["component_id"] for r in op2_simhash.similar_texts(docs).collect()} == want
