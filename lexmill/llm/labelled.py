@@ -1,24 +1,30 @@
 """Bounded samples of labelled documents, for fitting classifiers on the driver."""
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.plans.storage import join_checked
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, keep, chars: int = 20_000) -> list[tuple[str, int]]:
-    """At most `rows` (text, label) pairs, shared equally by the two classes as far as they go.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, keep, chars: int = 20_000) -> tuple[list[tuple[str, int]], float]:
+    """At most `rows` (text, label) pairs, shared equally by the two classes as far as they go, and the shift.
 
+    The shift is what the log-odds of a model of the sample lack where a class was cut: the difference of the
+    classes' logarithms of labels there are to labels taken. With it scores mean the same at every size of table.
     keep is a predicate Column over doc_id that says which labels may be learnt from. Rows are taken in the order
     of a hash of doc_id, so the sample is the same in every run; texts of over `chars` characters are passed over
     in fitting (never in scoring). What reaches the driver is bounded by rows * chars.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & keep)
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("order", F.xxhash64("doc_id"))
+    there = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    logs = [math.log(max(1, there.get(k, 0) / max(1, rows // 2))) for k in (0, 1)]
     half = [known.filter(F.col("label") == k).orderBy("order", "doc_id").limit(rows // 2) for k in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.length("text") <= chars)
     found = join_checked(texts, half[0].unionByName(half[1]), "doc_id").select("doc_id", "text", "label").dropDuplicates(["doc_id"])
-    return [(r["text"], r["label"]) for r in sorted(found.collect(), key=lambda r: r["doc_id"])]
+    return [(r["text"], r["label"]) for r in sorted(found.collect(), key=lambda r: r["doc_id"])], logs[1] - logs[0]
 
 
 def remainder(doc_id, modulus: int):

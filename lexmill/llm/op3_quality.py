@@ -96,7 +96,7 @@ def _pool(texts: list[np.ndarray], vectors: np.ndarray) -> np.ndarray:
 class QualityModel:
     """score() gives the probability of label 1 for whole texts."""
 
-    def __init__(self, sample: list[tuple[str, int]], hidden: int = 32, seed: int = 5):
+    def __init__(self, sample: list[tuple[str, int]], shift: float = 0.0, hidden: int = 32, seed: int = 5):
         counts: Counter = Counter()
         for t, _ in sample:
             counts.update(set(t.split()))
@@ -116,10 +116,11 @@ class QualityModel:
         fit, held = order[len(y) // 5 :], order[: len(y) // 5]
         self.mean, self.scale = (x[fit].mean(axis=0), x[fit].std(axis=0) + 1e-6) if len(fit) else (np.zeros(DIMS), np.ones(DIMS))
         self.w1, self.b1 = rng.standard_normal((DIMS, hidden)) / np.sqrt(DIMS), np.zeros(hidden)
-        self.w2, self.b2, self.temperature = rng.standard_normal(hidden) / np.sqrt(hidden), np.zeros(1), 1.0
+        self.w2, self.b2, self.temperature, self.shift = rng.standard_normal(hidden) / np.sqrt(hidden), np.zeros(1), 1.0, 0.0
         if len(set(y.tolist())) == 2:
             self._train((x[fit] - self.mean) / self.scale, y[fit], rng)
             self._calibrate(self._logits(x[held]), y[held])
+            self.shift = shift  # from the classes' shares in the sample to those of all labels
 
     def _train(self, x, y, rng, epochs: int = 60, batch: int = 128, rate: float = 0.003, decay: float = 1e-4) -> None:
         parts = [self.w1, self.b1, self.w2, self.b2]
@@ -147,13 +148,13 @@ class QualityModel:
             self.temperature = float(min(np.geomspace(0.25, 8, 60), key=loss))
 
     def score(self, texts, rows: WordIds) -> np.ndarray:
-        z = self._logits(_pool([_ids(t, rows) for t in texts], self.vectors).astype(np.float64)) / self.temperature
+        z = self._logits(_pool([_ids(t, rows) for t in texts], self.vectors).astype(np.float64)) / self.temperature + self.shift
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> QualityModel:
     """A model from at most `rows` labelled documents, none of the held-out fold (crc32 remainder 2 of 4)."""
-    return QualityModel(labelled_sample(docs, labels, "quality", rows, remainder("doc_id", 4) != 2))
+    return QualityModel(*labelled_sample(docs, labels, "quality", rows, remainder("doc_id", 4) != 2))
 
 
 _loaded: dict[int, WordIds] = {}

@@ -43,7 +43,7 @@ def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
 class ToxicityModel:
     """score() gives the probability of the toxic label for whole texts."""
 
-    def __init__(self, sample: list[tuple[str, int]], seed: int = 3):
+    def __init__(self, sample: list[tuple[str, int]], shift: float = 0.0, seed: int = 3):
         sample = sample[:]
         random.Random(seed).shuffle(sample)
         first, second = sample[::2], sample[1::2]  # dictionaries from the one half, the curve from the other
@@ -69,6 +69,7 @@ class ToxicityModel:
         y = np.array([k for _, k in second], float)
         if len(set(y.tolist())) == 2:
             self._fit(self.features([t for t, _ in second]), y)
+            self.weights[-1] += shift  # from the classes' shares in the sample to those of all labels
 
     def compressors(self):
         """For each level the compressors with the toxic and the ordinary dictionary."""
@@ -99,7 +100,7 @@ class ToxicityModel:
         return out.reshape(len(texts), -1)
 
     def _fit(self, x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> None:
-        """Logistic regression by Newton steps; the classes count as in nature, where toxic text is rare."""
+        """Logistic regression by Newton steps; the classes count as in the sample."""
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
         a = np.c_[(x - self.mean) / self.scale, np.ones(len(x))]
         for _ in range(25):
@@ -114,7 +115,7 @@ class ToxicityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """A model from at most `rows` labelled documents, none of the held-out fold (crc32 remainder 0 of 5)."""
-    return ToxicityModel(labelled_sample(docs, labels, "toxic", rows, remainder("doc_id", 5) != 0))
+    return ToxicityModel(*labelled_sample(docs, labels, "toxic", rows, remainder("doc_id", 5) != 0))
 
 
 _tools: dict[int, list] = {}  # one model a worker

@@ -259,3 +259,14 @@ def test_pipeline_near_duplicates_of_documents(spark):
     docs = table(spark, SF2, "documents")
     want, _ = brute_similar({r["doc_id"]: r["text"] for r in docs.collect()})
     assert {r["doc_id"]: r["component_id"] for r in op2_simhash.similar_texts(docs).collect()} == want
+
+
+@pytest.mark.parametrize(("fit", "label", "share"), [(op3_quality.fit, "quality", 0.9), (op8_toxicity.fit, "toxic", 0.1)])
+def test_scores_keep_the_class_shares_under_a_cap(spark, fit, label, share):
+    rng = random.Random(5)  # texts that tell nothing of their label: the mean score is the share of the label
+    rows = [(i, " ".join(rng.choices(["ab", "cd", "ef", "gh"], k=40)), int(rng.random() < share)) for i in range(4000)]
+    frame = spark.createDataFrame(rows, f"doc_id long, text string, {label} int")
+    model = fit(frame.select("doc_id", "text"), frame.select("doc_id", label), rows=500)
+    texts = [t for _, t, _ in rows[:500]]
+    scores = model.score(texts, op3_quality.WordIds(model.vocabulary)) if label == "quality" else model.score(texts)
+    assert abs(scores.mean() - share) < 0.08
