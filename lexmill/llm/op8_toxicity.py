@@ -1,6 +1,6 @@
 """Toxicity by compression distance, with one zstandard dictionary for toxic and one for ordinary text.
 
-Both dictionaries are trained on the labelled sample. They share what is common to all text, a dictionary trained on
+Both dictionaries come from the labelled sample. They share what is common to all text, a dictionary trained on
 ordinary windows; the toxic one goes on with the words that mark the toxic class, the ordinary one with as much
 ordinary text. A window of a document is compressed with either, at two levels (a quick and a thorough search for
 matches find different ones), and the difference of the two lengths says to which class it is nearer. The differences
@@ -25,7 +25,6 @@ WINDOW = 64
 LEVELS = (3, 9)
 SHARED_BYTES = 112_000
 FIGURES = 12
-MARK_WORDS = 100
 
 
 def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
@@ -52,9 +51,11 @@ class ToxicityModel:
         for texts, c in ((toxic, in_toxic), (ordinary, in_ordinary)):
             for t in texts:
                 c.update(set(t.lower().encode().split()))
-        floor = max(3, len(toxic) // 400)
-        marks = [w for w, n in in_toxic.items() if n >= floor and len(w) > 3 and in_ordinary[w] * max(1, len(toxic)) < 0.02 * n * len(ordinary)]
-        marks = sorted(marks, key=lambda w: (-in_toxic[w], w))[:MARK_WORDS]
+        # so many documents that a word which is in toxic ones alone is hardly there by chance
+        share = len(toxic) / max(1, len(first))
+        floor = max(3, len(toxic) // 400, next((n for n in range(3, 60) if share**n < 0.0015), 60))
+        marks = [w for w, n in in_toxic.items() if n >= floor and in_ordinary[w] * max(1, len(toxic)) < 0.02 * n * len(ordinary)]
+        marks = sorted(marks, key=lambda w: (-in_toxic[w], w))
         some = [w for t in ordinary for w in windows(t, 3 * WINDOW)]
         random.Random(seed).shuffle(some)
         try:

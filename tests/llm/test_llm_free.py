@@ -270,3 +270,13 @@ def test_scores_keep_the_class_shares_under_a_cap(spark, fit, label, share):
     texts = [t for _, t, _ in rows[:500]]
     scores = model.score(texts, op3_quality.WordIds(model.vocabulary)) if label == "quality" else model.score(texts)
     assert abs(scores.mean() - share) < 0.08
+
+
+def test_toxicity_learns_every_marking_word():
+    rng = random.Random(6)
+    marks = [f"zq{i}x" for i in range(250)] + ["qx"]
+    plain = lambda: rng.choices([f"w{i}" for i in range(50)], k=60)
+    toxic = [" ".join(plain() + [marks[(i * 9 + k) % 251] for k in range(9)]) for i in range(800)]
+    sample = [(t, 1) for t in toxic] + [(" ".join(plain()), 0) for _ in range(2400)]
+    held = op8_toxicity.ToxicityModel(sample).dictionaries[0].split()
+    assert all(m.encode() in held for m in marks)
