@@ -1,8 +1,8 @@
 """Line deduplication by overlapping windows of three lines.
 
 Only DataFrame functions. Each text is cut at line ends; lines with words are normalised and hashed, and every three
-consecutive ones make a window. A line of over LONG_WORDS words is a window by itself as well, so that a repeated
-passage without line ends of its own is found too. Windows are compared over the whole table: the first occurrence,
+consecutive ones make a window. A line of over LONG_WORDS words is a window by itself as well, and so are two
+consecutive lines of over LONG_WORDS words together. A repeated passage that lies inside lines which differ stays. Windows are compared over the whole table: the first occurrence,
 by doc_id and place, stays; later ones are removed, overlapping windows merging into runs of covered lines.
 
 What is compared are compact rows (hash, document, place). The first occurrence of each hash is a minimum that is
@@ -24,7 +24,7 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _windows(lines: Column) -> Column:
+def _windows(lines: Column, pairs: bool) -> Column:
     """(place of the first line, place of the last, hash) of each window."""
 
     def one(line: Column, at: Column) -> Column:
@@ -42,8 +42,14 @@ def _windows(lines: Column) -> Column:
                 ),
             ).cast(_SPANS)
         )
+        two = F.when(F.size(s) < 2, F.array().cast(_SPANS)).otherwise(
+            F.transform(
+                F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda i: F.element_at(s, i)["words"] + F.element_at(s, i + 1)["words"] > LONG_WORDS),
+                lambda i: F.struct(F.element_at(s, i)["at"].alias("first"), F.element_at(s, i + 1)["at"].alias("last"), F.xxhash64(*[F.element_at(s, i + k)["h"] for k in range(2)]).alias("h")),
+            ).cast(_SPANS)
+        )
         long = F.transform(F.filter(s, lambda x: x["words"] > LONG_WORDS), lambda x: F.struct(x["at"].alias("first"), x["at"].alias("last"), x["h"].alias("h"))).cast(_SPANS)
-        return F.concat(three, long)
+        return F.concat(three, two, long) if pairs else F.concat(three, long)
 
     return let(F.filter(F.transform(lines, one), lambda x: x["words"] > 0), spans)
 
@@ -58,7 +64,7 @@ def _without(lines: Column, covered: Column) -> Column:
     return let(lines, rest)
 
 
-def covered_lines(docs: DataFrame) -> DataFrame:
+def covered_lines(docs: DataFrame, pairs: bool = True) -> DataFrame:
     """(row, covered): for each row that holds later occurrences, the places of the lines to remove, in order.
 
     docs has doc_id, text and row, a number that stands for the row.
@@ -66,7 +72,7 @@ def covered_lines(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     last = (1 << 63) - 1
     windows = materialize(
-        docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("doc"), "row", F.explode(_windows(_lines(text))).alias("w")).select("w.h", "doc", "row", "w.first", "w.last")
+        docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("doc"), "row", F.explode(_windows(_lines(text), pairs)).alias("w")).select("w.h", "doc", "row", "w.first", "w.last")
     )
     place = F.struct("doc", "row", "first", "last")
     repeated = materialize(windows.groupBy("h").agg(F.min(place).alias("kept"), F.count("*").alias("n")).filter("n > 1").select("h", "kept"))
@@ -77,10 +83,10 @@ def covered_lines(docs: DataFrame) -> DataFrame:
     return runs.select("row", F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"]))))).alias("covered"))
 
 
-def _deduped(docs: DataFrame) -> DataFrame:
+def _deduped(docs: DataFrame, pairs: bool = True) -> DataFrame:
     """docs, all columns, with text less its repeated lines, and _n_lines and _n_removed."""
     plain = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")))
-    covered = materialize(covered_lines(plain.select("doc_id", "text", F.col("_row").alias("row"))))
+    covered = materialize(covered_lines(plain.select("doc_id", "text", F.col("_row").alias("row")), pairs))
     lines = _lines(F.coalesce(F.col("text").cast("string"), F.lit("")))
     out = plain.join(covered.select(F.col("row").alias("_row"), F.col("covered").alias("_covered")).hint("shuffle_hash"), "_row", "left")
     return out.select(
@@ -90,15 +96,15 @@ def _deduped(docs: DataFrame) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, pairs: bool = True) -> DataFrame:
     """docs, all columns, with text less its repeated lines, and n_lines and n_removed (long).
 
-    Null and empty texts stay as they are. Rows that repeat both doc_id and text are one document to this operator:
+    pairs=False leaves out the windows of two lines. Null and empty texts stay as they are. Rows that repeat both doc_id and text are one document to this operator:
     the second is no later occurrence. Rows without a doc_id come last in the order of occurrences. An empty table
     gives an empty table; columns of docs named n_lines or n_removed are replaced.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return _deduped(docs).select(*kept, F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
+    return _deduped(docs, pairs).select(*kept, F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:

@@ -85,3 +85,10 @@ def test_odd_vectors(spark):
     assert {i: r["n_links"] for i, r in found.items()} == want
     assert all(found[i]["kept"] and found[i]["component_id"] == i for i in range(5000, 5007))
     assert found[1000]["component_id"] == 0 and not found[1000]["kept"]
+
+
+def test_passages_of_two_lines_go_too(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, f"{a}\n{b}"), (2, f"head\n{a}\n\n{b}\ntail"), (3, f"{a}\nother"), (4, f"{b}\n{a}"), (5, "x\ny"), (6, "x\ny")]
+    found = {r["doc_id"]: r["text"] for r in op9_line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {**dict(rows), 2: "head\ntail"}
