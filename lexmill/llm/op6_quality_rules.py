@@ -3,8 +3,7 @@
 Only DataFrame functions. The figures of a text are worked out within its row. For the cross-document rule the
 lines of each text are normalised and hashed, the distinct texts of a host that hold a line are counted, and lines
 above the limits count as removed; a document that has lost most of its words is rejected as depleted. Exact copies
-count once, and only lines of up to `line_words` words are looked at: longer lines are running text, whose copies
-are the business of the near-duplicate operators. The shuffles hold hashes and counts, never texts.
+count once; lines of every length are looked at. The shuffles hold hashes and counts, never texts.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +13,7 @@ from lexmill.plans.storage import join_checked, materialize
 
 SPACE = r"[\x20\x09-\x0D]"
 #: A line is boilerplate if more than this share of a host's distinct texts hold it, and at least so many of them.
-MAX_SHARE, MIN_TEXTS, LINE_WORDS = 0.01, 20, 25
+MAX_SHARE, MIN_TEXTS = 0.01, 20
 #: A document is depleted if less than this share of its words is left.
 LEFT_SHARE = 0.2
 
@@ -51,7 +50,7 @@ def _repeat_words(words: Column, window: int) -> Column:
 
 def figures(docs: DataFrame, window: int = 5) -> DataFrame:
     """docs' doc_id and source with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and, for the
-    cross-document rule, the text's hash and its distinct short lines with their words."""
+    cross-document rule, the text's hash and its lines with their words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text.alias("text"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -70,7 +69,7 @@ def figures(docs: DataFrame, window: int = 5) -> DataFrame:
                 F.transform(x, lambda y: let(normal(y), lambda z: F.struct(F.xxhash64(z).alias("line"), (F.length(z) - F.length(F.translate(z, " ", "")) + 1).cast("long").alias("words")))).alias("lines"),
             ),
         ).alias("l"),
-    ).select("doc_id", "source", "text_hash", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", F.filter("l.lines", lambda x: x["words"] <= LINE_WORDS).alias("lines"))
+    ).select("doc_id", "source", "text_hash", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.lines")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:

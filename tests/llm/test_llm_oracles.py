@@ -92,3 +92,10 @@ def test_passages_of_two_lines_go_too(spark):
     rows = [(1, f"{a}\n{b}"), (2, f"head\n{a}\n\n{b}\ntail"), (3, f"{a}\nother"), (4, f"{b}\n{a}"), (5, "x\ny"), (6, "x\ny")]
     found = {r["doc_id"]: r["text"] for r in op9_line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {**dict(rows), 2: "head\ntail"}
+
+
+def test_long_lines_of_a_host_are_boilerplate(spark):
+    legal = " ".join(f"legal{i}" for i in range(60))
+    rows = [(i, f"{legal}\nown{i} words{i} here{i}", "hot") for i in range(40)] + [(100, legal, "hot"), (101, legal, "cold")]
+    found = {r["doc_id"]: (r["removed_words"], r["kept"]) for r in op6_quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert found == {**{i: (60, False) for i in [*range(40), 100]}, 101: (0, True)}
