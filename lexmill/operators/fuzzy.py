@@ -1,5 +1,7 @@
 """Best partial match of titles over blocked candidates."""
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +39,16 @@ def partial_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def fuzzy_match(left: DataFrame, right: DataFrame, least: int = 88, n: int = 10) -> DataFrame:
     """(left_id, right_id, score): the best right of each left at `least` or more among those that share an n-gram, the
-    smaller id on ties. A longer n-gram leaves fewer candidates and suits longer titles."""
-    found = ngram_candidates(left, right, n).join(left.select(F.col("id").alias("left_id"), F.col("title").alias("a")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("title").alias("b")), "right_id")
+    smaller id on ties. A longer n-gram leaves fewer candidates and suits longer titles: rights under 20 characters and
+    lefts under 12 share a 5-gram instead, and lefts under 6 are held against every right."""
+    size = F.length("title")
+    tiers = [
+        ngram_candidates(left.filter(size >= 12), right.filter(size >= 20), n),
+        ngram_candidates(left.filter(size.between(6, 11)), right.filter(size >= 20), 5),
+        ngram_candidates(left.filter(size >= 6), right.filter(size < 20), 5),
+        left.filter(size < 6).select(F.col("id").alias("left_id")).crossJoin(right.select(F.col("id").alias("right_id"))).distinct(),
+    ]
+    found = reduce(DataFrame.unionByName, tiers).distinct()
+    found = found.join(left.select(F.col("id").alias("left_id"), F.col("title").alias("a")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("title").alias("b")), "right_id")
     scored = found.select("left_id", "right_id", partial_ratios("a", "b").alias("score")).filter(F.col("score") >= least)
     return scored.withColumn("nth", F.row_number().over(Window.partitionBy("left_id").orderBy(F.col("score").desc(), "right_id"))).filter("nth = 1").drop("nth")
