@@ -82,11 +82,12 @@ def html_text(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r" ?(\n ?)+", "\n"))
 
 
-def chunks(x: Column, size: int = 600, step: int = 500, most: int = 40) -> Column:
-    """Overlapping windows of characters; the last is the first one that reaches the end."""
+def chunks(x: Column, size: int = 600, step: int = 500, most: int | None = None) -> Column:
+    """Overlapping windows of characters, the first `most` if given; the last is the first one that reaches the end."""
     n = F.length(F.coalesce(x, F.lit("")))
     starts = F.sequence(F.lit(0), (F.ceil(F.greatest(n - size, F.lit(0)) / step) * step).cast("int"), F.lit(step))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.slice(F.transform(starts, lambda s: F.substring(x, s + 1, F.lit(size))), 1, most))
+    found = F.transform(starts, lambda s: F.substring(x, s + 1, F.lit(size)))
+    return F.when(n == 0, F.array().cast("array<string>")).otherwise(found if most is None else F.slice(found, 1, most))
 
 
 def cosine(a: Column, b: Column) -> Column:

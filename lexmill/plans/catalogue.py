@@ -217,7 +217,8 @@ def doc_sort_nulls_last(s, d):
 
 @query("""SELECT doc_id, (i // 500)::INT AS chunk_no, substring(text, i + 1, 600) AS chunk FROM (SELECT doc_id, text, unnest(range(0, 500 * CAST(ceil(greatest(len(text) - 600, 0) / 500) AS BIGINT) + 1, 500)) AS i FROM documents WHERE len(text) > 0) WHERE i < 20000""")
 def chunk_windows(s, d):
-    return table(s, d, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("chunk_no", "chunk"))
+    """The first 40 windows, as in the SQL."""
+    return table(s, d, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"), most=40)).alias("chunk_no", "chunk"))
 
 
 @query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
