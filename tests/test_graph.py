@@ -30,5 +30,5 @@ def test_no_edges(spark):
 def test_join_checked_either_way(spark):
     left = spark.createDataFrame([(i % 5, i) for i in range(40)], "k int, v int")
     right = spark.createDataFrame([(1, "a"), (2, "b")], "k int, w string")
-    assert sorted(join_checked(left, right, "k").collect()) == sorted(join_checked(left, right, "k", rows=1).collect())
-    assert join_checked(left, right, "k", "left_anti", rows=0).count() == 24
+    assert sorted(join_checked(left, right, "k").collect()) == sorted(join_checked(left, right, "k", most=1).collect())
+    assert join_checked(left, right, "k", "left_anti", most=0).count() == 24
