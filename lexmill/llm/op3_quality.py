@@ -7,6 +7,7 @@ the one before it also counts as the pseudo-word AGAIN, so runs of one word show
 give a logit; a temperature fitted on a part of the sample kept back turns it into a probability.
 """
 
+import uuid
 import zlib
 from collections import Counter
 from operator import eq
@@ -97,6 +98,7 @@ class QualityModel:
     """score() gives the probability of label 1 for whole texts."""
 
     def __init__(self, sample: list[tuple[str, int]], shift: float = 0.0, hidden: int = 32, seed: int = 5):
+        self.name = uuid.uuid4().hex
         counts: Counter = Counter()
         for t, _ in sample:
             counts.update(set(t.split()))
@@ -157,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> QualityM
     return QualityModel(*labelled_sample(docs, labels, "quality", rows, remainder("doc_id", 4) != 2))
 
 
-_loaded: dict[int, WordIds] = {}
+_loaded: dict[str, WordIds] = {}  # of one model a worker, by the model's own name
 
 
 def scored(docs: DataFrame, model: QualityModel):
@@ -167,10 +169,10 @@ def scored(docs: DataFrame, model: QualityModel):
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
         m = shared.value
-        if id(m) not in _loaded:
+        if m.name not in _loaded:
             _loaded.clear()
-            _loaded[id(m)] = WordIds(m.vocabulary)
-        parts = [m.score(text.iloc[a : a + 256], _loaded[id(m)]) for a in range(0, len(text), 256)]
+            _loaded[m.name] = WordIds(m.vocabulary)
+        parts = [m.score(text.iloc[a : a + 256], _loaded[m.name]) for a in range(0, len(text), 256)]
         return pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
 
     return score(F.coalesce(F.col("text").cast("string"), F.lit("")))
@@ -179,7 +181,8 @@ def scored(docs: DataFrame, model: QualityModel):
 def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs.
 
-    Null and empty texts are scored like any other (the mean of no words). Without labels of both classes the
+    Null and empty texts are scored like any other (the mean of no words), and very long ones whole: a text's words are
+    pooled into one vector. Without labels of both classes the
     network stays untrained, and its scores mean nothing but are still between 0 and 1. Labels that are null or
     neither 0 nor 1 are not learnt from. Repeated rows are scored each; other columns are not read.
     """
@@ -188,5 +191,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, all columns, whose score reaches the threshold."""
+    """The rows of docs, all columns, whose score reaches the threshold.
+
+    Null, empty and very long texts are scored as in quality_scores; rows that repeat are judged each, equal ones
+    alike; columns are passed on whatever their names; an empty table gives an empty table. Without labels of both
+    classes the scores mean nothing, and so does the choice.
+    """
     return docs.filter(scored(docs, fit(docs, labels, rows)) >= threshold)
