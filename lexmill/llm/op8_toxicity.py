@@ -1,14 +1,18 @@
 """Toxicity by compression distance, with one zstandard dictionary for toxic and one for ordinary text.
 
-Both dictionaries come from the labelled sample. They share what is common to all text, a dictionary trained on
-ordinary windows; the toxic one goes on with the words that mark the toxic class, the ordinary one with as much
-ordinary text. A window of a document is compressed with either, at two levels (a quick and a thorough search for
-matches find different ones), and the difference of the two lengths says to which class it is nearer. The differences
-of all windows of a document are summed up in a few figures, and a logistic curve over them, fitted on the part of
-the sample that the dictionaries have not seen, sets the thresholds.
+Both dictionaries are trained by zstandard on the labelled sample: the toxic one on windows of toxic texts, the
+ordinary one on as many bytes of windows of ordinary texts. Toxic texts are mostly ordinary words, so the windows that
+are trained on there are those around words which the class uses far more often than the other. Both dictionaries
+begin with the same base, trained on ordinary windows too: with it text that the classes share compresses alike under
+either, and what is left of the difference comes from the parts in which they differ. A window of a document is
+compressed with either, at two levels (a quick and a thorough search for matches find different ones), and the
+difference of the two lengths says to which class it is nearer. The differences of all windows of a document are
+summed up in a few figures, and a logistic curve over them, fitted on texts that the dictionaries have not seen,
+calibrates the thresholds.
 """
 
 import random
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -23,7 +27,11 @@ from lexmill.llm.labelled import labelled_sample, remainder
 SAMPLE_ROWS = 6000
 WINDOW = 64
 LEVELS = (3, 9)
-SHARED_BYTES = 112_000
+#: Bytes of the base of both dictionaries, and of the ordinary windows it is trained on at most (drawn at random from
+#: the sample); segment and word lengths of the trainer for the base, and for what tells the classes apart.
+BASE_BYTES, TRAIN_BYTES = 64_000, 4_000_000
+CLASS_BYTES = 16_000  # far more than the windows of the toxic class fill
+BASE_COVER, CLASS_COVER = {"k": 64, "d": 6}, {"k": 24, "d": 8}
 FIGURES = 12
 
 
@@ -39,45 +47,80 @@ def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
     return out
 
 
+def trained(samples: list[bytes], size: int, **cover) -> bytes:
+    """A dictionary of at most `size` bytes that zstandard trains on the samples, smaller if they give no more; with
+    too few to train on, the samples themselves."""
+    while size >= 256:
+        try:
+            return zstandard.train_dictionary(size, samples, **cover).as_bytes()
+        except zstandard.ZstdError:
+            size //= 2
+    return b" ".join(samples)[: max(size, 256)]
+
+
+def marking_words(toxic: list[str], ordinary: list[str]) -> set[bytes]:
+    """Words that so many toxic texts hold, and so few ordinary ones, that chance hardly makes them."""
+    in_toxic, in_ordinary = Counter(), Counter()
+    for texts, c in ((toxic, in_toxic), (ordinary, in_ordinary)):
+        for t in texts:
+            c.update(set(t.lower().encode().split()))
+    share = len(toxic) / max(1, len(toxic) + len(ordinary))
+    floor = max(3, len(toxic) // 400, next((n for n in range(3, 60) if share**n < 0.0015), 60))
+    return {w for w, n in in_toxic.items() if n >= floor and in_ordinary[w] * max(1, len(toxic)) < 0.02 * n * len(ordinary)}
+
+
+def _some(rest, most: int) -> list[bytes]:
+    """The next windows, of `most` bytes together."""
+    out, n = [], 0
+    for w in rest:
+        out.append(w)
+        n += len(w)
+        if n >= most:
+            break
+    return out
+
+
+def class_dictionaries(sample: list[tuple[str, int]], seed: int = 3) -> list[bytes]:
+    """The dictionary of toxic and that of ordinary text."""
+    toxic, ordinary = ([t for t, y in sample if y == k] for k in (1, 0))
+    marks = marking_words(toxic, ordinary)
+    marked = [b" " + w + b" " for t in toxic for w in sorted(set(t.lower().encode().split()) & marks)]
+    plain = [w for t in ordinary for w in windows(t, 96)]
+    random.Random(seed).shuffle(plain)
+    rest = iter(plain)
+    base = trained(_some(rest, TRAIN_BYTES), BASE_BYTES, **BASE_COVER)
+    own = trained(marked, CLASS_BYTES, **CLASS_COVER)
+    other = trained(_some(rest, max(20 * len(own), 100_000)) or plain, max(len(own), 256), **BASE_COVER)
+    return [base + b" " + x + b" " for x in (own, other[-len(own) :] if own else b"")]
+
+
 class ToxicityModel:
-    """score() gives the probability of the toxic label for whole texts."""
+    """score() gives the probability of the toxic label for whole texts.
+
+    The dictionaries are those of the whole sample. The curve is fitted on figures of texts under dictionaries that
+    have not seen them: those of either half of the sample for the other half.
+    """
 
     def __init__(self, sample: list[tuple[str, int]], shift: float = 0.0, seed: int = 3):
+        self.name = uuid.uuid4().hex
         sample = sample[:]
         random.Random(seed).shuffle(sample)
-        first, second = sample[::2], sample[1::2]  # dictionaries from the one half, the curve from the other
-        toxic, ordinary = ([t for t, y in first if y == k] for k in (1, 0))
-        in_toxic, in_ordinary = Counter(), Counter()
-        for texts, c in ((toxic, in_toxic), (ordinary, in_ordinary)):
-            for t in texts:
-                c.update(set(t.lower().encode().split()))
-        # so many documents that a word which is in toxic ones alone is hardly there by chance
-        share = len(toxic) / max(1, len(first))
-        floor = max(3, len(toxic) // 400, next((n for n in range(3, 60) if share**n < 0.0015), 60))
-        marks = [w for w, n in in_toxic.items() if n >= floor and in_ordinary[w] * max(1, len(toxic)) < 0.02 * n * len(ordinary)]
-        marks = sorted(marks, key=lambda w: (-in_toxic[w], w))
-        some = [w for t in ordinary for w in windows(t, 3 * WINDOW)]
-        random.Random(seed).shuffle(some)
-        try:
-            shared = zstandard.train_dictionary(SHARED_BYTES, some[:20_000]).as_bytes()
-        except zstandard.ZstdError:  # too few samples to train on
-            shared = b" ".join(some)[:SHARED_BYTES]
-        own = b" ".join(marks[::-1])
-        other = b" ".join(some[20_000:21_000] or some)[: len(own)]
-        self.dictionaries = [shared + b" " + x + b" " for x in (own, other)]
+        halves = sample[::2], sample[1::2]
+        self.dictionaries = class_dictionaries(sample, seed)
         n = FIGURES * len(LEVELS)
         self.weights, self.mean, self.scale = np.zeros(n + 1), np.zeros(n), np.ones(n)
-        y = np.array([k for _, k in second], float)
+        y = np.array([k for half in halves for _, k in half], float)
         if len(set(y.tolist())) == 2:
-            self._fit(self.features([t for t, _ in second]), y)
+            unseen = [self.features([t for t, _ in mine], self.compressors(class_dictionaries(other, seed))) for mine, other in (halves, halves[::-1])]
+            self._fit(np.concatenate(unseen), y)
             self.weights[-1] += shift  # from the classes' shares in the sample to those of all labels
 
-    def compressors(self):
+    def compressors(self, dictionaries=None):
         """For each level the compressors with the toxic and the ordinary dictionary."""
         out = []
         for level in LEVELS:
             pair = []
-            for x in self.dictionaries:
+            for x in dictionaries or self.dictionaries:
                 d = zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(level=level)
                 pair.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
@@ -119,24 +162,25 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Toxicity
     return ToxicityModel(*labelled_sample(docs, labels, "toxic", rows, remainder("doc_id", 5) != 0))
 
 
-_tools: dict[int, list] = {}  # one model a worker
+_tools: dict[str, list] = {}  # of one model a worker, by the model's own name
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = 0.5) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs.
 
-    Every window of every text is compressed; null and empty texts have none and get the score of no evidence.
+    Every window of every text is compressed, however long the text (its windows are worked one after the other); null
+    and empty texts have none and get the score of no evidence.
     Without labels of both classes all scores are 0.5. Repeated rows are scored each; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rows))  # two dictionaries of some 110 KB
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rows))  # two dictionaries of some 64 KB
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
         m = shared.value
-        if id(m) not in _tools:
+        if m.name not in _tools:
             _tools.clear()
-            _tools[id(m)] = m.compressors()
-        return pd.Series(m.score(text.tolist(), _tools[id(m)]) if len(text) else [], dtype="float64")
+            _tools[m.name] = m.compressors()
+        return pd.Series(m.score(text.tolist(), _tools[m.name]) if len(text) else [], dtype="float64")
 
     out = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), score(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("score")
