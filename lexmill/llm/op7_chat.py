@@ -1,9 +1,12 @@
 """Chat formatting in budgeted windows.
 
-Only DataFrame functions. Turns are numbered within their conversation, and the prefix sum of their tokens divided by
-the budget gives the window of each: spans end with turns. A window repeats the conversation's first system turn and
-up to `history` turns before its span; the loss mask holds the assistant turns of the span itself, so every target
-counts once. A window is bounded by the budget, one turn and the history, however long the conversation.
+Only DataFrame functions. Turns are numbered within their conversation in two steps, within blocks of turn numbers and
+then by the blocks' sizes, so no task sorts a whole conversation. Windows are chosen on compact rows (place, tokens): the
+running sum of tokens, charged with the conversation's first system turn and the repeated history, is held against the
+budget, and a span ends with the turn before the one that goes over. Spans begin anew every RESTART turns, which bounds
+what is gathered at a time. Only then do the turns' texts join the windows that hold them. A window repeats the system
+turn and those of the `history` turns before its span that fit; the loss mask holds the assistant turns of the span
+itself, so every target counts once. A turn over the budget is alone in its window with the system turn.
 
 The template marks a turn as OPEN + " " + text + " " + CLOSE of its role. Control strings inside a text are broken by
 a backslash after their first character, one more than the text itself has there, so escaping can be undone exactly.
@@ -12,9 +15,12 @@ a backslash after their first character, one more than the text itself has there
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUDGET, HISTORY, TURN_TOKENS = 1024, 2, 4
+from lexmill.plans.storage import join_checked, materialize
 
-# The control strings of the template. Other roles are written into the text of an OTHER turn.
+#: Tokens of a window, turns repeated before its span at most, tokens of a turn's marks, and turns after which spans begin anew.
+BUDGET, HISTORY, TURN_TOKENS, RESTART = 1024, 2, 4, 4096
+
+# The control strings of the template. Other roles are written in hex into an OTHER turn.
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
 OTHER = ("<<ROLE>>", "<</ROLE>>")
 _REST = r"(/?s>|</?SYS>>|</?ROLE>>|/?INST\])"
@@ -31,7 +37,7 @@ def unescape(text: Column) -> Column:
 
 def _turn(role: Column, text: Column) -> Column:
     """A turn as the template writes it."""
-    out = F.concat(F.lit(OTHER[0] + " "), F.url_encode(role), F.lit("\n"), escape(text), F.lit(" " + OTHER[1]))
+    out = F.concat(F.lit(OTHER[0] + " "), F.hex(F.encode(role, "UTF-8")), F.lit("\n"), escape(text), F.lit(" " + OTHER[1]))
     for name, (a, b) in MARKS.items():
         out = F.when(role == name, F.concat(F.lit(a + " "), escape(text), F.lit(" " + b))).otherwise(out)
     return out
@@ -40,47 +46,95 @@ def _turn(role: Column, text: Column) -> Column:
 def _read(turn: Column) -> Column:
     """(role, text) of a turn that the template wrote."""
     inner = F.regexp_extract(turn, r"(?s)^(\S+) (.*) (\S+)$", 2)
-    out = F.struct(F.url_decode(F.substring_index(inner, "\n", 1)).alias("role"), unescape(F.regexp_replace(inner, r"(?s)^[^\n]*\n", "")).alias("text"))
+    out = F.struct(F.decode(F.unhex(F.substring_index(inner, "\n", 1)), "UTF-8").alias("role"), unescape(F.regexp_replace(inner, r"(?s)^[^\n]*\n", "")).alias("text"))
     for name, (a, _) in MARKS.items():
         out = F.when(F.startswith(turn, F.lit(a + " ")), F.struct(F.lit(name).alias("role"), unescape(inner).alias("text"))).otherwise(out)
     return out
 
 
-def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """(conv_id, window, n_turns, n_repeated, text, loss_spans) for conversations(conv_id, turn, role, text).
+def _numbered(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns keyed by (conv, none, block, k), and compact rows with each turn's place nth in its conversation.
 
-    text is the formatted window; its first n_repeated turns stand in earlier windows too. loss_spans lists (start,
-    length) in characters from 0, of the escaped texts under the loss mask. Null text and role count as empty; null
-    conv_id is a conversation of its own; rows with equal turn are ordered by role and text; other columns are not
-    read; an empty table gives an empty table. One conversation's rows are sorted in one task (they must be, for
-    their order), in memory that does not grow with them.
+    none marks the conversation without an id; k is the place within a block of RESTART turn numbers.
     """
-    of = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
+    turn = F.col("turn").cast("long")
     rows = conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
-        F.col("turn").cast("long").alias("turn"),
+        F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("conv"),
+        F.col("conv_id").cast("long").isNull().alias("none"),
+        F.coalesce(F.floor(turn / RESTART).cast("long"), F.lit(1 << 62)).alias("block"),
+        turn.alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).withColumn("tokens", F.lit(TURN_TOKENS) + F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))
-    upto = of.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = (
-        rows.withColumn("nth", F.row_number().over(of))
-        .withColumn("window", F.floor((F.sum("tokens").over(upto) - F.col("tokens")) / budget).cast("long"))
-        .withColumn("system", F.first(F.when(F.col("role") == "system", F.struct("nth", "text")), ignorenulls=True).over(upto))
-        .withColumn("opens", F.coalesce(F.col("window") != F.lag("window").over(of), F.lit(True)))
     )
-    ahead = of.rowsBetween(1, history) if history else None
-    later = F.collect_list(F.when(F.col("opens"), F.col("window"))).over(ahead) if history else F.array().cast("array<bigint>")
-    dealt = rows.withColumn("later", F.when(F.col("role") == "system", F.array().cast("array<bigint>")).otherwise(later))
-    dealt = dealt.select("conv_id", "nth", "role", "text", "opens", "system", F.col("window").alias("own"), F.explode(F.concat(F.array("window"), F.array_distinct("later"))).alias("window"))
-    repeated = F.col("window") != F.col("own")
-    turns = dealt.groupBy("conv_id", "window").agg(
-        F.array_sort(F.collect_list(F.struct("nth", repeated.alias("repeated"), "role", "text"))).alias("turns"),
-        F.max(F.when(F.col("opens") & ~repeated, F.struct("nth", "system"))).alias("head"),
+    of = Window.partitionBy("conv", "none", "block").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
+    turns = materialize(rows.withColumn("k", F.row_number().over(of)).withColumn("tokens", F.lit(TURN_TOKENS) + F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).drop("turn"))
+    size = turns.groupBy("conv", "none", "block").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("conv", "none").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = size.select("conv", "none", "block", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    compact = turns.select("conv", "none", "block", "k", "tokens", (F.col("role") == "system").alias("system"))
+    return turns, join_checked(compact, before, ["conv", "none", "block"]).select("conv", "none", (F.col("before") + F.col("k")).alias("nth"), "block", "k", "tokens", "system")
+
+
+_SPANS = "array<struct<first:bigint,repeats:int>>"
+
+
+def _spans(turns: Column, system: Column, part: Column, budget: int, history: int) -> Column:
+    """(first, repeats) of each window over `turns` in order; those of earlier parts stand before as history only."""
+
+    def add(s: Column, x: Column) -> Column:
+        head = F.when(system["nth"] < x["nth"], system["tokens"]).otherwise(F.lit(0)).cast("long")
+        fits = (F.size(s["spans"]) > 0) & (s["used"] + x["tokens"] <= budget)
+        room = F.lit(budget) - head - x["tokens"]
+        sums = F.transform(s["earlier"], lambda _, i: F.aggregate(F.slice(s["earlier"], 1, i + 1), F.lit(0).cast("long"), lambda n, e: n + e))
+        repeats = F.size(F.filter(sums, lambda n: n <= room))
+        opened = F.struct(x["nth"].alias("first"), repeats.alias("repeats"))
+        begun = head + x["tokens"] + F.coalesce(F.get(sums, repeats - 1), F.lit(0))
+        mine = x["part"] == part
+        kept = F.when(~mine | fits, s["spans"]).otherwise(F.concat(s["spans"], F.array(opened)))
+        cost = F.when(x["system"], F.lit(0)).otherwise(x["tokens"]).cast("long")  # the system turn is retained anyway
+        return F.struct(
+            F.when(fits, s["used"] + x["tokens"]).otherwise(begun).cast("long").alias("used"),
+            F.slice(F.concat(F.array(cost), s["earlier"]), 1, history).alias("earlier"),
+            kept.alias("spans"),
+        )
+
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("earlier"), F.array().cast(_SPANS).alias("spans"))
+    return F.aggregate(turns, start, add, lambda s: s["spans"])
+
+
+def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """(conv_id, window, n_turns, n_repeated, text, loss_spans) for conversations(conv_id, turn, role, text).
+
+    window is the number of its first own turn; text is the formatted window, whose first n_repeated turns stand in
+    earlier windows too. loss_spans lists (start, length) in characters from 0, of the escaped texts under the loss
+    mask. A window's turns hold at most `budget` tokens (words, and TURN_TOKENS a turn) unless it has one own turn that
+    is over it with the system turn; history that does not fit is left out, the farthest first. Null text and role
+    count as empty; null conv_id is a conversation of its own; null turns come last; rows with equal turn, repeated
+    ones too, are ordered by role and text; other columns are not read; an empty table gives an empty table.
+    """
+    turns, compact = _numbered(conversations)
+    compact = materialize(compact)
+    head = compact.filter("system").groupBy("conv", "none").agg(F.min(F.struct("nth", "block", "k", "tokens")).alias("head"))
+    part = F.floor((F.col("nth") - 1) / RESTART)
+    last = F.col("nth") - part * RESTART > RESTART - history  # the next part's history
+    parts = compact.withColumn("part", part).withColumn("in", F.explode(F.when(last, F.array(part, part + 1)).otherwise(F.array(part))))
+    grouped = parts.groupBy("conv", "none", "in").agg(F.array_sort(F.collect_list(F.struct("nth", "block", "k", "tokens", "system", "part"))).alias("turns"))
+    grouped = grouped.join(head, ["conv", "none"], "left")
+    chosen = grouped.select("conv", "none", "head", "turns", _spans(F.col("turns"), F.col("head"), F.col("in"), budget, history).alias("spans"))
+    ends = F.transform("spans", lambda s, i: F.struct(s["first"].alias("first"), s["repeats"].alias("repeats"), (F.coalesce(F.get("spans", i + 1)["first"], F.element_at("turns", -1)["nth"] + 1) - 1).alias("last")))
+    spans = chosen.withColumn("s", F.explode(ends)).select("conv", "none", "head", "turns", "s.first", "s.repeats", "s.last")
+    begin = (F.col("first") - F.col("repeats") - F.element_at("turns", 1)["nth"] + 1).cast("int")
+    held = F.expr("slice(turns, begin, cast(last - first as int) + repeats + 1)")
+    place = lambda x, nth, repeated: F.struct(x["block"].alias("block"), x["k"].alias("k"), nth.alias("nth"), repeated.alias("repeated"))
+    own = F.transform(F.filter(held, lambda x: (x["nth"] >= F.col("first")) | ~x["system"]), lambda x: place(x, x["nth"], x["nth"] < F.col("first")))
+    kept = F.when(F.col("head.nth") < F.col("first"), F.array(place(F.col("head"), F.lit(0).cast("long"), F.lit(True)))).otherwise(F.slice(own, 1, 0))
+    members = spans.withColumn("begin", begin).select("conv", "none", F.col("first").alias("window"), F.explode(F.concat(kept, own)).alias("m")).select("conv", "none", "window", "m.*")
+    parts = (
+        members.join(turns.select("conv", "none", "block", "k", "role", "text"), ["conv", "none", "block", "k"])
+        .groupBy("conv", "none", "window")
+        .agg(F.array_sort(F.collect_list(F.struct("nth", "repeated", "role", "text"))).alias("t"))
+        .select(F.when(~F.col("none"), F.col("conv")).alias("conv_id"), "window", "t")
     )
-    system = F.col("head.system")
-    before = F.when(system.isNotNull() & (system["nth"] < F.col("head.nth")), F.array(F.struct(system["nth"].alias("nth"), F.lit(True).alias("repeated"), F.lit("system").alias("role"), system["text"].alias("text"))))
-    parts = turns.select("conv_id", "window", F.concat(F.coalesce(before, F.array().cast("array<struct<nth:int,repeated:boolean,role:string,text:string>>")), "turns").alias("t"))
     parts = parts.select(
         "conv_id",
         "window",
