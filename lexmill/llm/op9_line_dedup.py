@@ -1,13 +1,15 @@
 """Line deduplication by overlapping windows of three lines.
 
 Only DataFrame functions. Each text is cut at line ends; lines with words are normalised and hashed, and every three
-consecutive ones make a window. A line of over LONG_WORDS words is a window by itself as well, and so are two
-consecutive lines of over LONG_WORDS words together. A repeated passage that lies inside lines which differ stays. Windows are compared over the whole table: the first occurrence,
-by doc_id and place, stays; later ones are removed, overlapping windows merging into runs of covered lines.
-
-What is compared are compact rows (hash, document, place). The first occurrence of each hash is a minimum that is
-aggregated before the shuffle, so a window which a third of all texts hold is one row a task; in the join back to
-the occurrences adaptive execution splits a hot hash. Texts are shuffled once, when covered places are taken to them.
+consecutive ones make a window. Windows are compared over the whole table: the first occurrence, by doc_id and place,
+stays; later ones are removed, overlapping windows merging into runs of covered lines. A repeated passage of over
+PASSAGE_WORDS words may stand on fewer than three lines, so one or two consecutive lines that hold so many words are a
+window too. A repeated passage that lies inside lines which differ stays.
+
+What is compared are compact rows (two hashes of 64 bits, document, place). The first occurrence of each window is a
+minimum that is aggregated before the shuffle, so a window which a third of all texts hold is one row a task; in the
+join back to the occurrences adaptive execution splits a hot hash. Texts are written once with a number for each row,
+and shuffled once, when covered places are taken to them.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -16,40 +18,34 @@ from pyspark.sql import functions as F
 from lexmill.llm.op6_quality_rules import SPACE, let
 from lexmill.plans.storage import materialize
 
-WINDOW, LONG_WORDS = 3, 50
-_SPANS = "array<struct<first:int,last:int,h:bigint>>"
+WINDOW, PASSAGE_WORDS = 3, 50
+_SPANS = "array<struct<first:int,last:int,h:bigint,g:bigint>>"
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _windows(lines: Column, pairs: bool) -> Column:
-    """(place of the first line, place of the last, hash) of each window."""
+def _windows(lines: Column) -> Column:
+    """(place of the first line, place of the last, two hashes) of each window."""
 
     def one(line: Column, at: Column) -> Column:
         return let(
             F.trim(F.regexp_replace(F.lower(line), SPACE + "+", " ")),
-            lambda z: F.struct(at.alias("at"), F.when(z == "", F.lit(0)).otherwise(F.length(z) - F.length(F.replace(z, F.lit(" "), F.lit(""))) + 1).alias("words"), F.xxhash64(z).alias("h")),
+            lambda z: F.struct(
+                at.alias("at"), F.when(z == "", F.lit(0)).otherwise(F.length(z) - F.length(F.replace(z, F.lit(" "), F.lit(""))) + 1).alias("words"), F.xxhash64(z).alias("h"), F.xxhash64(F.lit(1), z).alias("g")
+            ),
         )
 
     def spans(s: Column) -> Column:
-        three = F.when(F.size(s) < WINDOW, F.array().cast(_SPANS)).otherwise(
-            F.transform(
-                F.sequence(F.lit(1), F.size(s) - (WINDOW - 1)),
-                lambda i: F.struct(
-                    F.element_at(s, i)["at"].alias("first"), F.element_at(s, i + (WINDOW - 1))["at"].alias("last"), F.xxhash64(*[F.element_at(s, i + k)["h"] for k in range(WINDOW)]).alias("h")
-                ),
-            ).cast(_SPANS)
-        )
-        two = F.when(F.size(s) < 2, F.array().cast(_SPANS)).otherwise(
-            F.transform(
-                F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda i: F.element_at(s, i)["words"] + F.element_at(s, i + 1)["words"] > LONG_WORDS),
-                lambda i: F.struct(F.element_at(s, i)["at"].alias("first"), F.element_at(s, i + 1)["at"].alias("last"), F.xxhash64(*[F.element_at(s, i + k)["h"] for k in range(2)]).alias("h")),
-            ).cast(_SPANS)
-        )
-        long = F.transform(F.filter(s, lambda x: x["words"] > LONG_WORDS), lambda x: F.struct(x["at"].alias("first"), x["at"].alias("last"), x["h"].alias("h"))).cast(_SPANS)
-        return F.concat(three, two, long) if pairs else F.concat(three, long)
+        def runs(n: int, least: int) -> Column:
+            every = F.when(F.size(s) >= n, F.sequence(F.lit(0), F.size(s) - n)).otherwise(F.array().cast("array<int>"))
+            part = lambda i, field: [F.get(s, i + k)[field] for k in range(n)]
+            if least:
+                every = F.filter(every, lambda i: sum(part(i, "words"), F.lit(0)) > least)
+            return F.transform(every, lambda i: F.struct(F.get(s, i)["at"].alias("first"), F.get(s, i + n - 1)["at"].alias("last"), F.xxhash64(*part(i, "h")).alias("h"), F.xxhash64(*part(i, "g")).alias("g"))).cast(_SPANS)
+
+        return F.concat(runs(WINDOW, 0), *[runs(n, PASSAGE_WORDS) for n in range(1, WINDOW)])
 
     return let(F.filter(F.transform(lines, one), lambda x: x["words"] > 0), spans)
 
@@ -64,7 +60,7 @@ def _without(lines: Column, covered: Column) -> Column:
     return let(lines, rest)
 
 
-def covered_lines(docs: DataFrame, pairs: bool = True) -> DataFrame:
+def covered_lines(docs: DataFrame) -> DataFrame:
     """(row, covered): for each row that holds later occurrences, the places of the lines to remove, in order.
 
     docs has doc_id, text and row, a number that stands for the row.
@@ -72,23 +68,23 @@ def covered_lines(docs: DataFrame, pairs: bool = True) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     last = (1 << 63) - 1
     windows = materialize(
-        docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("doc"), "row", F.explode(_windows(_lines(text), pairs)).alias("w")).select("w.h", "doc", "row", "w.first", "w.last")
+        docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("doc"), "row", F.explode(_windows(_lines(text))).alias("w")).select("w.h", "w.g", "doc", "row", "w.first", "w.last")
     )
     place = F.struct("doc", "row", "first", "last")
-    repeated = materialize(windows.groupBy("h").agg(F.min(place).alias("kept"), F.count("*").alias("n")).filter("n > 1").select("h", "kept"))
-    later = windows.join(repeated, "h").filter(place > F.col("kept"))
+    repeated = materialize(windows.groupBy("h", "g").agg(F.min(place).alias("kept"), F.count("*").alias("n")).filter("n > 1").select("h", "g", "kept"))
+    later = windows.join(repeated, ["h", "g"]).filter(place > F.col("kept"))
     # where a window overlaps the one that stays, the lines of that one stay
     first = F.when(F.col("row") == F.col("kept.row"), F.greatest(F.col("first"), F.col("kept.last") + 1)).otherwise(F.col("first"))
     runs = later.select("row", first.alias("first"), "last").filter("first <= last").groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     return runs.select("row", F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"]))))).alias("covered"))
 
 
-def _deduped(docs: DataFrame, pairs: bool = True) -> DataFrame:
+def _deduped(docs: DataFrame) -> DataFrame:
     """docs, all columns, with text less its repeated lines, and _n_lines and _n_removed."""
-    plain = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")))
-    covered = materialize(covered_lines(plain.select("doc_id", "text", F.col("_row").alias("row")), pairs))
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+    covered = materialize(covered_lines(rows.select("doc_id", "text", F.col("_row").alias("row"))))
     lines = _lines(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    out = plain.join(covered.select(F.col("row").alias("_row"), F.col("covered").alias("_covered")).hint("shuffle_hash"), "_row", "left")
+    out = rows.join(covered.select(F.col("row").alias("_row"), F.col("covered").alias("_covered")).hint("shuffle_hash"), "_row", "left")
     return out.select(
         *[F.when(F.col("_covered").isNull(), F.col("text").cast("string")).otherwise(_without(lines, F.col("_covered"))).alias("text") if c == "text" else F.col(c) for c in docs.columns],
         F.size(lines).cast("long").alias("_n_lines"),
@@ -96,15 +92,15 @@ def _deduped(docs: DataFrame, pairs: bool = True) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, pairs: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs, all columns, with text less its repeated lines, and n_lines and n_removed (long).
 
-    pairs=False leaves out the windows of two lines. Null and empty texts stay as they are. Rows that repeat both doc_id and text are one document to this operator:
-    the second is no later occurrence. Rows without a doc_id come last in the order of occurrences. An empty table
-    gives an empty table; columns of docs named n_lines or n_removed are replaced.
+    Null and empty texts stay as they are; very long texts are worked whole. Of rows that repeat, or share a doc_id, the
+    first as read is the earlier occurrence. Rows without a doc_id come last in the order of occurrences. An empty
+    table gives an empty table; columns of docs named n_lines or n_removed are replaced.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return _deduped(docs, pairs).select(*kept, F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
+    return _deduped(docs).select(*kept, F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
