@@ -22,10 +22,10 @@ r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM h, range(0, 5)
 u AS (SELECT doc_id, source, text, unnest(lines) AS line FROM w),
 z AS (SELECT doc_id, source, text, array_to_string(list_filter(string_split_regex(lower(line), '{_SPACE}+'), lambda x: x <> ''), ' ') AS line FROM u),
 s AS (SELECT *, len(line) - len(replace(line, ' ', '')) + 1 AS words FROM z),
-f AS (SELECT source, line, count(DISTINCT text) AS n FROM s WHERE words <= 25 GROUP BY source, line HAVING count(DISTINCT text) >= 20),
-t AS (SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY source),
-o AS (SELECT f.source, f.line FROM f JOIN t ON f.source IS NOT DISTINCT FROM t.source WHERE f.n > 0.01 * t.texts),
-x AS (SELECT s.doc_id, sum(s.words) AS removed FROM s JOIN o ON s.source IS NOT DISTINCT FROM o.source AND s.line = o.line WHERE s.words <= 25 GROUP BY s.doc_id),
+f AS (SELECT source, line, count(DISTINCT doc_id) AS n FROM s GROUP BY source, line HAVING count(DISTINCT doc_id) >= 20),
+t AS (SELECT source, count(DISTINCT doc_id) AS docs FROM d GROUP BY source),
+o AS (SELECT f.source, f.line FROM f JOIN t ON f.source IS NOT DISTINCT FROM t.source WHERE f.n > 0.01 * t.docs),
+x AS (SELECT s.doc_id, sum(s.words) AS removed FROM s JOIN o ON s.source IS NOT DISTINCT FROM o.source AND s.line = o.line GROUP BY s.doc_id),
 m AS (SELECT w.doc_id, len(words) AS n_words, len(regexp_replace(text, '{_SPACE}+', '', 'g')) AS word_chars,
       len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
       coalesce(r.n_repeat_words, 0) AS n_repeat_words, coalesce(x.removed, 0)::BIGINT AS removed_words FROM w LEFT JOIN r USING (doc_id) LEFT JOIN x USING (doc_id))
@@ -33,32 +33,41 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, remo
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - removed_words >= 0.2 * n_words AS kept FROM m
 """
 
-#: The digests straight from the turns; the length of the windows from the budget, without building them.
+#: The digests straight from the turns. The length of the windows without building them: from prefix sums the last turn
+#: that a window begun at each turn would hold, and a recursive walk from window to window.
 OP7 = r"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-n AS (SELECT *, row_number() OVER w AS nth, 4 + len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS tokens,
-  len(regexp_replace(text, '([<\[])(\\*)(/?s>|</?SYS>>|</?ROLE>>|/?INST\])', '\1\\\2\3', 'g')) + CASE role WHEN 'system' THEN 17 WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 ELSE 20 + len(url_encode(role)) END AS chars
+n AS (SELECT *, coalesce(conv_id::VARCHAR, 'none') AS k, row_number() OVER w AS nth, 4 + len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS tokens,
+  len(regexp_replace(text, '([<\[])(\\*)(/?s>|</?SYS>>|</?ROLE>>|/?INST\])', '\1\\\2\3', 'g')) + CASE role WHEN 'system' THEN 17 WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 ELSE 20 + len(hex(role)) END AS chars
   FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text)),
-s AS (SELECT *, CAST(floor((sum(tokens) OVER (PARTITION BY conv_id ORDER BY nth) - tokens) / 1024) AS BIGINT) AS win FROM n),
-b AS (SELECT conv_id, win, min(nth) AS first FROM s GROUP BY conv_id, win),
-y AS (SELECT conv_id, arg_min(chars, nth) AS chars, min(nth) AS nth FROM s WHERE role = 'system' GROUP BY conv_id),
-more AS (SELECT b.conv_id, sum(s.chars) AS chars FROM b JOIN s ON s.conv_id = b.conv_id AND s.nth < b.first AND s.nth >= b.first - 2 AND s.role <> 'system' GROUP BY b.conv_id),
-sys AS (SELECT b.conv_id, sum(y.chars) AS chars FROM b JOIN y ON y.conv_id = b.conv_id AND y.nth < b.first GROUP BY b.conv_id),
-a AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
-  coalesce(string_agg(text, '' ORDER BY nth) FILTER (WHERE role = 'assistant'), '') AS loss, sum(chars) AS chars FROM s GROUP BY conv_id)
-SELECT a.conv_id, n_turns, turns_sha256, len(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(a.chars + coalesce(more.chars, 0) + coalesce(sys.chars, 0) AS BIGINT) AS formatted_chars
-FROM a LEFT JOIN more USING (conv_id) LEFT JOIN sys USING (conv_id)
+y AS (SELECT k, min(nth) AS y_nth, arg_min(tokens, nth) AS y_tokens, arg_min(chars, nth) AS y_chars FROM n WHERE role = 'system' GROUP BY k),
+s AS (SELECT n.*, (nth - 1) // 4096 AS part, sum(tokens) OVER o AS upto, sum(chars) OVER o AS chars_upto, CASE WHEN y_nth < nth THEN y_tokens ELSE 0 END AS y_cost, CASE WHEN y_nth < nth THEN y_chars ELSE 0 END AS y_len,
+  lag(CASE role WHEN 'system' THEN 0 ELSE tokens END, 1) OVER o AS h1, lag(CASE role WHEN 'system' THEN 0 ELSE tokens END, 2) OVER o AS h2,
+  lag(CASE role WHEN 'system' THEN 0 ELSE chars END, 1) OVER o AS c1, lag(CASE role WHEN 'system' THEN 0 ELSE chars END, 2) OVER o AS c2
+  FROM n LEFT JOIN y USING (k) WINDOW o AS (PARTITION BY n.k ORDER BY nth)),
+b AS (SELECT *, CASE WHEN h1 IS NULL OR y_cost + tokens + h1 > 1024 THEN 0 WHEN h2 IS NULL OR y_cost + tokens + h1 + h2 > 1024 THEN 1 ELSE 2 END AS repeats FROM s),
+e AS (SELECT *, upto - tokens + 1024 - y_cost - CASE WHEN repeats > 0 THEN h1 ELSE 0 END - CASE WHEN repeats > 1 THEN h2 ELSE 0 END AS reach FROM b),
+z AS (SELECT e.k, e.nth, e.part, any_value(e.y_len + CASE WHEN e.repeats > 0 THEN e.c1 ELSE 0 END + CASE WHEN e.repeats > 1 THEN e.c2 ELSE 0 END) AS more, max(j.nth) AS last
+  FROM e JOIN s j ON j.k = e.k AND j.part = e.part AND j.nth BETWEEN e.nth AND e.nth + 256 AND (j.nth = e.nth OR j.upto <= e.reach) GROUP BY e.k, e.nth, e.part),
+win AS (SELECT k, part, nth, last, more FROM z WHERE nth = part * 4096 + 1 UNION ALL SELECT z.k, z.part, z.nth, z.last, z.more FROM win JOIN z ON z.k = win.k AND z.part = win.part AND z.nth = win.last + 1),
+m AS (SELECT k, sum(more) AS more FROM win GROUP BY k),
+a AS (SELECT k, any_value(conv_id) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
+  coalesce(string_agg(text, '' ORDER BY nth) FILTER (WHERE role = 'assistant'), '') AS loss, sum(chars) AS chars FROM n GROUP BY k)
+SELECT conv_id, n_turns, turns_sha256, len(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(a.chars + m.more AS BIGINT) AS formatted_chars FROM a JOIN m USING (k)
 """
 
 OP9 = rf"""
-WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
+WITH l AS (SELECT doc_id, text IS NULL AS is_null, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
 n AS (SELECT *, trim(regexp_replace(lower(line), '{_SPACE}+', ' ', 'g'), ' ') AS norm FROM l),
-k AS (SELECT doc_id, pos AS at_first, lead(pos, 2) OVER w AS at_last, norm || chr(10) || lead(norm) OVER w || chr(10) || lead(norm, 2) OVER w AS h FROM n WHERE norm <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-win AS (SELECT doc_id, at_first, at_last, h FROM k WHERE at_last IS NOT NULL UNION ALL SELECT doc_id, pos, pos, norm FROM n WHERE len(norm) - len(replace(norm, ' ', '')) + 1 > 50),
+k AS (SELECT doc_id, pos AS at_first, lead(pos) OVER w AS at_next, lead(pos, 2) OVER w AS at_last, norm AS one, norm || chr(10) || lead(norm) OVER w AS two, norm || chr(10) || lead(norm) OVER w || chr(10) || lead(norm, 2) OVER w AS three
+  FROM n WHERE norm <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+win AS (SELECT doc_id, at_first, at_last, three AS h FROM k WHERE at_last IS NOT NULL
+  UNION ALL SELECT doc_id, at_first, at_next, two FROM k WHERE at_next IS NOT NULL AND len(regexp_extract_all(two, '[^ \n]+')) > 50
+  UNION ALL SELECT doc_id, at_first, at_first, one FROM k WHERE len(regexp_extract_all(one, '[^ ]+')) > 50),
 f AS (SELECT *, first_value(doc_id) OVER o AS kept_doc, first_value(at_last) OVER o AS kept_last, row_number() OVER o AS nth FROM win WINDOW o AS (PARTITION BY h ORDER BY doc_id, at_first)),
 c AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_id = kept_doc THEN greatest(at_first, kept_last + 1) ELSE at_first END, at_last + 1)) AS pos FROM f WHERE nth > 1)
-SELECT l.doc_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE c.pos IS NULL), '') AS text, count(*) AS n_lines, count(c.pos) AS n_removed
+SELECT l.doc_id, CASE WHEN bool_or(l.is_null) THEN NULL ELSE coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE c.pos IS NULL), '') END AS text, count(*) AS n_lines, count(c.pos) AS n_removed
 FROM l LEFT JOIN c ON c.doc_id = l.doc_id AND c.pos = l.pos GROUP BY l.doc_id
 """
 

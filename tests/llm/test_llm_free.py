@@ -278,5 +278,18 @@ def test_toxicity_learns_every_marking_word():
     plain = lambda: rng.choices([f"w{i}" for i in range(50)], k=60)
     toxic = [" ".join(plain() + [marks[(i * 9 + k) % 251] for k in range(9)]) for i in range(800)]
     sample = [(t, 1) for t in toxic] + [(" ".join(plain()), 0) for _ in range(2400)]
-    held = op8_toxicity.ToxicityModel(sample).dictionaries[0].split()
-    assert all(m.encode() in held for m in marks)
+    assert op8_toxicity.marking_words(toxic, [t for t, y in sample if not y]) == {m.encode() for m in marks}
+    model = op8_toxicity.ToxicityModel(sample)
+    scores = model.score([" ".join(plain() + [marks[(i * 5 + k) % 251] for k in range(5)]) for i in range(251)] + [" ".join(plain()) for _ in range(251)])
+    assert auc(scores, np.array([1] * 251 + [0] * 251)) > 0.95
+
+
+def test_labelled_sample_takes_whole_texts_up_to_its_bound(spark):
+    from lexmill.llm.labelled import labelled_sample
+
+    docs = spark.createDataFrame([(i, "x" * (100_000 if i == 3 else 10)) for i in range(40)] + [(5, "x"), (60, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(60, 1), (None, 1)], "doc_id long, quality int")
+    whole, shift = labelled_sample(docs, labels, "quality", 100, labels.doc_id >= 0)
+    assert len(whole) == 40 and shift == 0 and max(len(t) for t, _ in whole) == 100_000 and min(len(t) for t, _ in whole) == 1
+    some, _ = labelled_sample(docs, labels, "quality", 100, labels.doc_id >= 0, chars=200)
+    assert sum(len(t) for t, y in some if y == 0) == 100 and sum(len(t) for t, y in some) <= 200

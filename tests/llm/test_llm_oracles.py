@@ -37,14 +37,43 @@ def test_odd_conversations(spark, tmp_path):
     assert rows_of(queries.QUERIES["op7_chat_formatting"](spark, str(tmp_path))) == rows_of_sql(oracles.ORACLES["op7_chat_formatting"], SF, conversations=f"{tmp_path}/conversations.parquet/*.parquet")
 
 
-def test_windows_keep_to_the_budget(spark):
-    rows = [(1, 0, "system", "be kind")] + [(1, i, "user" if i % 2 else "assistant", "w " * 100) for i in range(1, 60)]
-    found = op7_chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=512).orderBy("window").collect()
-    assert len(found) > 5
-    for r in found:
-        assert r["text"].startswith("<<SYS>> be kind <</SYS>>") and r["text"].count(" w") <= 512 + 104 * 4
-        assert all(r["text"][s["start"] : s["start"] + s["length"]] == "w " * 100 for s in r["loss_spans"])
-    assert sum(len(r["loss_spans"]) for r in found) == 29
+def words_of(text):
+    return len(text.split())
+
+
+@pytest.mark.parametrize(("sizes", "budget"), [([100] * 59, 512), ([1000, 3000, 900, 5, 5, 1016, 1, 1], 1024), ([3] * 5000, 1024), ([500, 20, 700, 1, 300, 1020, 40] * 30, 1024)])
+def test_windows_keep_to_the_budget(spark, sizes, budget):
+    rows = [(1, 0, "system", "be kind")] + [(1, i, "user" if i % 2 else "assistant", "w " * n) for i, n in enumerate(sizes, 1)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = op7_chat.format_windows(frame, budget=budget).orderBy("window").collect()
+    mine = [r["n_turns"] - r["n_repeated"] for r in found]
+    assert sum(mine) == len(rows) and [r["window"] for r in found] == [1 + sum(mine[:i]) for i in range(len(mine))]
+    for r, own in zip(found, mine, strict=True):
+        tokens = r["text"].count("w ") + 2 * r["text"].count("be kind") + 4 * r["n_turns"]
+        alone = own == 1 and r["n_repeated"] <= 1  # a turn that is over the budget with the system turn
+        assert tokens <= budget or alone
+        assert r["text"].startswith("<<SYS>> be kind <</SYS>>") and r["n_repeated"] <= 3
+    full = [op7_chat.TURN_TOKENS + n for n in [2, *sizes]]
+    for r, nxt in zip(found, found[1:], strict=False):  # the next turn did not fit, or spans begin anew there
+        first, after = r["window"], nxt["window"]
+        charged = r["text"].count("w ") + 2 * r["text"].count("be kind") + 4 * r["n_turns"]
+        assert charged + full[after - 1] > budget or (after - 1) % op7_chat.RESTART == 0, (first, after)
+    spans = [r["text"][s["start"] : s["start"] + s["length"]] for r in found for s in r["loss_spans"]]
+    assert spans == [t for _, _, role, t in rows if role == "assistant"]
+
+
+def test_chat_nulls_ties_and_clashing_columns(spark):
+    rows = [(None, 1, "user", "a"), (None, 0, "assistant", "b"), (2, None, "user", "last"), (2, 5, None, None), (2, 5, "user", "x"), (2, 5, "user", "x"), (0, 1, "user", "zero")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as window", "2 as block", "3 as k", "4 as conv")
+    found = {r["conv_id"]: r for r in op7_chat.read_windows(op7_chat.format_windows(frame)).collect()}
+    import hashlib
+
+    sha = lambda *turns: hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    assert {k: (r["n_turns"], r["turns_sha256"]) for k, r in found.items()} == {
+        None: (2, sha(("assistant", "b"), ("user", "a"))),
+        2: (4, sha(("", ""), ("user", "x"), ("user", "x"), ("user", "last"))),
+        0: (1, sha(("user", "zero"))),
+    }
 
 
 def test_nulls_empty_tables_and_other_columns(spark):
@@ -90,8 +119,27 @@ def test_odd_vectors(spark):
 def test_passages_of_two_lines_go_too(spark):
     a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
     rows = [(1, f"{a}\n{b}"), (2, f"head\n{a}\n\n{b}\ntail"), (3, f"{a}\nother"), (4, f"{b}\n{a}"), (5, "x\ny"), (6, "x\ny")]
-    found = {r["doc_id"]: r["text"] for r in op9_line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert found == {**dict(rows), 2: "head\ntail"}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for found in (op9_line_dedup.drop_repeated_lines(docs), op9_line_dedup.dedup_lines(docs)):
+        assert {r["doc_id"]: r["text"] for r in found.collect()} == {**dict(rows), 2: "head\ntail"}
+
+
+def test_repeated_rows_are_later_occurrences(spark):
+    text = "l1 a\nl2 b\nl3 c\nl4 d"
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "x\ny"), (2, "x\ny")], "doc_id long, text string").coalesce(1)
+    assert sorted(map(str, (tuple(r) for r in op9_line_dedup.dedup_lines(docs).select("doc_id", "text", "n_removed").collect()))) == sorted(
+        map(str, [(1, text, 0), (1, "", 4), (None, "", 4), (2, "x\ny", 0), (2, "x\ny", 0)])
+    )
+    assert op9_line_dedup.drop_repeated_lines(docs).count() == 3
+
+
+def test_rules_judge_rows_not_ids(spark):
+    good, bad = " ".join(f"w{i}" for i in range(30)), "too short"
+    rows = [(1, good, "a"), (1, bad, "a"), (None, good, "a"), (None, bad, None), (2, good, None), (2, good, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as host", "2 as row", "3 as line")
+    assert op6_quality_rules.quality_rules(docs).filter("kept").count() == 4
+    kept = op6_quality_rules.keep_by_rules(docs)
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "2", "None"]
 
 
 def test_long_lines_of_a_host_are_boilerplate(spark):
