@@ -231,20 +231,23 @@ class WordCodec:
 
     ODD = ("<|", "Σ", "\x1c", "\x1d", "\x1e", "\x1f")
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 900_000):
         self.path, self.bpe, self.split, self.keep = path, SegmentTreeBpe(path), regex.compile(WORD_PIECES), keep
         self.words: dict[str, bytes] = {}
         self.library = None
 
     def learn(self, words: set[str]) -> None:
+        """Keep the ids of words and of their pieces; a piece is a word whose only piece is itself."""
         if len(self.words) > self.keep:
             self.words.clear()
-        new = [w for w in words if w not in self.words]
-        cut = [[w] if w.isalpha() and w.isascii() else self.split.findall(w) for w in new]
-        distinct = list({p for ps in cut for p in ps})
-        ids = dict(zip(distinct, (array("I", x).tobytes() for x in self.bpe.encode([p.encode() for p in distinct])), strict=True))
-        for w, ps in zip(new, cut, strict=True):
-            self.words[w] = b"".join([ids[p] for p in ps])
+        known = self.words
+        new = words.difference(known)
+        whole = {w for w in new if w.isalpha() and w.isascii()}
+        cut = [(w, self.split.findall(w)) for w in new - whole]
+        pieces = list(whole.union(p for _, ps in cut for p in ps).difference(known))
+        known.update(zip(pieces, [array("I", x).tobytes() for x in self.bpe.encode([p.encode() for p in pieces])], strict=True))
+        for w, ps in cut:
+            known[w] = b"".join([known[p] for p in ps])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut: list = []
