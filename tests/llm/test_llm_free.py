@@ -32,6 +32,50 @@ def test_html_keeps_the_article():
     assert op1_html.main_text(page, op1_html.train()) == "Title & more\n\nFirst line goes on here.\n\nSecond <b> é\n\nOne\n\nTwo"
 
 
+LONG = " ".join(f"word{i}" for i in range(40))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div class='layout has-sidebar'><article><h1>T</h1><p>{LONG}</p></article></div>", ["T", LONG]),
+        (f"<div class='no-sidebar'><main><p>{LONG}</p></main></div>", [LONG]),
+        (f"<div class='page with-header'><p>{LONG}</p></div>", [LONG]),
+        (f"<div class='search-results'><main><h1>T</h1><p>{LONG}</p></main></div><div class=sidebar><p>other</p></div>", ["T", LONG]),
+        (f"<form id=aspnetForm><div class=menu><a>Home</a></div><article><h1>T</h1><p>{LONG}</p></article></form>", ["T", LONG]),
+        (f"<article><header><h1>T</h1><p>A standfirst of the text</p></header><p>{LONG}</p><figure><figcaption>What it shows</figcaption></figure></article>", ["T", "A standfirst of the text", LONG, "What it shows"]),
+        (f"<article><p>{LONG}</p><nav><a>Next page</a></nav><p><a>All of this is one link</a></p><div class=related-posts><a>More</a></div></article>", [LONG, "All of this is one link"]),
+        (f"<div><a href=/>Home</a></div><div><a><div>Also a link</div></a></div><h1>A title here</h1><p>{LONG}</p><div><a>One</a></div><div><a>Two</a></div>", ["A title here", LONG]),
+        (f"<article><p title=don't>{LONG}</p><p title='a > b'>x</p></article>", [LONG, "x"]),
+        (f"<main><p>{LONG}</p><section id=comments><article><p>{LONG}</p></article></section></main>", [LONG]),
+    ],
+)
+def test_html_by_structure(page, want):
+    assert op1_html.main_text(page, op1_html.train()).split("\n\n") == want
+
+
+def test_html_labelled_pages_are_learnt():
+    tree, wrong = op1_html.train(), 0
+    for *x, label in op1_html.labelled():
+        node = tree
+        while isinstance(node, tuple):
+            node = node[2] if x[node[0]] <= node[1] else node[3]
+        wrong += node != label
+    assert wrong == 0
+
+
+@pytest.mark.parametrize("bad", ["<a ", "<p class='", "<p x=\"y' ", "<div>", "</p></i", "<!--", "<script>", "<", "<td><tr>", "&"])
+def test_html_time_is_proportional(bad):
+    import time
+
+    took = []
+    for n in (20_000, 200_000):
+        began = time.process_time()
+        op1_html.main_text(bad * n + '"', op1_html.train())
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * max(took[0], 0.1)
+
+
 @pytest.mark.parametrize("page", [None, "", " ", "<", "<p", "<!-- open", "<script>x", "</p></div>", "<a" * 1000, "<p>" * 20_000])
 def test_html_odd_pages(page):
     assert "<" not in op1_html.main_text(page, op1_html.train()) or page == "<"
