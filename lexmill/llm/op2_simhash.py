@@ -3,8 +3,8 @@
 Two fingerprints of 64 bits that differ in at most d bits agree in at least 8 - d of their 8 byte positions: the
 guaranteed number of matches. The index is keyed by `key_bytes` positions at once, over a set of positions such that
 any 8 - d shared ones contain a key; so no pair is missed, and a posting list holds a 2^-24 share of unrelated
-fingerprints rather than a 2^-8 one. Within a posting list the shared positional bytes of each pair are tallied,
-pairs below the guarantee are dropped, and the rest are verified bit by bit.
+fingerprints rather than a 2^-8 one. Within a posting list the shared positional bytes of each pair are tallied, pairs
+that reach the guarantee are the candidates (the key's own bytes are one short of it), and these are verified bit by bit.
 
 Lists are sorted runs of Spark partitions. A long list (one huge group of near copies) is cut into blocks, each pair
 of blocks being a task's work of bounded size; what leaves a block is a spanning forest of its links, never its
@@ -84,9 +84,11 @@ def _links(max_distance: int):
         return column.to_numpy(zero_copy_only=False)
 
     def close(x: np.ndarray) -> np.ndarray:
-        """Of differences x: tally equal positional bytes, keep those with enough, verify the bits."""
+        """Of differences x: tally the equal positional bytes; only candidates with enough of them have their bits verified."""
         tally = (np.ascontiguousarray(x)[..., None].view(np.uint8) == 0).sum(axis=-1)
-        return (tally >= least) & (np.bitwise_count(x) <= max_distance)
+        found = tally >= least
+        found[found] = np.bitwise_count(x[found]) <= max_distance
+        return found
 
     def run(batches):
         for rows, starts in sorted_groups(batches, ["slot", "key", "i", "j"], ["fp", "doc_id"], to_numpy):
