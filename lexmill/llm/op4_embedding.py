@@ -131,10 +131,11 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, tables: int = 30, ha
     n_links counts the other vectors at cosine >= threshold, component_id is the smallest vec_id reachable by links
     and kept tells whether that is the vector itself. Vectors that are null, empty or zero, or that hold nulls or
     non-finite numbers, link with nothing; so do vectors of different length. vec_id is taken as a key: of rows
-    that repeat one, any usable vector counts and each row is returned. An empty table gives an empty table; other
+    that repeat one, the least usable vector counts (as packed bytes, shorter ones first) and each row is returned. An empty table gives an empty table; other
     columns are not read. More hashes a table suit a larger corpus, with more tables to hold the recall.
     """
-    vectors = materialize(_vectors(df).dropDuplicates(["vec_id"]).withColumn("same", F.sha2("unit", 256)))
+    least = _vectors(df).groupBy("vec_id").agg(F.min(F.struct("dims", "unit")).alias("v")).select("vec_id", "v.dims", "v.unit")
+    vectors = materialize(least.withColumn("same", F.sha2("unit", 256)))
     classes = materialize(vectors.groupBy("same", "dims", "unit").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")))
     units = classes.select("vec_id", "unit", "copies")
     found = _blocks(_buckets(classes.select("vec_id", "dims", "unit"), tables, hashes, width, seed), ["t", "bucket"])

@@ -116,6 +116,32 @@ def test_odd_vectors(spark):
     assert found[1000]["component_id"] == 0 and not found[1000]["kept"]
 
 
+def test_repeated_vector_ids_and_clashing_columns(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, None), (2, [0.0, 2.0]), (3, [3.0, 0.1]), (None, [1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as unit", "2 as same", "3 as component")
+    want = sorted([("1", 1, "1"), ("1", 1, "1"), ("1", 1, "1"), ("2", 1, "1"), ("3", 0, "3"), ("None", 0, "None")])
+    for parts in (1, 3):
+        found = op4_embedding.near_duplicates(frame.repartition(parts)).collect()
+        assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in found) == want
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows, x = [], []
+    for i in range(400):  # single pairs at cosine 0.95 to 0.96, each a component of its own
+        a = rng.standard_normal(64)
+        a /= np.linalg.norm(a)
+        b = rng.standard_normal(64)
+        b -= (b @ a) * a
+        b /= np.linalg.norm(b)
+        c = rng.uniform(0.9501, 0.96)
+        rows += [(2 * i, a.tolist()), (2 * i + 1, (c * a + np.sqrt(1 - c * c) * b).tolist())]
+    found = op4_embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert found.filter("n_links = 1 and component_id = vec_id - vec_id % 2").count() >= 0.95 * 800
+
+
 def test_passages_of_two_lines_go_too(spark):
     a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
     rows = [(1, f"{a}\n{b}"), (2, f"head\n{a}\n\n{b}\ntail"), (3, f"{a}\nother"), (4, f"{b}\n{a}"), (5, "x\ny"), (6, "x\ny")]
