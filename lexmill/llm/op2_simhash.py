@@ -222,8 +222,8 @@ def _tree(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(spanning: bool):
-    """(src, dst) within a bucket, of different labels, whose sizes and sketches allow for a similarity of 0.8: all of
-    them, or as many as span them."""
+    """Within a bucket, pairs of different labels whose sizes and sketches allow for a similarity of 0.8: as many
+    (src, dst) as span them, or else the texts (key, i, j, sid) that are in any."""
     least = int(LEAST_ESTIMATE * BANDS * ROWS)
 
     def to_numpy(name, column):
@@ -242,9 +242,51 @@ def _candidates(spanning: bool):
                     m = n[r : r + 64, None].astype(np.int64)
                     near[r : r + 64] = (5 * np.minimum(m, n) >= 4 * np.maximum(m, n)) & (label[r : r + 64, None] != label)
                     near[r : r + 64] &= (sketch[r : r + 64, None] == sketch).sum(axis=2) >= least
-                x, y = _tree(near) if spanning else np.nonzero(np.triu(near))
-                if len(x):
+                if spanning:
+                    x, y = _tree(near)
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sid[x], sid[y])), pa.array(np.maximum(sid[x], sid[y]))], ["src", "dst"])
+                else:
+                    at = s + np.flatnonzero(near.any(axis=1))
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[c][at]) for c in ("key", "i", "j", "sid")], ["key", "i", "j", "sid"])
+
+    return run
+
+
+def _shared(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many elements each two of the sets share; only elements of two sets or more are looked at."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[at]
+    row, number = row[number >= 0], number[number >= 0]
+    order = np.argsort(number, kind="stable")
+    row, number = row[order], number[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(number[-1]) + 1 if len(number) else 0, columns):
+        a, b = np.searchsorted(number, (first, first + columns))
+        x = np.zeros((len(sets), columns), np.float32)
+        x[row[a:b], number[a:b] - first] = 1
+        out += x @ x.T
+    return out
+
+
+def _exact_links():
+    """(src, dst) that span, within a bucket, the pairs of different labels with a similarity of 0.8 or more."""
+
+    def to_numpy(name, column):
+        if name == "shingles":
+            out = np.empty(len(column), object)
+            for i, x in enumerate(column):
+                out[i] = x.values.to_numpy(zero_copy_only=False)
+            return out
+        return column.to_numpy(zero_copy_only=False)
+
+    def run(batches):
+        for rows, starts in sorted_groups((part for b in batches for part in slices([b], 512)), ["key", "i", "j"], ["sid", "label", "shingles"], to_numpy):
+            for s, e in zip(starts, [*starts[1:], len(rows["sid"])], strict=True):
+                sid, label, sets = (rows[c][s:e] for c in ("sid", "label", "shingles"))
+                n = np.array([len(x) for x in sets], np.int64)
+                x, y = _tree((9 * _shared(list(sets)) >= 4 * (n[:, None] + n)) & (label[:, None] != label))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sid[x], sid[y])), pa.array(np.maximum(sid[x], sid[y]))], ["src", "dst"])
 
     return run
 
@@ -261,8 +303,9 @@ def similar_texts(docs: DataFrame, words: int = 5) -> DataFrame:
 
     Several min-wise fingerprints a text only search for candidates; each link is verified on the whole sets. A pair
     at 0.8 shares none of the 16 fingerprints with a chance of (1 - 0.8^4)^16 = 0.0002, one at 0.85 of 0.00001. Equal
-    sets are one row. The first round verifies pairs that span the candidates of each bucket, the second all
-    candidates that the first has not brought together: a large group of near copies costs no square of pairs.
+    sets are one row. The first round verifies pairs that span the candidates of each bucket. In the second the sets
+    of texts with candidates that the first has not brought together come to the buckets, where all such pairs are
+    counted in blocks; what leaves a block spans its links. So no round writes the pairs of a group.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).filter("doc is not null")
     rows = materialize(texts.mapInArrow(_sketches(words), "doc long, sid long, n int, keys array<long>, sketch binary"))
@@ -273,17 +316,19 @@ def similar_texts(docs: DataFrame, words: int = 5) -> DataFrame:
     posts = join_checked(posts, shared, "key").select("key", "sid", own.alias("own"), other.alias("other"))
     posts = materialize(posts.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid").join(distinct.select("sid", "n", "sketch"), "sid"))
 
-    def candidates(labelled: DataFrame, spanning: bool) -> DataFrame:
-        return materialize(labelled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_candidates(spanning), "src long, dst long").distinct())
+    def dealt(frame: DataFrame) -> DataFrame:
+        return frame.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    pairs = candidates(posts.withColumn("label", F.col("sid")), True)
+    pairs = materialize(dealt(posts.withColumn("label", F.col("sid"))).mapInArrow(_candidates(True), "src long, dst long").distinct())
     ends = pairs.select(F.col("src").alias("sid")).unionByName(pairs.select(F.col("dst").alias("sid"))).distinct()
     wanted = distinct.join(ends, "sid").select("doc").distinct()
     sets = materialize(join_checked(texts, wanted, "doc").mapInArrow(_shingle_sets(words), "sid long, shingles array<long>").dropDuplicates(["sid"]))
     links = materialize(_similar(pairs, sets))
     parts = connected_components(links)
     labelled = posts.join(parts.select(F.col("node").alias("sid"), F.col("component").alias("label")), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    more = materialize(_similar(candidates(labelled, False), sets))
+    open_ = materialize(dealt(labelled).mapInArrow(_candidates(False), "key long, i int, j int, sid long"))
+    names = sets.join(parts, sets.sid == parts.node, "left").select("sid", F.coalesce("component", "sid").alias("label"), "shingles")
+    more = materialize(dealt(open_.join(names, "sid")).select("key", "i", "j", "sid", "label", "shingles").mapInArrow(_exact_links(), "src long, dst long").distinct())
     parts = connected_components(links.unionByName(more))
     named = materialize(distinct.join(parts, distinct.sid == parts.node, "left").select("sid", "doc", F.coalesce("component", "sid").alias("part")))
     first = named.groupBy("part").agg(F.min("doc").alias("component_id"))
