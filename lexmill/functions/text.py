@@ -132,3 +132,24 @@ def highlight(x: Column, terms: list[str]) -> Column:
         out = F.replace(out, F.lit(a), F.lit(b))
     form = "|".join(re.escape(t) for t in sorted(terms, key=len, reverse=True))
     return F.regexp_replace(out, f"(?i)({form})", "<mark>$1</mark>")
+
+
+def split_pieces(x: Column, most: int) -> Column:
+    """A text as pieces of at most `most` characters that give the text again when joined: whole paragraphs together
+    while they fit, a longer paragraph by sentences, a longer sentence by length."""
+
+    def pack(parts: Column) -> Column:
+        def add(done: Column, part: Column) -> Column:
+            last = F.element_at(done, -1)
+            fits = (F.size(done) > 0) & (F.length(F.coalesce(F.get(done, F.size(done) - 1), F.lit(""))) + F.length(part) <= most)
+            return F.when(fits, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(last, part)))).otherwise(F.concat(done, F.array(part)))
+
+        return F.aggregate(parts, F.array().cast("array<string>"), add)
+
+    def whole(part: Column, split) -> Column:
+        return F.when(F.length(part) <= most, F.array(part)).otherwise(split(part))
+
+    by_length = lambda part: F.transform(F.sequence(F.lit(0), F.greatest(F.length(part) - 1, F.lit(0)), F.lit(most)), lambda at: F.substring(part, at + 1, F.lit(most)))
+    by_sentence = lambda part: F.flatten(F.transform(F.split(part, r"(?<=[。！？])|(?<=[.!?])(?=\s)", -1), lambda sentence: whole(sentence, by_length)))
+    pieces = F.flatten(F.transform(F.split(F.coalesce(x, F.lit("")), r"(?<=\n)", -1), lambda paragraph: whole(paragraph, by_sentence)))
+    return pack(F.filter(pieces, lambda p: p != ""))

@@ -543,3 +543,6 @@ def biddable_kinds(s, d):
 def facet_rollup(s, d):
     rows = table(s, d, "orders").rollup("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level"))
     return rows.select("o_orderpriority", "o_orderstatus", "n", "level")
+
+# The other modules of queries register themselves with query().
+from lexmill.plans import policies, records  # noqa: E402, F401

@@ -15,7 +15,7 @@ def test_same_as_sql(spark, name):
 
 @pytest.mark.parametrize("name", [n for n in catalogue.QUERIES if n not in catalogue.ORACLES])
 def test_runs_without_sql(spark, name):
-    assert catalogue.QUERIES[name](spark, SF).columns
+    assert catalogue.QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):
