@@ -12,8 +12,9 @@ def search(docs: DataFrame, terms: list[str], limit: int = 10, offset: int = 0,
     hits = docs.filter(T.all_terms(F.col("text"), terms) & (F.lit(True) if where is None else where))
     first = T.all_terms(title, terms[:1]) if terms else F.lit(False)
     order = [F.col("title_hit").desc(), F.col("n_chars").desc_nulls_last(), "doc_id"]
-    out = hits.select("doc_id", "lang", first.cast("int").alias("title_hit"), "n_chars", (T.snippet(F.col("text"), terms) if terms else F.substring("text", 1, 260)).alias("snippet"))
-    return out.orderBy(*order).offset(max(0, offset)).limit(min(50, max(1, limit)))
+    top = hits.select("doc_id", "lang", first.cast("int").alias("title_hit"), "n_chars", "text").orderBy(*order).offset(max(0, offset)).limit(min(50, max(1, limit)))
+    # snippets are cut from the rows of the page alone
+    return top.select("doc_id", "lang", "title_hit", "n_chars", (T.snippet(F.col("text"), terms) if terms else F.substring("text", 1, 260)).alias("snippet"))
 
 
 def bm25(docs: DataFrame, terms: list[str], weights=(("title", 12.0), ("text", 1.0)), k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -152,9 +152,13 @@ def null_safe_dup(s, d):
     return rows.groupBy("title_key", "lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("n > 1")
 
 
-@query("""SELECT a.p_partkey AS short_key, count(*) AS n_longer FROM part a JOIN part b ON starts_with(b.p_name, a.p_name) AND len(b.p_name) > len(a.p_name) AND len(a.p_name) >= 8 GROUP BY 1""")
+@query("""WITH t AS (SELECT p_partkey, p_name FROM part UNION ALL SELECT -1 - p_partkey, concat(p_name, ', with all its annexes') FROM part WHERE p_partkey % 10 = 0)
+SELECT a.p_partkey AS short_key, count(*) AS n_longer FROM t a JOIN t b ON starts_with(b.p_name, a.p_name) AND len(b.p_name) > len(a.p_name) AND len(a.p_name) >= 8 GROUP BY 1""")
 def prefix_selfjoin(s, d):
-    a, b = table(s, d, "part").filter(F.length("p_name") >= 8).alias("a"), table(s, d, "part").filter(F.length("p_name") >= 8).alias("b")
+    """Titles that others begin with, among the parts' names and names with something added; blocks of eight characters."""
+    names = table(s, d, "part").select("p_partkey", "p_name")
+    names = names.unionByName(names.filter("p_partkey % 10 = 0").select((-1 - F.col("p_partkey")).alias("p_partkey"), F.concat("p_name", F.lit(", with all its annexes")).alias("p_name"))).filter(F.length("p_name") >= 8)
+    a, b = names.alias("a"), names.alias("b")
     block = F.substring("a.p_name", 1, 8) == F.substring("b.p_name", 1, 8)
     longer = F.startswith("b.p_name", F.col("a.p_name")) & (F.length("b.p_name") > F.length("a.p_name"))
     return a.join(b, block & longer).groupBy(F.col("a.p_partkey").alias("short_key")).agg(F.count("*").alias("n_longer"))
@@ -290,9 +294,15 @@ def adjacent_repeat(s, d):
 i AS (SELECT doc_id, n, line, sum(CASE WHEN len(line) < 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS island FROM u), g AS (SELECT doc_id, island, sum(len(line))::BIGINT AS n_chars FROM i WHERE len(line) >= 100 GROUP BY 1, 2)
 SELECT doc_id, max(n_chars) AS longest FROM g GROUP BY 1""")
 def longest_block(s, d):
-    lines = table(s, d, "documents").select("doc_id", F.posexplode(F.transform(F.split("text", "\n", -1), F.length)).alias("n", "len"))
-    island = F.sum(F.when(F.col("len") < 100, 1).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("n"))
-    return lines.withColumn("island", island).filter("len >= 100").groupBy("doc_id", "island").agg(F.sum("len").alias("n_chars")).groupBy("doc_id").agg(F.max("n_chars").alias("longest"))
+    """Characters of the longest run of lines of 100 or more, within each text, without a shuffle."""
+    start = F.struct(F.lit(0).cast("long").alias("run"), F.lit(None).cast("long").alias("best"))
+
+    def step(at, n):
+        run = F.when(n >= 100, at["run"] + n).otherwise(F.lit(0)).cast("long")
+        return F.struct(run.alias("run"), F.when(run > 0, F.greatest(run, at["best"])).otherwise(at["best"]).alias("best"))
+
+    longest = F.aggregate(F.transform(F.split("text", "\n", -1), F.length), start, step, lambda at: at["best"])
+    return table(s, d, "documents").select("doc_id", longest.alias("longest")).filter("longest is not null")
 
 
 @query("""SELECT user_id, max(n) AS most, count(*) FILTER (WHERE n >= 2) AS over FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECONDS PRECEDING AND CURRENT ROW) AS n FROM events WHERE event_type = 'error') GROUP BY 1""")
@@ -315,18 +325,21 @@ def event_sessions(s, d):
     return E.sessions(events).groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.sum("n").alias("n_events"))
 
 
-_MONEY = [("预算 123.45 万元",), ("1.5 亿元",), ("1,234,567 元",), ("无",), (None,)]
-_DATES = [("2026-09-29 00:00:00",), ("2026/9/3",), ("2026年9月3日",), ("2026年9月",), ("无日期",), (None,)]
+_AMOUNT = "CASE o_orderkey % 4 WHEN 0 THEN concat('预算 ', o_custkey, '.5 万元') WHEN 1 THEN concat(o_custkey % 10, '.25 亿元') WHEN 2 THEN concat(1 + o_custkey % 900, ',', 100 + o_custkey % 900, ' 元') ELSE '无' END"
+_DAY = """CASE o_orderkey % 5 WHEN 0 THEN concat(year(o_orderdate), '-', lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), '-', lpad(CAST(day(o_orderdate) AS STRING), 2, '0'), ' 00:00:00') WHEN 1 THEN concat(year(o_orderdate), '/', month(o_orderdate), '/', day(o_orderdate))
+WHEN 2 THEN concat('于', year(o_orderdate), '年', month(o_orderdate), '月', day(o_orderdate), '日') WHEN 3 THEN concat(year(o_orderdate), '年', month(o_orderdate), '月') ELSE '无日期' END"""
 
 
-@query("SELECT * FROM (VALUES ('预算 123.45 万元', 1234500.00), ('1.5 亿元', 150000000.00), ('1,234,567 元', 1234567.00), ('无', NULL), (NULL, NULL)) t(raw, amount)")
+@query(f"""SELECT o_orderkey, {_AMOUNT} AS raw, CAST(CASE o_orderkey % 4 WHEN 0 THEN o_custkey * 10000 + 5000 WHEN 1 THEN (o_custkey % 10) * 100000000 + 25000000 WHEN 2 THEN (1 + o_custkey % 900) * 1000 + 100 + o_custkey % 900 END AS DECIMAL(16,2)) AS amount FROM orders""")
 def money_parse(s, d):
-    return s.createDataFrame(_MONEY, "raw string").select("raw", T.money(F.col("raw")).alias("amount"))
+    """Amounts in three units from wording."""
+    return table(s, d, "orders").select("o_orderkey", F.expr(_AMOUNT).alias("raw")).withColumn("amount", T.money(F.col("raw")))
 
 
-@query("SELECT raw, day::DATE AS day FROM (VALUES ('2026-09-29 00:00:00', '2026-09-29'), ('2026/9/3', '2026-09-03'), ('2026年9月3日', '2026-09-03'), ('2026年9月', '2026-09-01'), ('无日期', NULL), (NULL, NULL)) t(raw, day)")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 3 THEN o_orderdate::DATE WHEN o_orderkey % 5 = 3 THEN date_trunc('month', o_orderdate)::DATE END AS day FROM orders")
 def date_ladder(s, d):
-    return s.createDataFrame(_DATES, "raw string").select("raw", T.iso_date(F.col("raw")).alias("day"))
+    """Days from four ways of writing them; without a day the first of the month."""
+    return table(s, d, "orders").select("o_orderkey", T.iso_date(F.expr(_DAY)).alias("day"))
 
 
 _RULES = """(VALUES ('entertainment', 0.005, 0.6), ('education', 0.08, 1.0), ('donation', 0.12, 1.0)) r(item, ratio, special)"""
@@ -395,10 +408,13 @@ def stratified_sample(s, d):
     return table(s, d, "documents").select("doc_id", "lang").withColumn("nth", F.row_number().over(w)).filter("nth <= 5").drop("nth")
 
 
-@query("""WITH a AS (SELECT DISTINCT n_nationkey AS id, substring(n_name, i, 5) AS gram FROM (SELECT *, unnest(range(1, greatest(len(n_name) - 4, 1) + 1)) AS i FROM nation)),
-b AS (SELECT DISTINCT r_regionkey AS id, substring(r_name, i, 5) AS gram FROM (SELECT *, unnest(range(1, greatest(len(r_name) - 4, 1) + 1)) AS i FROM region)) SELECT DISTINCT a.id AS left_id, b.id AS right_id FROM a JOIN b USING (gram)""")
+@query("""WITH o AS (SELECT n_nationkey + 100 AS id, concat('Office of ', substring(n_name, 1, 6), ' affairs') AS title FROM nation), a AS (SELECT DISTINCT n_nationkey AS id, substring(n_name, i, 5) AS gram FROM (SELECT *, unnest(range(1, greatest(len(n_name) - 4, 1) + 1)) AS i FROM nation)),
+b AS (SELECT DISTINCT id, substring(title, i, 5) AS gram FROM (SELECT *, unnest(range(1, greatest(len(title) - 4, 1) + 1)) AS i FROM o)) SELECT DISTINCT a.id AS left_id, b.id AS right_id FROM a JOIN b USING (gram)""")
 def ngram_candidates(s, d):
-    return D.ngram_candidates(table(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("title")), table(s, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("title")))
+    """Nations and offices whose names share five characters in a row."""
+    nation = table(s, d, "nation")
+    office = nation.select((F.col("n_nationkey") + 100).alias("id"), F.concat(F.lit("Office of "), F.substring("n_name", 1, 6), F.lit(" affairs")).alias("title"))
+    return D.ngram_candidates(nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("title")), office)
 
 
 @query()
@@ -533,10 +549,15 @@ def given_key_order(s, d):
     return table(s, d, "nation").join(F.broadcast(keys), "n_nationkey").select("pos", "n_nationkey", "n_name").orderBy("pos")  # four keys
 
 
-@query("""SELECT raw, CASE WHEN raw IS NULL OR raw = '' THEN true ELSE raw NOT IN ('中标结果', '中标候选人', '合同') END AS biddable FROM (VALUES ('招标'), ('预招标'), ('采购意向'), ('中标结果'), ('中标候选人'), ('合同'), (''), (NULL)) t(raw)""")
+_KIND = "CASE p_size % 8 WHEN 0 THEN '招标' WHEN 1 THEN '预招标' WHEN 2 THEN '采购意向' WHEN 3 THEN '中标结果' WHEN 4 THEN '中标候选人' WHEN 5 THEN '合同' WHEN 6 THEN '' END"
+OVER = ("中标结果", "中标候选人", "合同")  # fixed values: kinds of notices that come after the bids
+
+
+@query(f"""SELECT p_partkey, {_KIND} AS kind, p_size % 8 NOT IN (3, 4, 5) AS biddable FROM part""")
 def biddable_kinds(s, d):
-    rows = s.createDataFrame([(x,) for x in ("招标", "预招标", "采购意向", "中标结果", "中标候选人", "合同", "", None)], "raw string")
-    return rows.select("raw", F.coalesce(~F.col("raw").isin("中标结果", "中标候选人", "合同"), F.lit(True)).alias("biddable"))
+    """Whether a notice can still be bid on; an unknown kind can."""
+    rows = table(s, d, "part").select("p_partkey", F.expr(_KIND).alias("kind"))
+    return rows.withColumn("biddable", F.coalesce(~F.col("kind").isin(*OVER), F.lit(True)))
 
 
 @query("""SELECT o_orderpriority, o_orderstatus, count(*) AS n, grouping(o_orderpriority, o_orderstatus)::INT AS level FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)""")
