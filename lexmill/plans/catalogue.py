@@ -419,10 +419,12 @@ def ngram_candidates(s, d):
 
 @query()
 def fuzzy_title_match(s, d):
-    """Each benchmark item's first words against the opening of documents: best partial match at 88 or more."""
-    left = table(s, d, "benchmark").select(F.col("item_id").alias("id"), F.substring(F.trim("text"), 1, 40).alias("title"))
-    right = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.substring(T.title_of(F.col("text")), 1, 60).alias("title"))
-    return fuzzy_match(left, right)
+    """Titles of passages as they are cited, with a word left out, against the titles of all documents and passages (these
+    with negative ids): best partial match at 88 or more."""
+    titles = lambda name, key: table(s, d, name).select(key.alias("id"), T.title_of(F.col("text")).alias("title"))
+    passages = titles("benchmark", -1 - F.col("item_id"))
+    cited = passages.select((-1 - F.col("id")).alias("id"), F.regexp_replace("title", r"^(\S+ \S+) \S+ ", "$1 ").alias("title"))
+    return fuzzy_match(cited, titles("documents", F.col("doc_id")).unionByName(passages))
 
 
 _MASKED = [("土地增值税清算", "土地增值税"), ("增值税与土地增值税", "增值税"), ("关于增值税优惠", None), ("", None), (None, None)]
