@@ -33,6 +33,8 @@ BASE_BYTES, TRAIN_BYTES = 64_000, 4_000_000
 CLASS_BYTES = 16_000  # far more than the windows of the toxic class fill
 BASE_COVER, CLASS_COVER = {"k": 64, "d": 6}, {"k": 24, "d": 8}
 FIGURES = 12
+#: Parts of the sample, each of which the curve sees under dictionaries of the others.
+FOLDS = 4
 
 
 def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
@@ -98,20 +100,23 @@ class ToxicityModel:
     """score() gives the probability of the toxic label for whole texts.
 
     The dictionaries are those of the whole sample. The curve is fitted on figures of texts under dictionaries that
-    have not seen them: those of either half of the sample for the other half.
+    have not seen them: those of the rest of the sample for each of its folds.
     """
 
     def __init__(self, sample: list[tuple[str, int]], shift: float = 0.0, seed: int = 3):
         self.name = uuid.uuid4().hex
         sample = sample[:]
         random.Random(seed).shuffle(sample)
-        halves = sample[::2], sample[1::2]
+        folds = [sample[k::FOLDS] for k in range(FOLDS)]
         self.dictionaries = class_dictionaries(sample, seed)
         n = FIGURES * len(LEVELS)
         self.weights, self.mean, self.scale = np.zeros(n + 1), np.zeros(n), np.ones(n)
-        y = np.array([k for half in halves for _, k in half], float)
+        y = np.array([k for fold in folds for _, k in fold], float)
         if len(set(y.tolist())) == 2:
-            unseen = [self.features([t for t, _ in mine], self.compressors(class_dictionaries(other, seed))) for mine, other in (halves, halves[::-1])]
+            unseen = []
+            for k, fold in enumerate(folds):
+                others = [row for j, rest in enumerate(folds) if j != k for row in rest]
+                unseen.append(self.features([t for t, _ in fold], self.compressors(class_dictionaries(others, seed))))
             self._fit(np.concatenate(unseen), y)
             self.weights[-1] += shift  # from the classes' shares in the sample to those of all labels
 
