@@ -71,4 +71,31 @@ SELECT l.doc_id, CASE WHEN bool_or(l.is_null) THEN NULL ELSE coalesce(string_agg
 FROM l LEFT JOIN c ON c.doc_id = l.doc_id AND c.pos = l.pos GROUP BY l.doc_id
 """
 
-ORACLES = {"op4_embedding_near_dedup": OP4, "op6_line_frequency_rules": OP6, "op7_chat_formatting": OP7, "op9_line_window_dedup": OP9}
+def _sized(x: str) -> str:
+    return f"coalesce(strlen({x}::VARCHAR)::VARCHAR || ':' || {x}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_sized, ['doc_id', 'source', 'lang', 'n_chars', text]))})"
+
+
+#: Level by level over whole groups; CRC-32 bit by bit from its polynomial, the last bit of which says who is tampered with.
+OP13 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || source, '') AS g, {_leaf("text")} AS leaf, {_leaf("replace(text, chr(10), '')")} AS other,
+  list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, bit: xor(x >> 1, (x & 1) * 3988292384))) & 1 AS odd FROM documents),
+n AS (SELECT row_number() OVER () AS rid, doc_id, g, leaf, CASE WHEN odd = 1 AND doc_id IS NOT NULL THEN other ELSE leaf END AS held, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS total FROM d),
+t AS (SELECT g, 0 AS lvl, i, total, leaf AS node FROM n UNION ALL SELECT g, lvl + 1, i // 3, (total + 2) // 3, sha256(string_agg(node, '' ORDER BY i)) FROM t WHERE total > 1 GROUP BY g, lvl, i // 3, total),
+s AS (SELECT g, node AS subroot, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS total FROM t WHERE total = 1),
+u AS (SELECT 0 AS lvl, i, total, subroot AS node FROM s UNION ALL SELECT lvl + 1, i // 3, (total + 2) // 3, sha256(string_agg(node, '' ORDER BY i)) FROM u WHERE total > 1 GROUP BY lvl, i // 3, total),
+p AS (SELECT n.rid, 0 AS part, t.lvl, t.i < n.i // (3 ** t.lvl)::BIGINT AS is_left, t.i, t.node FROM n JOIN t ON t.g = n.g AND t.total > 1 AND t.i // 3 = n.i // (3 ** (t.lvl + 1))::BIGINT AND t.i <> n.i // (3 ** t.lvl)::BIGINT
+  UNION ALL SELECT n.rid, 1, u.lvl, u.i < s.i // (3 ** u.lvl)::BIGINT, u.i, u.node FROM n JOIN s USING (g) JOIN u ON u.total > 1 AND u.i // 3 = s.i // (3 ** (u.lvl + 1))::BIGINT AND u.i <> s.i // (3 ** u.lvl)::BIGINT),
+h AS (SELECT n.rid, 0 AS part, t.lvl FROM n JOIN (SELECT DISTINCT g, lvl FROM t WHERE total > 1) t USING (g) UNION ALL SELECT n.rid, 1, u.lvl FROM n, (SELECT DISTINCT lvl FROM u WHERE total > 1) u),
+w AS (SELECT h.rid, row_number() OVER (PARTITION BY h.rid ORDER BY h.part, h.lvl) AS k, coalesce(x.lefts, '') AS lefts, coalesce(x.rights, '') AS rights FROM h
+  LEFT JOIN (SELECT rid, part, lvl, string_agg(node, '' ORDER BY i) FILTER (WHERE is_left) AS lefts, string_agg(node, '' ORDER BY i) FILTER (WHERE NOT is_left) AS rights FROM p GROUP BY rid, part, lvl) x USING (rid, part, lvl)),
+f AS (SELECT rid, 1 AS k, held AS node FROM n UNION ALL SELECT f.rid, f.k + 1, sha256(w.lefts || f.node || w.rights) FROM f JOIN w USING (rid, k)),
+q AS (SELECT rid, sha256(string_agg(lefts || rights, '' ORDER BY k)) AS proof FROM w GROUP BY rid)
+SELECT n.doc_id, n.leaf, s.subroot, r.root, coalesce(q.proof, sha256('')) AS proof_sha256, e.node AS folded_root, e.node = r.root AS verified
+FROM (SELECT node AS root FROM u WHERE total = 1) r, n JOIN s USING (g) JOIN (SELECT rid, arg_max(node, k) AS node FROM f GROUP BY rid) e USING (rid) LEFT JOIN q USING (rid)
+"""
+
+ORACLES = {"op13_merkle_manifest": OP13, "op4_embedding_near_dedup": OP4, "op6_line_frequency_rules": OP6, "op7_chat_formatting": OP7, "op9_line_window_dedup": OP9}

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import op1_html, op2_simhash, op3_quality, op4_embedding, op5_packing, op6_quality_rules, op7_chat, op8_toxicity, op9_line_dedup, op10_bpe
+from lexmill.llm import op1_html, op2_simhash, op3_quality, op4_embedding, op5_packing, op6_quality_rules, op7_chat, op8_toxicity, op9_line_dedup, op10_bpe, op11_alignment, op12_counts, op13_merkle
 from lexmill.plans.storage import table
 
 
@@ -52,4 +52,16 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_bpe.encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_simhash_near_dedup, op3_quality_classifier, op4_embedding_near_dedup, op5_best_fit_packing, op6_line_frequency_rules, op7_chat_formatting, op8_toxicity_scores, op9_line_window_dedup, op10_bpe_round_trip)}
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_alignment.alignment_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_simhash_near_dedup, op3_quality_classifier, op4_embedding_near_dedup, op5_best_fit_packing, op6_line_frequency_rules, op7_chat_formatting, op8_toxicity_scores, op9_line_window_dedup, op10_bpe_round_trip, op11_tokenizer_alignment, op12_token_counts, op13_merkle_manifest)}
