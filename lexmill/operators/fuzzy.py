@@ -1,13 +1,16 @@
 """Best partial match of titles over blocked candidates."""
 
-from functools import reduce
+from math import floor
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from lexmill.operators.documents import ngram_candidates
+from lexmill.plans.storage import discard, materialize
+
+#: Titles that hold an n-gram beyond which the n-gram alone is no key.
+HOT_GRAM = 200
 
 
 def _common(a: str, b: str) -> int:
@@ -28,8 +31,16 @@ def partial_ratio(a: str | None, b: str | None) -> int:
     a, b = sorted((a or "", b or ""), key=len)
     if not a:
         return 0
-    spans = {(max(0, s), min(len(b), s + len(a))) for s in range(1 - len(a), len(b))}
-    return max(int(200 * _common(a, b[s:e]) / (len(a) + e - s)) for s, e in spans)
+    if a in b:
+        return 100
+    n, letters = len(a), set(a)
+    best = 0
+    for first in range(1 - n, len(b)):
+        s, e = max(0, first), min(len(b), first + n)
+        # the window one to the left holds all but such a last character, or the one without such a first character
+        if (b[e - 1] if e == first + n else b[s]) in letters:
+            best = max(best, int(200 * _common(a, b[s:e]) / (n + e - s)))
+    return best
 
 
 @F.pandas_udf(IntegerType())
@@ -37,18 +48,81 @@ def partial_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([partial_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
-def fuzzy_match(left: DataFrame, right: DataFrame, least: int = 88, n: int = 10) -> DataFrame:
-    """(left_id, right_id, score): the best right of each left at `least` or more among those that share an n-gram, the
-    smaller id on ties. A longer n-gram leaves fewer candidates and suits longer titles: rights under 20 characters and
-    lefts under 12 share a 5-gram instead, and lefts under 6 are held against every right."""
-    size = F.length("title")
-    tiers = [
-        ngram_candidates(left.filter(size >= 12), right.filter(size >= 20), n),
-        ngram_candidates(left.filter(size.between(6, 11)), right.filter(size >= 20), 5),
-        ngram_candidates(left.filter(size >= 6), right.filter(size < 20), 5),
-        left.filter(size < 6).select(F.col("id").alias("left_id")).crossJoin(right.select(F.col("id").alias("right_id"))).distinct(),
-    ]
-    found = reduce(DataFrame.unionByName, tiers).distinct()
-    found = found.join(left.select(F.col("id").alias("left_id"), F.col("title").alias("a")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("title").alias("b")), "right_id")
-    scored = found.select("left_id", "right_id", partial_ratios("a", "b").alias("score")).filter(F.col("score") >= least)
-    return scored.withColumn("nth", F.row_number().over(Window.partitionBy("left_id").orderBy(F.col("score").desc(), "right_id"))).filter("nth = 1").drop("nth")
+def _grams(x: Column, n: int) -> Column:
+    """The distinct n-grams of characters."""
+    return F.when(F.length(x) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - (n - 1)), lambda i: F.substring(x, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def _lost(x: Column, least: int) -> Column:
+    """How many distinct bigrams of x a match at `least` or more may lack at most, x being the shorter text.
+
+    With L characters in x, w in the window and c in common, 2c >= t (L + w) and c <= w, so w >= tL / (2 - t). A bigram of
+    x is lost to a character of x that is not in common (two each) or to one of the window's between (one each):
+    2 (L - c) + (w - c), which is greatest at an end of the range of w.
+    """
+    t = least / 100
+    share = max((2 - 1.5 * t) + (1 - 1.5 * t) * w for w in (t / (2 - t), 1.0))
+    return F.floor(F.length(x) * share + 1e-9).cast("int")
+
+
+def _keys(x: Column, long: bool) -> Column:
+    """The keys of a title on either side: a 10-gram with rights of 20 characters or more, a 5-gram with shorter ones, and
+    with all rights for lefts of 6 to 11. Shorter lefts have the one key that all rights have."""
+    tag = lambda t, n: F.transform(_grams(x, n), lambda g: F.concat(F.lit(t), g))
+    none = F.array().cast("array<string>")
+    size = F.length(x)
+    if long:
+        return F.concat(F.when(size >= 20, F.concat(tag("l", 10), tag("m", 5))).otherwise(tag("s", 5)))
+    return F.concat(F.when(size >= 12, tag("l", 10)).when(size >= 6, tag("m", 5)).otherwise(none), F.when(size >= 6, tag("s", 5)).otherwise(F.array(F.lit(""))))
+
+
+def close_titles(left: DataFrame, right: DataFrame, least: int = 88, hot: int = HOT_GRAM) -> DataFrame:
+    """(a, b, score): the pairs of different titles, from the column `title` of either side, with a partial ratio of
+    `least` or more that share an n-gram (10 characters, or 5 where a title is short; lefts under 6 need share none).
+
+    Pairs are made by equal n-grams. A hot n-gram, one of more than `hot` rights, is joined together with a bigram: a pair
+    that good has, of the d + 1 rarest bigrams of the shorter title, at least one in common, where d is how many it may
+    lack. So a phrase that a third of all titles hold makes no pairs of all of them, and none is missed. What is left is
+    checked by shared bigrams before Python scores it. Nulls and empty titles match nothing.
+    """
+    a = materialize(left.select(F.col("title").alias("a")).filter("length(a) > 0").distinct())
+    b = materialize(right.select(F.col("title").alias("b")).filter("length(b) > 0").distinct())
+    of_a = a.select("a", F.explode(_keys(F.col("a"), False)).alias("key"))
+    of_b = b.select("b", F.explode(_keys(F.col("b"), True)).alias("key"))
+    if not a.filter("length(a) < 6").isEmpty():
+        of_b = of_b.unionByName(b.select("b", F.lit("").alias("key")))
+    wide = of_b.groupBy("key").agg(F.count("*").alias("n")).withColumn("is_hot", (F.col("n") > hot) | (F.col("key") == ""))
+    wide = materialize(wide.join(of_a.select("key").distinct(), "key", "left_semi").select("key", "is_hot"))
+    seen = b.select(F.explode(_grams(F.col("b"), 2)).alias("part")).groupBy("part").agg(F.count("*").alias("n"))
+
+    def dealt(side: DataFrame, title: str, first: str, second: str) -> DataFrame:
+        """(title, key, part): hot keys with all parts of the title, and with the rarest ones, each for one of the directions."""
+        keyed = side.join(wide, "key")
+        cold = keyed.filter("not is_hot").select(title, "key", F.lit("").alias("part"))
+        x = F.col(title)
+        bigrams = keyed.filter("is_hot").select(title).distinct().select(title, F.explode_outer(_grams(x, 2)).alias("part")).join(seen, "part", "left")
+        ranked = bigrams.groupBy(title).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part"))).alias("rising"))
+        rarest = F.when(F.size(_grams(x, 2)) > _lost(x, least), F.slice("rising.part", 1, _lost(x, least) + 1)).otherwise(_grams(x, 1))  # of too few bigrams none is sure, but some character is
+        both = F.concat(F.transform(rarest, lambda p: F.concat(F.lit(first), p)), F.transform(F.concat(_grams(x, 2), _grams(x, 1)), lambda p: F.concat(F.lit(second), p)))
+        return cold.unionByName(keyed.filter("is_hot").select(title, "key").join(ranked.select(title, F.explode(both).alias("part")), title).select(title, "key", "part"))
+
+    found = dealt(of_a, "a", "<", ">").join(dealt(of_b, "b", ">", "<"), ["key", "part"])
+    shorter = F.length("a") <= F.length("b")
+    right_way = (F.col("part") == "") | (shorter & F.startswith("part", F.lit("<"))) | (~shorter & F.startswith("part", F.lit(">")))
+    found = found.filter(right_way & (F.col("a") != F.col("b"))).select("a", "b").distinct()
+    short = F.when(shorter, F.col("a")).otherwise(F.col("b"))
+    enough = F.size(F.array_intersect(_grams(F.col("a"), 2), _grams(F.col("b"), 2))) >= F.size(_grams(short, 2)) - _lost(short, least)
+    scored = materialize(found.filter(enough).select("a", "b", partial_ratios("a", "b").alias("score")).filter(F.col("score") >= least))
+    same = a.join(b, F.col("a") == F.col("b")).select("a", "b", F.lit(100).alias("score"))
+    out = materialize(scored.unionByName(same))
+    discard(a, b, wide, scored)
+    return out
+
+
+def fuzzy_match(left: DataFrame, right: DataFrame, least: int = 88) -> DataFrame:
+    """(left_id, right_id, score): the best right of each left at `least` or more among close_titles, the smaller id on
+    ties. Both have (id, title); a left or right without a title matches nothing."""
+    pairs = close_titles(left, right, least)
+    found = left.select(F.col("id").alias("left_id"), F.col("title").alias("a")).join(pairs, "a").join(right.select(F.col("id").alias("right_id"), F.col("title").alias("b")), "b")
+    by = Window.partitionBy("left_id").orderBy(F.col("score").desc(), "right_id")
+    return found.select("left_id", "right_id", "score").withColumn("nth", F.row_number().over(by)).filter("nth = 1").drop("nth")

@@ -1,30 +1,15 @@
 """The registered queries, each beside the SQL that gives the same result in DuckDB."""
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 from lexmill.operators import documents as D
 from lexmill.operators.fuzzy import fuzzy_match
+from lexmill.plans.registered import ORACLES, QUERIES, query  # noqa: F401
 from lexmill.plans.storage import table
 from lexmill.streaming import events as E
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 _TITLE = r"substring(regexp_extract(coalesce(text, ''), '^\s*([^\n]*)', 1), 1, 80)"
 
 
@@ -568,4 +553,4 @@ def facet_rollup(s, d):
     return rows.select("o_orderpriority", "o_orderstatus", "n", "level")
 
 # The other modules of queries register themselves with query().
-from lexmill.plans import policies, records  # noqa: E402, F401
+from lexmill.plans import policies, records, relations  # noqa: E402, F401

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from lexmill.functions import identifiers as I
 from lexmill.functions import text as T
 from lexmill.operators.maintenance import first_by_key
-from lexmill.plans.catalogue import query
-from lexmill.plans.storage import materialize, table
+from lexmill.plans.registered import query
+from lexmill.plans.storage import table
 
 # Taxes and the words that stand for them.
 TAXES = {
@@ -58,15 +58,16 @@ _COLUMNS = {
     "doc_id": "doc_id",
     "title": _title("doc_id"),
     "raw_no": f"""CASE doc_id % 7 WHEN 0 THEN {_number('doc_id')} WHEN 1 THEN concat({_issuer('doc_id')}, '[', 2000 + doc_id % 25, '] ', doc_id % 300 + 1, ' 号') WHEN 2 THEN concat('根据', {_number('doc_id')})
-      WHEN 3 THEN concat('中华人民共和国财政部公告 ', 2000 + doc_id % 25, ' 年 第', doc_id % 300 + 1, '号') WHEN 4 THEN NULL WHEN 5 THEN concat('日', {_issuer('doc_id')}, '（', 1990 + doc_id % 50, '）', doc_id % 90 + 1, '号') ELSE '161' END""",
+      WHEN 3 THEN concat('中华人民共和国财政部公告 ', 2000 + doc_id % 25, ' 年 第', doc_id % 300 + 1, '号') WHEN 4 THEN NULL WHEN 5 THEN concat('日', {_issuer('doc_id')}, '（', 1990 + doc_id % 50, '）', doc_id % 90 + 1, '号') ELSE CASE WHEN doc_id % 2 = 0 THEN concat('[', 80 + doc_id % 20, ']财政', doc_id % 90 + 1, '号') ELSE '161' END END""",
     "day": "CAST(concat(2000 + doc_id % 19, '-0', 1 + doc_id % 9, '-1', doc_id % 10) AS DATE)",
     "aging": "CASE WHEN doc_id % 43 = 0 THEN '尚未生效' WHEN doc_id % 47 = 0 THEN '已废止' END",
     "keywords": f"concat({_pick('doc_id % 12', ['小微企业减免', '个体户免征', '农产品', '集成电路 加计扣除', '退役军人', '创投抵免', '备案', '非居民 税收协定', '缓缴', '重组', '高新企业'])}, ' ', coalesce(lang, ''))",
     "content": f"""concat('依据', {_number('doc_id - 1')}, '和《', {_title('doc_id - 3')}, '》执行。', CASE WHEN doc_id % 11 = 0 THEN concat('《', {_title('doc_id - 5')}, '》同时废止。') ELSE '' END,
+      CASE WHEN doc_id % 6 = 0 THEN concat('按照财 税〔2016〕 ', doc_id % 90, ' 号办理。') ELSE '' END, CASE WHEN doc_id % 17 = 0 THEN '根据《国务院关于清理的决定》（国务院令第319号），全文废止。' ELSE '' END,
       CASE WHEN doc_id % 37 = 0 THEN concat('本条不废止《', {_title('doc_id - 2')}, '》。') ELSE '' END, CASE WHEN doc_id % 13 = 0 THEN '本通知自下月起全文废止。' ELSE '' END,
       CASE WHEN doc_id % 19 = 0 THEN concat('停止执行《', {_title('doc_id - 8')}, '》；废止《该办法的通知》') ELSE '' END,
       CASE WHEN doc_id % 5 = 0 THEN concat('自 ', 2000 + doc_id % 27, ' 年 ', 1 + doc_id % 12, ' 月 1 日起施行。') ELSE '' END)""",
-    "catalog": f"""concat('序号|文件|文号', chr(10), '1|', {_title('doc_id - 7')}, '|', {_number('doc_id - 7')}, chr(10), '2|短|无')""",
+    "catalog": f"""concat('序号|文件|文号', chr(10), '1|', {_title('doc_id - 7')}, '|', {_number('doc_id - 7')}, chr(10), '2|短|无', chr(10), {_number('doc_id - 9')}, '| |', chr(10), ' 3 | ', {_number('doc_id - 9')}, '|x', chr(10), '4|', {_title('doc_id - 4')})""",
 }
 POLICIES = "p AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in _COLUMNS.items()) + " FROM documents WHERE doc_id IS NOT NULL)"
 
@@ -76,18 +77,28 @@ def policies(s, d):
 
 
 _SPACES = r"[\s　]+"
+# Patterns of the SQL, written apart from those of the code.
+_LEADS = "依据|根据|按照|依照|参照|遵照|详见|见"
+_IN_BRACKETS = r"[一-龥]{2,24}[〔\[（(][ ]*20[0-9][0-9][ ]*[〕\]）)][ ]*[0-9]{1,6}[ ]*号"
+_AS_NOTICE = r"[一-龥][一-龥、]{0,60}(?:公告|通知|令|决定|规定|办法|通告)[ ]*20[0-9][0-9][ ]*年[ ]*第[ ]*[0-9]{1,6}[ ]*号"
+_SQL_YEARS = (r"[〔\[（(][ ]*((?:19|20)[0-9][0-9])[ ]*[〕\]）)]", r"((?:19|20)[0-9][0-9])[ ]*年[ ]*第", r"(?:公告|第)[ ]*((?:19|20)[0-9][0-9])[ ]*年")
+_DENIED = "(不|不作|未|不再)废止"
 
 
 def _sql_title(x):
-    return f"regexp_replace(translate(coalesce({x}, ''), '（）〈〉【】', '()()()'), '{_SPACES}', '', 'g')"
+    return f"regexp_replace(translate(coalesce({x}, ''), '〈〉﹝﹞', '《》《》'), '{_SPACES}', '', 'g')"
 
 
 def _sql_number(x):
-    return f"nullif(regexp_replace(translate(regexp_replace(replace(coalesce({x}, ''), '中华人民共和国', ''), '{_SPACES}', '', 'g'), '〔〕（）【】[]', '()()()()'), '^日', ''), '')"
+    return f"nullif(regexp_replace(translate(regexp_replace(replace(coalesce({x}, ''), '中华人民共和国', ''), '{_SPACES}', '', 'g'), '〔〕（）【】[]', '()()()()'), '^日+', ''), '')"
 
 
 def _sql_year(x):
-    return f"list_max(list_filter(list_transform(regexp_extract_all({x}, '{I.YEAR_PLACES[0]}', 1) || regexp_extract_all({x}, '{I.YEAR_PLACES[1]}', 1), lambda y: y::INT), lambda y: y <= {LATEST}))"
+    return f"list_max(list_filter(list_transform({' || '.join(f"regexp_extract_all({x}, '{p}', 1)" for p in _SQL_YEARS)}, lambda y: y::INT), lambda y: y <= {LATEST}))"
+
+
+def _sql_tight(x):
+    return f"regexp_replace(regexp_replace({x}, '([一-龥])[ \\n　]+([一-龥])', '\\1\\2', 'g'), '([一-龥])[ \\n　]+([一-龥])', '\\1\\2', 'g')"
 
 
 @query(rf"""WITH {POLICIES} SELECT doc_id, {_sql_number('raw_no')} AS number_key, {_sql_year("coalesce(raw_no, '')")} AS number_year, try_cast(list_last(regexp_extract_all(coalesce(raw_no, ''), '([0-9]+)\s*号', 1)) AS INT) AS in_year,
@@ -99,18 +110,18 @@ def policy_numbers(s, d):
 
 
 @query(f"""WITH {POLICIES} SELECT doc_id, number_year, in_year, row_number() OVER (ORDER BY number_year DESC NULLS LAST, in_year DESC NULLS LAST, doc_id) AS place
-FROM (SELECT doc_id, {_sql_year("coalesce(raw_no, '')")} AS number_year, try_cast(list_last(regexp_extract_all(coalesce(raw_no, ''), '([0-9]+)\\s*号', 1)) AS INT) AS in_year FROM p) ORDER BY place LIMIT 50""")
+FROM (SELECT doc_id, coalesce({_sql_year("coalesce(raw_no, '')")}, try_cast(nullif(regexp_extract(raw_no, '[〔\\[（(][ ]*([89][0-9])[ ]*[〕\\]）)]', 1), '') AS INT) + 1900) AS number_year, try_cast(list_last(regexp_extract_all(coalesce(raw_no, ''), '([0-9]+)\\s*号', 1)) AS INT) AS in_year FROM p) ORDER BY place LIMIT 50""")
 def policies_by_number(s, d):
     """The first 50 documents by year and number, those without a number last; the limit is the feature."""
     no = F.col("raw_no")
-    rows = policies(s, d).select("doc_id", I.number_year(no, LATEST).alias("number_year"), I.number_in_year(no).alias("in_year"))
+    rows = policies(s, d).select("doc_id", I.sort_year(no, LATEST).alias("number_year"), I.number_in_year(no).alias("in_year"))
     top = rows.orderBy(F.col("number_year").desc_nulls_last(), F.col("in_year").desc_nulls_last(), "doc_id").limit(50)
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.col("number_year").desc_nulls_last(), F.col("in_year").desc_nulls_last(), "doc_id")))
 
 
-@query(rf"""WITH {POLICIES}, q AS (SELECT *, regexp_replace(raw_no, '^({I.LEAD_INS})', '') AS bare, regexp_matches(coalesce(raw_no, ''), '(19|20)?[0-9]{{2}}\s*(〕|\]|）|\)|年).*[0-9]+\s*号') AS ok, {_sql_year("coalesce(raw_no, '')")} AS y FROM p)
+@query(rf"""WITH {POLICIES}, q AS (SELECT *, regexp_replace(raw_no, '^({_LEADS})', '') AS bare, regexp_matches(coalesce(raw_no, ''), '(19|20)?[0-9]{{2}}\s*(〕|\]|）|\)|年).*[0-9]+\s*号') AS ok, {_sql_year("coalesce(raw_no, '')")} AS y FROM p)
 SELECT doc_id, CASE WHEN bare <> raw_no THEN bare END AS repaired, CASE WHEN ok THEN raw_no END AS official, CASE WHEN y - year(day) >= 5 THEN NULL ELSE raw_no END AS scrubbed,
-coalesce(raw_no, regexp_replace(nullif(regexp_extract(content, '{I.BRACKETED}'), ''), '^({I.LEAD_INS})', '')) AS filled FROM q""")
+coalesce(raw_no, regexp_replace(nullif(regexp_extract(content, '{_IN_BRACKETS}'), ''), '^({_LEADS})', '')) AS filled FROM q""")
 def policy_number_repairs(s, d):
     """Lead-ins cut off, invalid numbers cleared, numbers five years or more off cleared, missing ones from the text."""
     no = F.col("raw_no")
@@ -132,7 +143,7 @@ def effective_dates(s, d):
 
 
 @query(rf"""WITH {POLICIES} SELECT doc_id, r.kind, r.reference, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(list_filter(list_distinct(list_transform(regexp_extract_all(content, '《([^《》]+)》', 1), lambda t: {_sql_title('t')})), lambda t: len(t) >= 4), lambda t: {{'kind': 'title', 'reference': t}})
-|| list_transform(list_distinct(list_transform(regexp_extract_all(content, '{I.ANNOUNCED}') || regexp_extract_all(content, '{I.BRACKETED}'), lambda t: {_sql_number(f"regexp_replace(t, '^({I.LEAD_INS})', '')")})), lambda t: {{'kind': 'number', 'reference': t}})) AS r FROM p) GROUP BY ALL""")
+|| list_transform(list_distinct(list_transform(regexp_extract_all({_sql_tight('content')}, '{_AS_NOTICE}') || regexp_extract_all({_sql_tight('content')}, '{_IN_BRACKETS}'), lambda t: {_sql_number(f"regexp_replace(t, '^({_LEADS})', '')")})), lambda t: {{'kind': 'number', 'reference': t}})) AS r FROM p) GROUP BY ALL""")
 def policy_references(s, d):
     """The titles and numbers that each document mentions."""
     named = lambda kind, found: F.transform(found, lambda r: F.struct(F.lit(kind).alias("kind"), r.alias("reference")))
@@ -140,9 +151,10 @@ def policy_references(s, d):
     return policies(s, d).select("doc_id", F.explode(F.concat(*kinds)).alias("r")).groupBy("doc_id", "r.kind", "r.reference").agg(F.count("*").alias("n"))
 
 
-_SQL_REPEALS = rf"""SELECT DISTINCT doc_id, target FROM (SELECT doc_id, {_sql_title('t')} AS target FROM (SELECT doc_id, unnest(regexp_extract_all(sentence, '{I.REPEALS[0]}', 1) || regexp_extract_all(sentence, '{I.REPEALS[1]}', 1) || regexp_extract_all(sentence, '{I.REPEALS[2]}', 1)) AS t
-FROM (SELECT doc_id, unnest(string_split_regex(content, '[。；\n]')) AS sentence FROM p) WHERE NOT regexp_matches(sentence, '{I.NOT_REPEALED}')) WHERE NOT regexp_matches(t, '^(本|上述|该|原)'))"""
-_SQL_SELF = rf"SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(string_split_regex(content, '[。；\n]')) AS sentence FROM p) WHERE regexp_matches(sentence, '{I.OWN_REPEAL}') AND NOT regexp_matches(sentence, '{I.NOT_REPEALED}')"
+_SQL_REPEALS = rf"""SELECT DISTINCT doc_id, target FROM (SELECT doc_id, {_sql_title('trim(t)')} AS target, trim(t) AS t FROM (SELECT doc_id, unnest(regexp_extract_all(sentence, '废止[ ]*《([^》]+)》', 1) || regexp_extract_all(sentence, '停止执行[ ]*《([^》]+)》', 1) || regexp_extract_all(sentence, '《([^》]+)》[ ]*(?:同时|一并|予以)?[ ]*废止', 1)) AS t
+FROM (SELECT doc_id, unnest(string_split_regex(content, '[。；\n]')) AS sentence FROM p) WHERE NOT regexp_matches(sentence, '{_DENIED}')) WHERE len(trim(t)) >= 2 AND NOT regexp_matches(trim(t), '^(本|上述|该|原)'))"""
+_SQL_SELF = rf"""SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(string_split_regex(content, '[。；\n]')) AS sentence FROM p) WHERE NOT regexp_matches(sentence, '{_DENIED}')
+AND (regexp_matches(sentence, '本(公告|通知|规定|办法|细则|法规|条例|决定|规则|意见|复函|批复|函|文件).{{0,40}}废止') OR regexp_matches(sentence, '(^|[^》」])(全文|全部|予以)废止'))"""
 
 
 @query(f"WITH {POLICIES} {_SQL_REPEALS}")
@@ -155,48 +167,29 @@ def self_repealed(s, d):
     return policies(s, d).filter(I.repeals_itself(F.col("content"))).select("doc_id")
 
 
-_SQL_CATALOG = rf"""SELECT doc_id, {_sql_title('cells[2]')} AS listed, {_sql_number('cells[3]')} AS listed_no FROM (SELECT doc_id, string_split(unnest(string_split(catalog, chr(10))), '|') AS cells FROM p WHERE doc_id % 41 = 0) WHERE len(cells) = 3 AND cells[2] LIKE '关于%' AND len(cells[2]) >= 10 AND regexp_matches(cells[3], '〔[0-9]{{4}}〕')"""
+_SQL_CATALOG = rf"""SELECT doc_id, {_sql_title('t')} AS listed, {_sql_number('no')} AS listed_no FROM (SELECT doc_id, list_filter(cells, lambda c: len(c) >= 10 AND contains(c, '关于'))[1] AS t, list_filter(cells, lambda c: regexp_matches(c, '〔[ ]*[0-9]{{4}}[ ]*〕'))[1] AS no
+FROM (SELECT doc_id, list_filter(list_transform(string_split(unnest(string_split(catalog, chr(10))), '|'), lambda c: trim(c)), lambda c: c <> '') AS cells FROM p WHERE doc_id % 41 = 0) WHERE len(cells) >= 2) WHERE t IS NOT NULL OR no IS NOT NULL"""
 
 
-def _catalog(p):
-    """Rows of repeal catalogues (documents 41 apart have one): a title of ten characters that begins so, and a number with a year."""
-    cells = F.split("line", r"\|", -1)
-    rows = p.filter("doc_id % 41 = 0").select("doc_id", F.explode(F.split("catalog", "\n", -1)).alias("line")).filter(F.size(cells) == 3)
-    rows = rows.select("doc_id", cells[1].alias("t"), cells[2].alias("no")).filter(F.startswith("t", F.lit("关于")) & (F.length("t") >= 10) & F.col("no").rlike("〔[0-9]{4}〕"))
-    return rows.select("doc_id", I.title_key(F.col("t")).alias("listed"), I.number_key(F.col("no")).alias("listed_no"))
+def listed_documents(x):
+    """Rows of a catalogue of repealed documents, as array<struct<title, number>>: of the cells of a line (two or more with
+    anything in them) the first of ten characters with 关于, and the first with a year in brackets; either is enough."""
+    cells = F.transform(F.split(I.text_of(x), "\n", -1), lambda line: F.filter(F.transform(F.split(line, r"\|", -1), lambda c: F.trim(c)), lambda c: c != ""))
+    rows = F.transform(
+        F.filter(cells, lambda c: F.size(c) >= 2),
+        lambda c: F.struct(F.get(F.filter(c, lambda t: (F.length(t) >= 10) & F.contains(t, F.lit("关于"))), 0).alias("title"), F.get(F.filter(c, lambda n: n.rlike(r"〔\s*[0-9]{4}\s*〕")), 0).alias("number")),
+    )
+    return F.filter(rows, lambda r: r["title"].isNotNull() | r["number"].isNotNull())
 
 
 @query(f"WITH {POLICIES} {_SQL_CATALOG}")
 def catalog_rows(s, d):
-    return _catalog(policies(s, d))
-
-
-_SQL_JUDGED = f"""WITH {POLICIES}, k AS (SELECT doc_id, {_sql_title('title')} AS key FROM p), own AS ({_SQL_SELF}), rep AS ({_SQL_REPEALS}), cat AS ({_SQL_CATALOG}), eff AS ({_SQL_EFFECTIVE}),
-by_other AS (SELECT DISTINCT k.doc_id FROM rep JOIN k ON k.key = rep.target AND k.doc_id <> rep.doc_id), listed AS (SELECT DISTINCT k.doc_id FROM cat JOIN k ON k.key = cat.listed),
-f AS (SELECT p.doc_id, aging, listed.doc_id IS NOT NULL AS in_catalog, own.doc_id IS NOT NULL AS own_word, by_other.doc_id IS NOT NULL AS by_another, effective FROM p LEFT JOIN listed USING (doc_id) LEFT JOIN own USING (doc_id) LEFT JOIN by_other USING (doc_id) LEFT JOIN eff USING (doc_id)),
-j AS (SELECT doc_id, CASE WHEN in_catalog THEN '已废止' WHEN aging IS NOT NULL THEN aging WHEN own_word OR by_another THEN '已废止' WHEN effective > DATE '{AS_OF}' THEN '尚未生效' ELSE '现行有效' END AS status,
-CASE WHEN in_catalog THEN 'official_catalog' WHEN aging IS NOT NULL THEN 'official' WHEN own_word THEN 'self_repealed' WHEN by_another THEN 'inferred' WHEN effective > DATE '{AS_OF}' THEN 'effective_date' ELSE 'default' END AS origin FROM f)"""
-
-
-@query(f"{_SQL_JUDGED} SELECT doc_id, status, origin, origin = 'inferred' AND status = '已废止' AS needs_review FROM j")
-def judged_effects(s, d):
-    """The whole chain: repeals, catalogues and own words are extracted, joined to the documents that they name, written,
-    and judged in order: official catalogue, official note, own words, another document, a later day, else valid."""
-    p = materialize(policies(s, d))
-    keys = p.select("doc_id", I.title_key(F.col("title")).alias("key"))
-    told = p.select(F.col("doc_id").alias("by"), F.explode(I.repealed_titles(F.col("content"))).alias("key"))
-    flag = lambda df, name: df.select("doc_id").distinct().withColumn(name, F.lit(True))
-    another = flag(keys.join(told, "key").filter("doc_id != `by`"), "by_another")
-    listed = flag(keys.join(_catalog(p).select(F.col("listed").alias("key")), "key"), "in_catalog")
-    facts = p.select("doc_id", "aging", I.repeals_itself(F.col("content")).alias("own_word"), (I.effective_date(F.col("content"), F.col("day")) > F.lit(AS_OF).cast("date")).alias("later"))
-    facts = facts.join(listed, "doc_id", "left").join(another, "doc_id", "left")
-    judge = lambda *v: F.when(F.col("in_catalog"), v[0]).when(F.col("aging").isNotNull(), v[1]).when(F.col("own_word"), v[2]).when(F.col("by_another"), v[3]).when(F.col("later"), v[4]).otherwise(v[5])
-    status = judge("已废止", F.col("aging"), "已废止", "已废止", "尚未生效", "现行有效")
-    found = facts.select("doc_id", status.alias("status"), judge("official_catalog", "official", "self_repealed", "inferred", "effective_date", "default").alias("origin"))
-    return found.withColumn("needs_review", (F.col("origin") == "inferred") & (F.col("status") == "已废止"))
-
-
-@query(f"""WITH {POLICIES}, r AS (SELECT DISTINCT doc_id, unnest(list_transform(regexp_extract_all(content, '{I.ANNOUNCED}') || regexp_extract_all(content, '{I.BRACKETED}'), lambda t: {_sql_number(f"regexp_replace(t, '^({I.LEAD_INS})', '')")})) AS ref FROM p),
+    """Rows of repeal catalogues; documents 41 apart have one."""
+    rows = policies(s, d).filter("doc_id % 41 = 0").select("doc_id", F.explode(listed_documents(F.col("catalog"))).alias("r"))
+    return rows.select("doc_id", I.title_key(F.col("r.title")).alias("listed"), I.number_key(F.col("r.number")).alias("listed_no"))
+
+
+@query(f"""WITH {POLICIES}, r AS (SELECT DISTINCT doc_id, unnest(list_transform(regexp_extract_all({_sql_tight('content')}, '{_AS_NOTICE}') || regexp_extract_all({_sql_tight('content')}, '{_IN_BRACKETS}'), lambda t: {_sql_number(f"regexp_replace(t, '^({_LEADS})', '')")})) AS ref FROM p),
 n AS (SELECT {_sql_number('raw_no')} AS ref, max(doc_id) AS target FROM p WHERE raw_no IS NOT NULL GROUP BY 1), e AS (SELECT r.doc_id, r.ref, n.target FROM r LEFT JOIN n USING (ref) WHERE n.target IS NULL OR n.target <> r.doc_id)
 SELECT doc_id, count(target) AS n_cited, count(*) - count(target) AS n_dangling, coalesce((SELECT count(*) FROM e x WHERE x.target = e.doc_id), 0) AS n_citing FROM e GROUP BY doc_id""")
 def policy_graph(s, d):

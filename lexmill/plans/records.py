@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import identifiers as I
 from lexmill.functions import text as T
 from lexmill.operators import maintenance as M
-from lexmill.plans.catalogue import query
+from lexmill.plans.registered import query
 from lexmill.plans.storage import table
 
 

@@ -1,6 +1,10 @@
 """Best partial matches against a full scan."""
 
-from lexmill.operators.fuzzy import fuzzy_match, partial_ratio
+import random
+
+import pytest
+
+from lexmill.operators.fuzzy import close_titles, fuzzy_match, partial_ratio
 
 
 def test_short_titles_match_as_in_a_full_scan(spark):
@@ -13,3 +17,41 @@ def test_short_titles_match_as_in_a_full_scan(spark):
             want[i] = (-j, score)
     frames = [spark.createDataFrame(list(x.items()), "id int, title string") for x in (left, right)]
     assert len(want) == 5 and {r["left_id"]: (r["right_id"], r["score"]) for r in fuzzy_match(*frames).collect()} == want
+
+
+def plain_gate(a, b):
+    """Whether the two share what blocking asks for."""
+    n = 0 if len(a) < 6 else 10 if len(a) >= 12 and len(b) >= 20 else 5
+    return n == 0 or any(a[i : i + n] in b for i in range(len(a) - n + 1))
+
+
+@pytest.mark.parametrize("hot", [0, 3, 200])
+def test_close_titles_are_those_of_a_full_scan(spark, hot):
+    rng = random.Random(9)
+    words = ["增值税", "税", "关于", "印发", "办法", "通知", "企业", "所得", "公告", "的", "问题", "aaa", "aaaaaa", "ab", "x1", "国家税务总局关于"]
+    rights = ["国家税务总局关于" + "".join(rng.choices(words, k=rng.randrange(1, 9))) + str(rng.randrange(100)) for _ in range(150)] + ["".join(rng.choices(words, k=rng.randrange(1, 5))) for _ in range(60)]
+    rights += ["a" * 8, "a" * 25, "b", "ab", "abab" * 6, "", None]
+    lefts = []
+    for t in rng.sample(rights[:-2], 130):
+        cut = list(t)
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(cut) + 1)
+            cut[at : at + rng.randrange(2)] = rng.choice(["", "税", "q"])
+        lo = rng.choice([0, 0, 3])
+        lefts.append("".join(cut)[lo : rng.choice([4, 9, 16, 99])])
+    lefts += ["a" * 9, "b", "", None, "aaaaab", "aaaa" * 8]
+    want = {(a, b): n for a in set(lefts) if a for b in set(rights) if b and plain_gate(a, b) and (n := partial_ratio(a, b)) >= 88}
+    frames = [spark.createDataFrame([(t,) for t in x], "title string") for x in (lefts, rights)]
+    found = {(r["a"], r["b"]): r["score"] for r in close_titles(*frames, hot=hot).collect()}
+    assert found == want and len({a for a, _ in want if len(a) >= 12}) > 20
+    assert close_titles(frames[0].filter("false"), frames[1]).count() == 0
+
+
+def test_partial_ratio_passes_over_no_window():
+    from lexmill.operators.fuzzy import _common
+
+    rng = random.Random(1)
+    for _ in range(2000):
+        a, b = sorted(("".join(rng.choices("abcd", k=rng.randrange(1, 8))), "".join(rng.choices("abcdef", k=rng.randrange(1, 14)))), key=len)
+        spans = {(max(0, s), min(len(b), s + len(a))) for s in range(1 - len(a), len(b))}
+        assert partial_ratio(a, b) == max(int(200 * _common(a, b[s:e]) / (len(a) + e - s)) for s, e in spans)

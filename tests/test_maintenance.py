@@ -48,7 +48,7 @@ def test_identifiers(spark):
     assert [one(I.looks_like_number, x) for x in ("[84]财政65号", "161", "号", "国务院")] == [True, False, False, False]
     assert one(I.repealed_titles, "本条不废止《甲办法》。《乙办法》同时废止；废止《本办法》") == ["乙办法"]
     assert one(I.repeals_itself, "本公告自即日起全文废止。") and not one(I.repeals_itself, "《某办法》全文废止。")
-    assert one(I.mentioned_titles, "见《〈税务（试行）办法〉》和《短》") == ["(税务(试行)办法)"]
+    assert one(I.mentioned_titles, "见《〈税务（试行）办法〉》和《短》") == ["《税务（试行）办法》"]
     assert [one(I.notice_key, x) for x in ("10建行税务服务", "7建行税务服务", "2026年度", "1. 标题")] == ["建行税务服务", "建行税务服务", "2026年度", "标题"]
     assert one(I.tight, "国 家 税务 a b") == "国家税务 a b"
 
