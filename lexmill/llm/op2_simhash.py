@@ -336,9 +336,16 @@ def similar_texts(docs: DataFrame, words: int = 5) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
-    """docs without the rows whose component of similar_texts has a smaller doc_id; all columns stay.
+    """The first row of each group of near-duplicates: of the rows whose texts similar_texts links, that with the smallest
+    doc_id, null last, and of rows with the same doc_id the first as read. All columns stay.
 
-    Rows without a doc_id stay too, as nothing can name what they repeat.
+    Rows are judged one by one: a row that shares its doc_id with others goes or stays by its own text, and of repeated
+    rows one stays. Null and empty texts are near-duplicates of each other. An empty table gives an empty one; columns
+    of docs may have any names but `_row`.
     """
-    found = similar_texts(docs, words).filter("doc_id != component_id").select("doc_id").distinct()
-    return join_checked(docs, found, "doc_id", "left_anti")
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+    parts = similar_texts(rows.select(F.col("_row").alias("doc_id"), "text"), words).select(F.col("doc_id").alias("row"), F.col("component_id").alias("part"))
+    named = materialize(parts.join(rows.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc")), "row"))
+    kept = named.groupBy("part").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("least"))
+    gone = named.join(kept, "part").filter("row != least.row").select(F.col("row").alias("_row"))
+    return join_checked(rows, gone, "_row", "left_anti").select(*docs.columns)

@@ -80,7 +80,7 @@ def figures(docs: DataFrame, window: int = 5) -> DataFrame:
 
 
 def _judged(docs: DataFrame) -> DataFrame:
-    """figures() without lines, and base_failed, removed_words and kept."""
+    """figures() without lines, and base_failed, removed_words, removed_lines (their hashes, null for none) and kept."""
     rows = materialize(figures(docs).withColumn("row", F.monotonically_increasing_id()))
     host = [F.coalesce("source", F.lit("")).alias("host"), F.col("source").isNull().alias("no_host")]
     document = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("row")).alias("row"))  # a row without an id is a document
@@ -89,7 +89,7 @@ def _judged(docs: DataFrame) -> DataFrame:
     hosts = rows.select(*host, document.alias("document")).distinct().groupBy("host", "no_host").agg(F.count("*").alias("documents")).filter(F.col("documents") >= MIN_DOCUMENTS)
     often = join_checked(many, hosts, ["host", "no_host"]).filter(F.col("n") > MAX_SHARE * F.col("documents")).select("host", "no_host", "line")
     mine = rows.select("row", *host, F.explode("lines").alias("l")).select("row", "host", "no_host", "l.line", "l.words")
-    lost = join_checked(mine, often, ["host", "no_host", "line"]).groupBy("row").agg(F.sum("words").alias("removed"))
+    lost = join_checked(mine, often, ["host", "no_host", "line"]).groupBy("row").agg(F.sum("words").alias("removed"), F.collect_set("line").alias("removed_lines"))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     removed = F.coalesce("removed", F.lit(0)).cast("long")
     kept = ~base & (F.col("n_words") - removed >= LEFT_SHARE * F.col("n_words"))
@@ -109,7 +109,16 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def keep_by_rules(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that quality_rules keeps, each by its own verdict (equal rows have the same)."""
-    bad = _judged(docs).filter(~F.col("kept")).select("_row1", "_row2").distinct()
-    keyed = docs.select("*", *_row_hash())
-    return join_checked(keyed, bad, ["_row1", "_row2"], "left_anti").select(*docs.columns)
+    """The rows of docs, all columns, that quality_rules keeps, each by its own verdict (equal rows have the same), with
+    text less the lines that too many documents of the host share.
+
+    Nulls, ties, repeated rows, odd texts and empty tables are as in quality_rules; a text without such lines stays as it
+    is, and columns of docs may have any names.
+    """
+    changed = _judged(docs).filter(~F.col("kept") | F.col("removed_lines").isNotNull()).select("_row1", "_row2", "kept", "removed_lines").dropDuplicates(["_row1", "_row2"])
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    keyed = docs.select("*", *_row_hash()).toDF(*names, "_row1", "_row2")
+    text = F.col(names[docs.columns.index("text")])
+    left = F.filter(F.split(text, "\n", -1), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | ~F.array_contains("removed_lines", F.xxhash64(F.array_join(_words(F.lower(x)), " "))))
+    found = join_checked(keyed, changed, ["_row1", "_row2"], "left").filter(F.coalesce("kept", F.lit(True)))
+    return found.select(*[(F.when(F.col("removed_lines").isNull(), text).otherwise(F.array_join(left, "\n")) if c == "text" else F.col(n)).alias(c) for c, n in zip(docs.columns, names, strict=True)])

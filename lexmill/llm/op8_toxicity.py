@@ -1,10 +1,12 @@
 """Toxicity by compression distance, with one zstandard dictionary for toxic and one for ordinary text.
 
-Both dictionaries are trained by zstandard on the labelled sample: the toxic one on windows of toxic texts, the
-ordinary one on as many bytes of windows of ordinary texts. Toxic texts are mostly ordinary words, so the windows that
-are trained on there are those around words which the class uses far more often than the other. Both dictionaries
-begin with the same base, trained on ordinary windows too: with it text that the classes share compresses alike under
-either, and what is left of the difference comes from the parts in which they differ. A window of a document is
+Both dictionaries are trained by zstandard on the labelled sample, but not on like things. The ordinary one is trained
+on windows of ordinary texts. The toxic one is trained on a word list mined from the sample: the words that the class
+uses far more often than the other, each once for every toxic text that holds it. No window of a toxic text is trained
+on, as toxic texts are mostly ordinary words: dictionaries trained on all windows of either class told the classes
+apart poorly (the figures are in the README). Both dictionaries begin with the same base, trained on ordinary windows
+too: with it text that the classes share compresses alike under either, and what is left of the difference comes from
+the parts in which they differ. A window of a document is
 compressed with either, at two levels (a quick and a thorough search for matches find different ones), and the
 difference of the two lengths says to which class it is nearer. The differences of all windows of a document are
 summed up in a few figures, and a logistic curve over them, fitted on texts that the dictionaries have not seen,

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lexmill.llm import bpe, op1_html, op2_simhash, op3_quality, op5_packing, op8_toxicity, op10_bpe, queries
 from lexmill.plans.storage import table
@@ -340,6 +341,26 @@ def test_pipeline_near_duplicates_of_documents(spark):
     assert {r["doc_id"]: r["component_id"] for r in op2_simhash.similar_texts(docs).collect()} == want
 
 
+def test_pipeline_near_duplicates_go_by_row(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a, 7), (5, a, 8), (5, b, 9), (7, "x", 1), (7, "x", 1), (None, b, 2), (None, "y", 3), (9, None, 4), (8, "", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row long").withColumnRenamed("row", "part")
+    kept = op2_simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [(1, a, 7), (5, b, 9), (7, "x", 1), (None, "y", 3), (8, "", 5)]))
+
+
+def test_pipeline_rules_remove_lines(spark):
+    from lexmill.llm import op6_quality_rules
+
+    words = lambda i: " ".join(f"w{i}_{k}" for k in range(40))
+    rows = [(i, f"Shared  BANNER of the site\n\n{words(i)}\n shared banner of THE site", "h", 1) for i in range(200)] + [(900, f"shared banner of the site\n{words(900)}", "other", 2), (901, "shared banner of the site " * 3 + "end", "h", 3), (902, None, "h", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, kept int").withColumn("removed_lines", F.lit(0))
+    found = op6_quality_rules.keep_by_rules(docs)
+    assert found.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in found.collect()) == [(i, f"\n{words(i)}") for i in range(200)] + [(900, rows[200][1])]
+
+
 @pytest.mark.parametrize(("fit", "label", "share"), [(op3_quality.fit, "quality", 0.9), (op8_toxicity.fit, "toxic", 0.1)])
 def test_scores_keep_the_class_shares_under_a_cap(spark, fit, label, share):
     rng = random.Random(5)  # texts that tell nothing of their label: the mean score is the share of the label
