@@ -36,6 +36,14 @@ def _file_system(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing uses yet; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/lexmill-{uuid.uuid4().hex}"
+    where, system = _file_system(spark, path)
+    system.deleteOnExit(where)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
@@ -43,9 +51,7 @@ def materialize(df: DataFrame) -> DataFrame:
     never a recomputation of what is written here. The files go when the driver ends, or earlier by discard().
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexmill-{uuid.uuid4().hex}"
-    where, system = _file_system(spark, path)
-    system.deleteOnExit(where)
+    path = new_folder(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lexmill_path = path
