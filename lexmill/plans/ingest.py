@@ -12,9 +12,10 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexmill.plans.registered import query
-from lexmill.plans.storage import table
+from lexmill.plans.storage import new_folder, table
 from lexmill.sources import pages as P
 from lexmill.sources import readers as R
+from lexmill.streaming.maintenance import Held
 
 _CLEAN = r"[\x00-\x08\x0B-\x1F\x7F-\x9F]"
 _ENCODINGS = ("utf-8", "utf-8-sig", "gb18030", "utf-16-le", "utf-16-be")
@@ -109,3 +110,21 @@ def page_details(s, d):
     rows = table(s, d, "pages").withColumn("html", F.concat(said, F.regexp_replace(F.coalesce("html", F.lit("")), "(?i)</?(html|body|head)[^>]*>", ""), F.lit("</p></div><a href='/f/"), i, F.lit(".pdf'>file</a>")))
     found = P.details(rows, selectors=own)
     return found.select("page_id", "title", F.sha2(F.coalesce("body", F.lit("")), 256).alias("body_sha256"), F.length("body").alias("n_body"), "number", "status", "written", "effective", F.size("attachments").alias("n_files"))
+
+
+_ARRIVALS = 5
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, ts, value, event_id % {_ARRIVALS} AS arrival FROM events), h AS (SELECT arrival, max(ts) AS latest FROM e GROUP BY 1),
+j AS (SELECT e.*, e.ts < (SELECT max(latest) FROM h WHERE h.arrival < e.arrival) - INTERVAL 10 DAYS AS late FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM j WHERE late IS NOT TRUE)
+SELECT 'held' AS state, event_id, user_id, ts, value FROM k WHERE nth = 1 UNION ALL SELECT 'late', event_id, user_id, ts, value FROM j WHERE late""")
+def maintained_events(s, d):
+    """The last event of each user, held by a stream that takes in all events in five arrivals, with those that came too late."""
+    path = new_folder(s)
+    events = table(s, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    held = Held(f"{path}/held", events.schema, "user_id", "ts", ("event_id",), "10 days")
+    for i in range(_ARRIVALS):
+        events.filter(F.col("event_id") % _ARRIVALS == i).write.mode("append").parquet(f"{path}/arrived")
+        held.run(s.readStream.schema(events.schema).parquet(f"{path}/arrived"), f"{path}/checkpoint")
+    late = held.rejected(s).select(F.lit("late").alias("state"), *events.columns)
+    return held.now(s).select(F.lit("held").alias("state"), *events.columns).unionByName(late)

@@ -36,6 +36,15 @@ def _file_system(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def folders(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers n of the folders `name`=n in a folder that were written to the end; none where there is no such folder."""
+    where, system = _file_system(spark, path)
+    if not system.exists(where):
+        return []
+    done = [s.getPath() for s in system.listStatus(where) if s.isDirectory() and system.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return sorted(int(n) for p in done for k, _, n in [p.getName().partition("=")] if k == name)
+
+
 def new_folder(spark: SparkSession) -> str:
     """A path in the shared folder that nothing uses yet; what is written there goes when the driver ends."""
     path = f"{shared_dir(spark)}/lexmill-{uuid.uuid4().hex}"
