@@ -553,4 +553,4 @@ def facet_rollup(s, d):
     return rows.select("o_orderpriority", "o_orderstatus", "n", "level")
 
 # The other modules of queries register themselves with query().
-from lexmill.plans import ingest, policies, records, relations, searches  # noqa: E402, F401
+from lexmill.plans import audits, ingest, policies, records, relations, searches  # noqa: E402, F401
