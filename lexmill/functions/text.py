@@ -2,18 +2,12 @@
 
 import re
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def clean_text(x: Column) -> Column:
-    """Drop zero-width characters, collapse any Unicode space, trim; empty becomes null."""
-    bare = F.regexp_replace(x, "[​﻿]", "")
-    return F.nullif(F.trim(F.regexp_replace(bare, r"(?U)[\s ]+", " ")), F.lit(""))
-
-
 def plain_identifier(x: Column) -> Column:
     """An identifier with all bracket kinds as square ones and without spaces, for lookups."""
     return F.regexp_replace(F.translate(x, "〔〕（）【】()", "[][][][]"), r"(?U)\s+", "")
@@ -25,11 +19,6 @@ def all_terms(text: Column, terms: list[str]) -> Column:
     return reduce(and_, [F.contains(low, F.lit(t.lower())) for t in terms], F.lit(True))
 
 
-def any_term(text: Column, terms: list[str]) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return reduce(or_, [F.contains(low, F.lit(t.lower())) for t in terms], F.lit(False))
-
-
 def occurrences(text: Column, term: str) -> Column:
     """Occurrences of term that do not overlap, case folded."""
     low = F.lower(F.coalesce(text, F.lit("")))
@@ -48,8 +37,8 @@ def snippet(text: Column, terms: list[str], before: int = 100, after: int = 160)
 
 
 def title_of(text: Column) -> Column:
-    """The first line with anything in it, at most 80 characters."""
-    return F.substring(F.coalesce(F.regexp_extract(F.coalesce(text, F.lit("")), r"^\s*([^\n]*)", 1), F.lit("")), 1, 80)
+    """The first line with anything in it, whole."""
+    return F.regexp_extract(F.coalesce(text, F.lit("")), r"^\s*([^\n]*)", 1)
 
 
 def iso_date(x: Column) -> Column:
@@ -101,24 +90,6 @@ def content_hash(*columns: str) -> Column:
     return F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]), 256)
 
 
-def masked_labels(x: Column, names: dict[str, str]) -> dict[str, Column]:
-    """label -> whether its name occurs in x other than within a longer name of the same list."""
-    text = F.coalesce(x, F.lit(""))
-    out = {}
-    for label, name in names.items():
-        bare = text
-        for longer in sorted((n for n in names.values() if name in n and n != name), key=len, reverse=True):
-            bare = F.replace(bare, F.lit(longer), F.lit(""))
-        out[label] = F.contains(bare, F.lit(name))
-    return out
-
-
-def number_references(x: Column, issuers: list[str]) -> Column:
-    """The distinct document numbers of the form issuer〔year〕n号 in a text, in order."""
-    form = f"({'|'.join(issuers)})〔[0-9]{{4}}〕[0-9]+号"
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(form), F.lit(0)))
-
-
 def page(x: Column, offset: int, size: int) -> Column:
     """(text, truncated, next_offset) of one page of a text; next_offset is null on the last."""
     more = F.length(F.coalesce(x, F.lit(""))) > offset + size

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from lexmill.plans.storage import discard, materialize
+from lexmill.plans.storage import discard, join_checked, materialize
 
 #: Titles that hold an n-gram beyond which the n-gram alone is no key.
 HOT_GRAM = 200
@@ -43,26 +43,67 @@ def partial_ratio(a: str | None, b: str | None) -> int:
     return best
 
 
-@F.pandas_udf(IntegerType())
-def partial_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([partial_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
-
-
-def _grams(x: Column, n: int) -> Column:
-    """The distinct n-grams of characters."""
-    return F.when(F.length(x) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - (n - 1)), lambda i: F.substring(x, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
-
-
-def _lost(x: Column, least: int) -> Column:
-    """How many distinct bigrams of x a match at `least` or more may lack at most, x being the shorter text.
+def lost_bigrams(least: int) -> float:
+    """What share of its length a text may lose in distinct bigrams, at most, and still match a window of another at `least`
+    or more, being the shorter of the two.
 
     With L characters in x, w in the window and c in common, 2c >= t (L + w) and c <= w, so w >= tL / (2 - t). A bigram of
     x is lost to a character of x that is not in common (two each) or to one of the window's between (one each):
     2 (L - c) + (w - c), which is greatest at an end of the range of w.
     """
     t = least / 100
-    share = max((2 - 1.5 * t) + (1 - 1.5 * t) * w for w in (t / (2 - t), 1.0))
-    return F.floor(F.length(x) * share + 1e-9).cast("int")
+    return max((2 - 1.5 * t) + (1 - 1.5 * t) * w for w in (t / (2 - t), 1.0))
+
+
+def ratio_from(a: str, b: str, least: int) -> int:
+    """partial_ratio where it is `least` or more, else 0: windows that lack too many bigrams of the shorter are passed over."""
+    a, b = sorted((a, b), key=len)
+    if not a:
+        return 0
+    if a in b:
+        return 100
+    n, letters, wanted = len(a), set(a), {a[i : i + 2] for i in range(len(a) - 1)}
+    enough = len(wanted) - floor(n * lost_bigrams(least) + 1e-9)
+    best = have = 0
+    held: dict[str, int] = {}
+    for last in range(1, len(b) + n - 1):  # windows end after `last`; bigrams that begin in them are counted as they come and go
+        if last < len(b) and (g := b[last - 1 : last + 1]) in wanted:
+            held[g] = held.get(g, 0) + 1
+            have += held[g] == 1
+        if last >= n and (g := b[last - n : last - n + 2]) in wanted:
+            held[g] -= 1
+            have -= held[g] == 0
+        if have < enough:
+            continue
+        s, e = max(0, last + 1 - n), min(len(b), last + 1)
+        if (b[e - 1] if e == last + 1 else b[s]) in letters:
+            best = max(best, int(200 * _common(a, b[s:e]) / (n + e - s)))
+    return best if best >= least else 0
+
+
+def ratios_from(least: int):
+    @F.pandas_udf(IntegerType())
+    def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([ratio_from(x, y, least) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+    return ratios
+
+
+def _grams(x: Column, n: int, block: int = 256) -> Column:
+    """The distinct n-grams of characters. They are cut from blocks of a long text, as finding a place in a text means
+    counting its characters from the start."""
+
+    def of_block(k: Column) -> Column:
+        cut = F.substring(x, k * block + 1, F.lit(block + n - 1))
+        places = F.sequence(F.lit(1), F.least(F.lit(block), F.length(x) - (n - 1) - k * block))
+        return F.transform(F.array(cut), lambda c: F.transform(places, lambda i: F.substring(c, i, F.lit(n))))[0]
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - n) / block).cast("int")), of_block)
+    return F.when(F.length(x) >= n, F.array_distinct(F.flatten(blocks))).otherwise(F.array().cast("array<string>"))
+
+
+def _lost(x: Column, least: int) -> Column:
+    return F.floor(F.length(x) * lost_bigrams(least) + 1e-9).cast("int")
 
 
 def _keys(x: Column, long: bool) -> Column:
@@ -91,8 +132,9 @@ def close_titles(left: DataFrame, right: DataFrame, least: int = 88, hot: int =
     of_b = b.select("b", F.explode(_keys(F.col("b"), True)).alias("key"))
     if not a.filter("length(a) < 6").isEmpty():
         of_b = of_b.unionByName(b.select("b", F.lit("").alias("key")))
+    of_b = materialize(join_checked(of_b, of_a.select("key").distinct(), "key", "left_semi"))
     wide = of_b.groupBy("key").agg(F.count("*").alias("n")).withColumn("is_hot", (F.col("n") > hot) | (F.col("key") == ""))
-    wide = materialize(wide.join(of_a.select("key").distinct(), "key", "left_semi").select("key", "is_hot"))
+    wide = materialize(wide.select("key", "is_hot"))
     seen = b.select(F.explode(_grams(F.col("b"), 2)).alias("part")).groupBy("part").agg(F.count("*").alias("n"))
 
     def dealt(side: DataFrame, title: str, first: str, second: str) -> DataFrame:
@@ -109,13 +151,14 @@ def close_titles(left: DataFrame, right: DataFrame, least: int = 88, hot: int =
     found = dealt(of_a, "a", "<", ">").join(dealt(of_b, "b", ">", "<"), ["key", "part"])
     shorter = F.length("a") <= F.length("b")
     right_way = (F.col("part") == "") | (shorter & F.startswith("part", F.lit("<"))) | (~shorter & F.startswith("part", F.lit(">")))
-    found = found.filter(right_way & (F.col("a") != F.col("b"))).select("a", "b").distinct()
+    # written, or the check below would be made for each shared key, before the pairs are distinct
+    found = materialize(found.filter(right_way & (F.col("a") != F.col("b"))).select("a", "b").distinct())
     short = F.when(shorter, F.col("a")).otherwise(F.col("b"))
     enough = F.size(F.array_intersect(_grams(F.col("a"), 2), _grams(F.col("b"), 2))) >= F.size(_grams(short, 2)) - _lost(short, least)
-    scored = materialize(found.filter(enough).select("a", "b", partial_ratios("a", "b").alias("score")).filter(F.col("score") >= least))
+    scored = materialize(found.filter(enough).select("a", "b", ratios_from(least)("a", "b").alias("score")).filter(F.col("score") >= least))
     same = a.join(b, F.col("a") == F.col("b")).select("a", "b", F.lit(100).alias("score"))
     out = materialize(scored.unionByName(same))
-    discard(a, b, wide, scored)
+    discard(a, b, of_b, wide, found, scored)
     return out
 
 

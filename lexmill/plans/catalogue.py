@@ -10,7 +10,7 @@ from lexmill.plans.registered import ORACLES, QUERIES, query  # noqa: F401
 from lexmill.plans.storage import table
 from lexmill.streaming import events as E
 
-_TITLE = r"substring(regexp_extract(coalesce(text, ''), '^\s*([^\n]*)', 1), 1, 80)"
+_TITLE = r"regexp_extract(coalesce(text, ''), '^\s*([^\n]*)', 1)"
 
 
 @query(rf"""
@@ -58,8 +58,10 @@ def search_bm25(s, d):
 @query("""SELECT coalesce(lang, '?') AS lang, coalesce(source, '?') AS source, count(*) AS n, count(*) FILTER (WHERE text IS NULL OR text = '') AS empty, min(n_chars) AS least, max(n_chars) AS most,
 count(DISTINCT text) AS texts FROM documents GROUP BY 1, 2""")
 def facet_overview(s, d):
+    """Counts of each language and source; distinct texts by 128 bits of hash, so no text is shuffled."""
     docs = table(s, d, "documents").groupBy(F.coalesce("lang", F.lit("?")).alias("lang"), F.coalesce("source", F.lit("?")).alias("source"))
-    return docs.agg(F.count("*").alias("n"), F.count_if(F.col("text").isNull() | (F.col("text") == "")).alias("empty"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.countDistinct("text").alias("texts"))
+    text = F.when(F.col("text").isNotNull(), F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text")))
+    return docs.agg(F.count("*").alias("n"), F.count_if(F.col("text").isNull() | (F.col("text") == "")).alias("empty"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.countDistinct(text).alias("texts"))
 
 
 @query("""SELECT label, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN contains(lower(text), 'license') THEN 'license' END, CASE WHEN contains(text, '@') THEN 'address' END,
@@ -176,10 +178,10 @@ def latest_snapshot(s, d):
     return last.select("user_id", "event_type", "m.event_id")
 
 
-@query("""WITH a AS (SELECT DISTINCT md5(substring(text, 1, 200)) AS k FROM documents WHERE source = 'src0'), b AS (SELECT DISTINCT md5(substring(text, 1, 200)) AS k FROM documents WHERE source <> 'src0')
+@query("""WITH a AS (SELECT DISTINCT md5(text) AS k FROM documents WHERE source = 'src0'), b AS (SELECT DISTINCT md5(text) AS k FROM documents WHERE source <> 'src0')
 SELECT count(*) AS n_keys, count(b.k) AS n_shared, round(count(b.k) / count(*), 6) AS ratio, CASE WHEN count(b.k) >= 0.9 * count(*) THEN 'duplicate' ELSE 'distinct' END AS verdict FROM a LEFT JOIN b USING (k)""")
 def overlap_ratio(s, d):
-    rows = table(s, d, "documents").select(F.md5(F.substring("text", 1, 200).cast("binary")).alias("k"), (F.col("source") == "src0").alias("mine")).filter("mine is not null")
+    rows = table(s, d, "documents").select(F.md5(F.col("text").cast("binary")).alias("k"), (F.col("source") == "src0").alias("mine")).filter("mine is not null")
     keys = rows.groupBy("k").agg(F.max("mine").alias("here"), F.max(~F.col("mine")).alias("there")).filter("here")
     both = keys.agg(F.count("*").alias("n_keys"), F.count_if("there").alias("n_shared"))
     return both.select("n_keys", "n_shared", F.round(F.col("n_shared") / F.col("n_keys"), 6).alias("ratio"), F.when(F.col("n_shared") >= 0.9 * F.col("n_keys"), "duplicate").otherwise("distinct").alias("verdict"))
@@ -204,10 +206,10 @@ def doc_sort_nulls_last(s, d):
     return table(s, d, "documents").select("doc_id").join(table(s, d, "labels").select("doc_id", "quality"), "doc_id", "left").orderBy(F.col("quality").desc_nulls_last(), "doc_id").limit(40)
 
 
-@query("""SELECT doc_id, (i // 500)::INT AS chunk_no, substring(text, i + 1, 600) AS chunk FROM (SELECT doc_id, text, unnest(range(0, 500 * CAST(ceil(greatest(len(text) - 600, 0) / 500) AS BIGINT) + 1, 500)) AS i FROM documents WHERE len(text) > 0) WHERE i < 20000""")
+@query("""SELECT doc_id, (i // 500)::INT AS chunk_no, substring(text, i + 1, 600) AS chunk FROM (SELECT doc_id, text, unnest(range(0, 500 * CAST(ceil(greatest(len(text) - 600, 0) / 500) AS BIGINT) + 1, 500)) AS i FROM documents WHERE len(text) > 0)""")
 def chunk_windows(s, d):
-    """The first 40 windows, as in the SQL."""
-    return table(s, d, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"), most=40)).alias("chunk_no", "chunk"))
+    """All windows of whole texts."""
+    return table(s, d, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("chunk_no", "chunk"))
 
 
 @query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
@@ -412,26 +414,6 @@ def fuzzy_title_match(s, d):
     return fuzzy_match(cited, titles("documents", F.col("doc_id")).unionByName(passages))
 
 
-_MASKED = [("土地增值税清算", "土地增值税"), ("增值税与土地增值税", "增值税"), ("关于增值税优惠", None), ("", None), (None, None)]
-
-
-@query("""SELECT raw, contains(coalesce(raw, ''), '土地增值税') AS land, contains(replace(coalesce(raw, ''), '土地增值税', ''), '增值税') AS vat
-FROM (VALUES ('土地增值税清算'), ('增值税与土地增值税'), ('关于增值税优惠'), (''), (NULL)) t(raw)""")
-def tax_type_masking(s, d):
-    rows = s.createDataFrame(_MASKED, "raw string, note string")
-    return rows.select("raw", *[c.alias(n) for n, c in T.masked_labels(F.col("raw"), {"land": "土地增值税", "vat": "增值税"}).items()])
-
-
-_NUMBERS = [("依据（财税〔2016〕36号）与国发〔2014〕5号执行",), ("财税〔2016〕36号、财税〔2016〕36号",), ("无文号",), (None,)]
-
-
-@query(r"""SELECT raw, no, regexp_extract(no, '〔([0-9]{4})〕', 1)::INT AS year FROM (SELECT raw, unnest(list_distinct(regexp_extract_all(coalesce(raw, ''), '(财税|国发|发改投资)〔[0-9]{4}〕[0-9]+号'))) AS no
-FROM (VALUES ('依据（财税〔2016〕36号）与国发〔2014〕5号执行'), ('财税〔2016〕36号、财税〔2016〕36号'), ('无文号'), (NULL)) t(raw))""")
-def number_references(s, d):
-    refs = s.createDataFrame(_NUMBERS, "raw string").select("raw", F.explode(T.number_references(F.col("raw"), ["财税", "国发", "发改投资"])).alias("no"))
-    return refs.withColumn("year", F.regexp_extract("no", "〔([0-9]{4})〕", 1).cast("int"))
-
-
 @query("""WITH o AS (SELECT o_custkey, o_orderdate::DATE AS a, o_orderdate::DATE + 30 AS b FROM orders), m AS (SELECT *, max(b) OVER (PARTITION BY o_custkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o),
 i AS (SELECT *, sum(CASE WHEN before >= a THEN 0 ELSE 1 END) OVER (PARTITION BY o_custkey ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m)
 SELECT o_custkey, first_day, last_day, n FROM (SELECT o_custkey, island, min(a) AS first_day, max(b) AS last_day, count(*) AS n FROM i GROUP BY 1, 2)""")

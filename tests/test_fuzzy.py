@@ -48,10 +48,20 @@ def test_close_titles_are_those_of_a_full_scan(spark, hot):
 
 
 def test_partial_ratio_passes_over_no_window():
-    from lexmill.operators.fuzzy import _common
+    from lexmill.operators.fuzzy import _common, ratio_from
 
     rng = random.Random(1)
     for _ in range(2000):
         a, b = sorted(("".join(rng.choices("abcd", k=rng.randrange(1, 8))), "".join(rng.choices("abcdef", k=rng.randrange(1, 14)))), key=len)
         spans = {(max(0, s), min(len(b), s + len(a))) for s in range(1 - len(a), len(b))}
         assert partial_ratio(a, b) == max(int(200 * _common(a, b[s:e]) / (len(a) + e - s)) for s, e in spans)
+        want = partial_ratio(a, b)
+        assert all(ratio_from(a, b, least) == (want if want >= least else 0) for least in (70, 80, 88, 92, 100))
+    for _ in range(300):
+        a = "".join(rng.choices("abcdefghij", k=30))
+        cut = list("".join(rng.choices("abcdefghij", k=40)) + a + "".join(rng.choices("abcdefghij", k=rng.randrange(40))))
+        for _ in range(rng.randrange(8)):
+            at = rng.randrange(len(cut))
+            cut[at : at + rng.randrange(2)] = rng.choice(["", "x", "yz"])
+        want = partial_ratio(a, "".join(cut))
+        assert all(ratio_from(a, "".join(cut), least) == (want if want >= least else 0) for least in (75, 88, 95))
