@@ -30,9 +30,26 @@ PREFERENCES = {
     "延期与缓缴": ("延期缴纳", "缓缴", "延缓缴纳", "延期申报", "延期缴纳税款"), "并购重组": ("并购", "重组", "改制", "合并", "分立"), "跨境与税收协定": ("税收协定", "非居民", "常设机构", "跨境"),
     "税前扣除": ("税前扣除", "扣除标准"), "优惠资格与管理": ("优惠目录", "优惠资格", "备案", "留存备查"),
 }
-NEWS = "一图|读懂|图解|漫画|短视频|小课堂"
-UNOFFICIAL = "解读|12366|热点问题|热点问答|政策问答|知识问答|问题解答|常见问题|答记者问|新闻发布会|温馨提示|一图|图解|读懂|漫画|短视频|小课堂|第一课"
-GENRES = "的通知|的公告|的决定|的办法|的规定|的意见|的批复|的复函|实施细则"
+# Words of news and popular titles; columns whose documents are substantive, and those of interpretations;
+# words and endings of titles outside the official layer; endings of titles of documents.
+NEWS = (
+    "小课堂", "一图了解", "图解", "漫画", "视频", "便利贴", "我来讲", "有回应", "办税小知识", "小贴士", "曝光", "访谈", "直播预告", "征期日历", "温馨提示", "热点问答", "注意！", "注意啦", "收藏！", "速看", "提醒！", "手把手", "了解一下", "算一算",
+    "必看", "秒get", "看这里", "话税收", "热点问题", "办税知识", "开学第一课", "千万别踩", "要点解答", "答记者问", "典型案例", "案例解析", "案例解读", "案例警示", "提示案例",
+)
+SUBSTANTIVE_COLUMNS, INTERPRETING_COLUMNS = ("政策法规", "财税文件", "行政法规", "国务院文件", "税务规范性文件", "部门规章", "其他文件"), ("政策解读", "政策指引")
+UNOFFICIAL = (
+    "解读", "12366", "热点问题", "热点问答", "政策问答", "知识问答", "问题解答", "常见问题", "答记者问", "新闻发布会", "记者提问", "温馨提示", "一图", "图解", "读懂", "图说", "漫画", "漫解", "短视频", "Vlog", "H5", "秒懂", "速览", "一张图", "思维导图", "小课堂", "小知识",
+    "小贴士", "指南针", "第一课", "教你", "带你", "带您", "帮您", "帮你", "收好", "点开", "戳视频", "戳图", "看这里", "了解一下", "个税APP", "视频版", "动漫丨", "动漫｜", "动漫|", "短片", "创意视频", "数字播报员",
+)
+UNOFFICIAL_FORMS = "(指南|指引|清单)[）)]?$|缴费事项清单|热线.*热点|热线.*问答|电子税务局.*操作|电子税务局.*怎么办"
+GENRES = ("的通知", "的公告", "的决定", "的办法", "的规定", "的意见", "的批复", "的复函", "实施细则")
+# Provinces in administrative order, and names of places in titles with the provinces they are in.
+PROVINCES = ("北京", "天津", "河北", "山西", "内蒙古", "辽宁", "吉林", "黑龙江", "上海", "江苏", "浙江", "安徽", "福建", "江西", "山东", "河南", "湖北", "湖南", "广东", "广西", "海南", "重庆", "四川", "贵州", "云南", "西藏", "陕西", "甘肃", "青海", "宁夏", "新疆")
+PLACES = {
+    "北京": "北京", "上海": "上海", "天津": "天津", "重庆": "重庆", "广东": "广东", "广州": "广东", "深圳": "广东", "江苏": "江苏", "南京": "江苏", "苏州": "江苏", "浙江": "浙江", "杭州": "浙江", "宁波": "浙江", "山东": "山东", "济南": "山东", "青岛": "山东", "四川": "四川",
+    "成都": "四川", "湖北": "湖北", "武汉": "湖北", "湖南": "湖南", "长沙": "湖南", "河南": "河南", "郑州": "河南", "河北": "河北", "石家庄": "河北", "福建": "福建", "福州": "福建", "安徽": "安徽", "合肥": "安徽", "陕西": "陕西", "西安": "陕西", "辽宁": "辽宁", "沈阳": "辽宁",
+    "大连": "辽宁", "吉林": "吉林", "黑龙江": "黑龙江", "山西": "山西", "江西": "江西", "广西": "广西", "云南": "云南", "贵州": "贵州", "海南": "海南", "甘肃": "甘肃", "青海": "青海", "宁夏": "宁夏", "新疆": "新疆", "内蒙古": "内蒙古", "西藏": "西藏",
+}
 AS_OF, LATEST = "2020-01-01", 2026
 
 
@@ -59,6 +76,10 @@ _COLUMNS = {
     "title": _title("doc_id"),
     "raw_no": f"""CASE doc_id % 7 WHEN 0 THEN {_number('doc_id')} WHEN 1 THEN concat({_issuer('doc_id')}, '[', 2000 + doc_id % 25, '] ', doc_id % 300 + 1, ' 号') WHEN 2 THEN concat('根据', {_number('doc_id')})
       WHEN 3 THEN concat('中华人民共和国财政部公告 ', 2000 + doc_id % 25, ' 年 第', doc_id % 300 + 1, '号') WHEN 4 THEN NULL WHEN 5 THEN concat('日', {_issuer('doc_id')}, '（', 1990 + doc_id % 50, '）', doc_id % 90 + 1, '号') ELSE CASE WHEN doc_id % 2 = 0 THEN concat('[', 80 + doc_id % 20, ']财政', doc_id % 90 + 1, '号') ELSE '161' END END""",
+    "column_name": _pick("doc_id % 7", ["政策解读", "税务规范性文件", "地方政策", "政策法规"]),
+    "tax_policy": f"CASE WHEN doc_id % 8 = 3 THEN {_pick('doc_id % 5', ['个税', '环保税', '车购税', '发票管理'])} END",
+    "site": f"CASE WHEN doc_id % 6 > 0 THEN concat('国家税务总局', {_pick('doc_id % 36', PROVINCES)}, '税务局') END",
+    "notice": f"concat({_pick('doc_id % 52', PLACES)}, '市', doc_id, {_pick('doc_id % 9', ['税务服务指南', '热线的问答', '电子税务局怎么办', '缴费清单）', 'Vlog', '动漫产业的通知', '典型案例', '数字播报员'])})",
     "day": "CAST(concat(2000 + doc_id % 19, '-0', 1 + doc_id % 9, '-1', doc_id % 10) AS DATE)",
     "aging": "CASE WHEN doc_id % 43 = 0 THEN '尚未生效' WHEN doc_id % 47 = 0 THEN '已废止' END",
     "keywords": f"concat({_pick('doc_id % 12', ['小微企业减免', '个体户免征', '农产品', '集成电路 加计扣除', '退役军人', '创投抵免', '备案', '非居民 税收协定', '缓缴', '重组', '高新企业'])}, ' ', coalesce(lang, ''))",
@@ -202,15 +223,85 @@ def policy_graph(s, d):
     return edges.groupBy("doc_id").agg(F.count("target").alias("n_cited"), (F.count("*") - F.count("target")).alias("n_dangling")).join(to, "doc_id", "left").fillna(0, ["n_citing"])
 
 
-_SQL_CLASS = f"""CASE WHEN title LIKE '%？' THEN 'news' WHEN raw_no IS NOT NULL THEN 'substantive' WHEN regexp_matches(title, '{NEWS}') THEN 'news' WHEN contains(title, '解读') OR contains(title, '答记者问') THEN 'interpretation' WHEN regexp_matches(title, '({GENRES})$') THEN 'substantive' ELSE 'other' END"""
+def _sql_any(x, words):
+    return "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
+
+
+def _sql_kind(title):
+    return f"""CASE WHEN regexp_matches({title}, '[？?]$') THEN 'news' WHEN raw_no IS NOT NULL THEN 'substantive' WHEN {_sql_any(title, NEWS)} THEN 'news' WHEN column_name IN {INTERPRETING_COLUMNS} OR {_sql_any(title, ('解读', '答记者问'))} THEN 'interpretation'
+    WHEN column_name IN {SUBSTANTIVE_COLUMNS} OR {" OR ".join(f"suffix({title}, '{g}')" for g in GENRES)} THEN 'substantive' ELSE 'other' END"""
+
+
+def _sql_unofficial(title):
+    return f"({_sql_any(title, UNOFFICIAL)} OR regexp_matches({title}, '{UNOFFICIAL_FORMS}'))"
+
+
+def holds_any(x, words):
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(I.text_of(x), w))
 
 
-@query(f"""WITH {POLICIES} SELECT doc_id, {_SQL_CLASS} AS kind, CASE WHEN regexp_matches(title, '{UNOFFICIAL}') THEN 0 ELSE 1 END AS is_official FROM p""")
+def unofficial(title):
+    """Titles outside the official layer: what explains, advertises or answers."""
+    return holds_any(title, UNOFFICIAL) | I.text_of(title).rlike(UNOFFICIAL_FORMS)
+
+
+def kind_of(title, number, column):
+    """By question mark, number, wording, column and genre, in this order."""
+    ends = F.exists(F.array(*map(F.lit, GENRES)), lambda g: F.endswith(I.text_of(title), g))
+    out = F.when(title.rlike("[？?]$"), "news").when(number.isNotNull(), "substantive").when(holds_any(title, NEWS), "news")
+    out = out.when(column.isin(*INTERPRETING_COLUMNS) | I.interprets(title), "interpretation")
+    return out.when(column.isin(*SUBSTANTIVE_COLUMNS) | ends, "substantive").otherwise("other")
+
+
+@query(f"""WITH {POLICIES} SELECT doc_id, {_sql_kind('title')} AS kind, {_sql_kind('notice')} AS notice_kind, CASE WHEN {_sql_unofficial('title')} THEN 0 ELSE 1 END AS is_official, CASE WHEN {_sql_unofficial('notice')} THEN 0 ELSE 1 END AS notice_official FROM p""")
 def classified_policies(s, d):
-    """Kinds by question mark, number, wording and genre, in this order; and the gate of the official layer."""
-    t = F.col("title")
-    kind = F.when(F.endswith(t, F.lit("？")), "news").when(F.col("raw_no").isNotNull(), "substantive").when(t.rlike(NEWS), "news").when(t.rlike("解读|答记者问"), "interpretation").when(t.rlike(f"({GENRES})$"), "substantive").otherwise("other")
-    return policies(s, d).select("doc_id", kind.alias("kind"), F.when(t.rlike(UNOFFICIAL), 0).otherwise(1).alias("is_official"))
+    """Kinds of documents, of two titles each, and the gate of the official layer."""
+    kinds = [kind_of(F.col(t), F.col("raw_no"), F.col("column_name")).alias(name) for t, name in (("title", "kind"), ("notice", "notice_kind"))]
+    gates = [F.when(unofficial(F.col(t)), 0).otherwise(1).alias(name) for t, name in (("title", "is_official"), ("notice", "notice_official"))]
+    return policies(s, d).select("doc_id", *kinds, *gates)
+
+
+def first_of(x, words):
+    """What the first of the words that x holds stands for, else null."""
+    pairs = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(m).alias("means")) for w, m in words.items()])
+    return F.get(F.filter(pairs, lambda p: F.contains(I.text_of(x), p["word"])), 0)["means"]
+
+
+def _sql_first(x, words):
+    return "CASE " + " ".join(f"WHEN contains({x}, '{w}') THEN '{m}'" for w, m in words.items()) + " END"
+
+
+@query(f"WITH {POLICIES} SELECT doc_id, coalesce({_sql_first('site', dict(zip(PROVINCES, PROVINCES, strict=True)))}, '全国') AS region, {_sql_first('notice', PLACES)} AS place FROM p")
+def policy_regions(s, d):
+    """The region of a site, that of the whole country where it names none, and of the place in a title, if any."""
+    region = F.coalesce(first_of(F.col("site"), dict(zip(PROVINCES, PROVINCES, strict=True))), F.lit("全国"))
+    return policies(s, d).select("doc_id", region.alias("region"), first_of(F.col("notice"), PLACES).alias("place"))
+
+
+_TAX_PLACES = ("title", "keywords", "tax_policy")
+
+
+@query(f"WITH {POLICIES}, r AS (SELECT region, rank FROM (SELECT unnest({[*PROVINCES, '全国']}) AS region, generate_subscripts({[*PROVINCES, '全国']}, 1) AS rank)) SELECT region, rank::INT AS rank, count(doc_id) AS n FROM r LEFT JOIN (SELECT doc_id, coalesce({_sql_first('site', dict(zip(PROVINCES, PROVINCES, strict=True)))}, '全国') AS region FROM p) USING (region) GROUP BY 1, 2")
+def region_counts(s, d):
+    """Documents a region in administrative order, with those that have none."""
+    order = s.createDataFrame([(r, i) for i, r in enumerate([*PROVINCES, "全国"], 1)], "region string, rank int")  # the provinces
+    counts = policy_regions(s, d).groupBy("region").agg(F.count("*").alias("n"))
+    return F.broadcast(order).join(counts, "region", "left").select("region", "rank", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def tax_filter(tax, columns=_TAX_PLACES):
+    """Documents of a tax: any of its words in any of the columns; an unknown tax filters nothing."""
+    found = F.lit(tax not in TAXES)
+    for c in columns:
+        found = found | holds_any(F.col(c), TAXES.get(tax, ("",)))
+    return found
+
+
+@query(f"WITH {POLICIES} SELECT tax, n FROM ({' UNION ALL '.join(f"SELECT '{t}' AS tax, count(*) AS n FROM p WHERE {' OR '.join(_sql_any(f"coalesce({c}, '')", ws) for c in _TAX_PLACES)}" for t, ws in TAXES.items())})")
+def tax_filter_counts(s, d):
+    """How many documents each tax filter leaves, by title, keywords and the official tax column."""
+    rows = policies(s, d).agg(*[F.count_if(tax_filter(t)).alias(t) for t in TAXES])
+    return rows.select(F.explode(F.create_map(*[x for t in TAXES for x in (F.lit(t), F.col(t))])).alias("tax", "n"))
 
 
 def _sql_labels(x, words, masked=None):
@@ -230,13 +321,13 @@ def policy_dimensions(s, d):
     return policies(s, d).select("doc_id", label(SUBJECTS).alias("subjects"), label(PREFERENCES).alias("preferences"))
 
 
-@query(f"""WITH {POLICIES} SELECT doc_id, title, day, count(*) OVER () AS total, 4 < count(*) OVER () AS has_more FROM p WHERE NOT regexp_matches(title, '{UNOFFICIAL}') AND day >= DATE '2010-01-01' AND day < DATE '2011-01-01' AND contains(title, '增值税')
+@query(f"""WITH {POLICIES} SELECT doc_id, title, day, count(*) OVER () AS total, 4 < count(*) OVER () AS has_more FROM p WHERE NOT {_sql_unofficial('title')} AND day >= DATE '2010-01-01' AND day < DATE '2011-01-01' AND contains(title, '增值税')
 AND (contains(title, '通知') OR contains(content, '通知') OR contains(keywords, '通知') OR contains(coalesce(raw_no, ''), '通知')) ORDER BY day DESC, doc_id LIMIT 3 OFFSET 1""")
 def policy_search_page(s, d):
     """One page of a search over several columns, with year and tax filters in the official layer, newest first, and
     the total of the same predicate."""
     anywhere = F.concat_ws("\n", "title", "content", "keywords", "raw_no")
-    hits = policies(s, d).filter(~F.col("title").rlike(UNOFFICIAL) & (F.year("day") == 2010) & F.contains("title", F.lit("增值税")) & F.contains(anywhere, F.lit("通知"))).select("doc_id", "title", "day")
+    hits = policies(s, d).filter(~unofficial(F.col("title")) & (F.col("day") >= F.lit("2010-01-01").cast("date")) & (F.col("day") < F.lit("2011-01-01").cast("date")) & F.contains("title", F.lit("增值税")) & F.contains(anywhere, F.lit("通知"))).select("doc_id", "title", "day")
     page = hits.orderBy(F.col("day").desc(), "doc_id").offset(1).limit(3)
     return page.crossJoin(F.broadcast(hits.agg(F.count("*").alias("total")))).select("doc_id", "title", "day", "total", (F.col("total") > 4).alias("has_more"))  # one row of totals
 

@@ -164,18 +164,28 @@ def parsed_verdicts(s, d):
     return table(s, d, "labels").select("doc_id", F.when(F.startswith(v, F.lit("ok")), "ok").when(F.startswith(v, F.lit("issue")), "issue").otherwise("unsure").alias("verdict"))
 
 
-_NOTICE = "concat(CASE WHEN p_partkey % 3 = 0 THEN concat(p_partkey % 90, '、') WHEN p_partkey % 3 = 1 THEN '2026年' ELSE '' END, CASE p_size % 5 WHEN 0 THEN '国家税务总局某局食堂采购' WHEN 1 THEN '企业所得税汇算清缴服务' WHEN 2 THEN '发票打印设备' WHEN 3 THEN '税收风险检查' ELSE '办公家具咨询' END, p_brand)"
+_NOTICE = "concat(CASE WHEN p_partkey % 3 = 0 THEN concat(p_partkey % 90, '、') WHEN p_partkey % 3 = 1 THEN '2026年' ELSE '' END, CASE p_size % 5 WHEN 0 THEN '国家税务总局某局食堂采购' WHEN 1 THEN '企业所得税汇算清缴服务' WHEN 2 THEN '发票打印设备' WHEN 3 THEN '税收风险检查' ELSE CASE p_partkey % 4 WHEN 0 THEN 'TAX 复核' WHEN 1 THEN '国家税务局税务争议' WHEN 2 THEN '契税宣讲' ELSE '办公家具咨询' END END, p_brand)"
 # Agencies whose names hold such words, words that suffice, and words that need a kind of service beside them.
-AGENCIES = "国家税务总局|税务局|税务所"
-STRONG = "税务咨询|税务代理|税务服务|涉税服务|汇算清缴|税务师|税务筹划|税收筹划|转让定价|税务稽查|税收风险|税收优惠|税务顾问|税审"
-WEAK, SERVICE = "税务|涉税|纳税|税收|发票|关税|增值税|企业所得税|个人所得税", "服务|咨询|代理|鉴证|审计|筹划|顾问|外包|委托|检查|评估|培训"
+AGENCIES = "国家税务总局|国家税务局|税务局|税务部门|税务机关|税务系统"
+STRONG = (
+    "税务咨询", "税务代理", "税务服务", "涉税服务", "涉税鉴证", "涉税专业服务", "汇算清缴", "税务师", "税务筹划", "税收筹划", "转让定价", "税务尽调", "税务检查", "税务稽查", "税务争议", "税务合规", "税收风险", "税收优惠", "税务顾问", "税务外包", "税审",
+)
+WEAK = ("税务", "涉税", "纳税", "税收", "发票", "关税", "增值税", "企业所得税", "个人所得税", "土地增值税", "契税", "印花税", "房产税", "消费税", "tax")
+SERVICE = ("服务", "咨询", "代理", "鉴证", "审计", "筹划", "顾问", "外包", "委托", "尽调", "检查", "评估", "复核", "培训", "宣讲")
+_HOLDS = lambda x, words: "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
 
 
-@query(f"""SELECT p_partkey, regexp_matches(bare, '{STRONG}') OR (regexp_matches(bare, '{WEAK}') AND regexp_matches(bare, '{SERVICE}')) AS relevant FROM (SELECT p_partkey, regexp_replace({_NOTICE}, '{AGENCIES}', '', 'g') AS bare FROM part)""")
+@query(f"""SELECT p_partkey, {_HOLDS('raw', STRONG)} OR ({_HOLDS('lower(bare)', WEAK)} AND {_HOLDS('bare', SERVICE)}) AS relevant FROM (SELECT p_partkey, lower({_NOTICE}) AS raw, regexp_replace({_NOTICE}, '{AGENCIES}', ' ', 'g') AS bare FROM part)""")
 def relevant_notices(s, d):
-    """Notices on tax services: a word that suffices, or a weaker one beside a kind of service, agencies' names left out."""
-    bare = F.regexp_replace(F.expr(_NOTICE), AGENCIES, "")
-    return table(s, d, "part").select("p_partkey", (bare.rlike(STRONG) | (bare.rlike(WEAK) & bare.rlike(SERVICE))).alias("relevant"))
+    """Notices on tax services: a word that suffices, wherever it stands; else a weaker one beside a kind of service, agencies'
+    names left out."""
+    return table(s, d, "part").select("p_partkey", relevant(F.expr(_NOTICE)).alias("relevant"))
+
+
+def relevant(title):
+    bare = F.regexp_replace(I.text_of(title), AGENCIES, " ")
+    any_of = lambda x, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(x, w))
+    return any_of(F.lower(I.text_of(title)), STRONG) | (any_of(F.lower(bare), WEAK) & any_of(bare, SERVICE))
 
 
 @query(f"""WITH n AS (SELECT p_partkey, p_type, {_NOTICE} AS title FROM part), k AS (SELECT *, regexp_replace(CASE WHEN title LIKE '2026%' THEN title ELSE regexp_replace(title, '^\\s*[0-9]{{1,2}}[.、,，]?\\s*', '') END, '\\s+', '', 'g') AS key FROM n),
