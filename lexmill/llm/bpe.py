@@ -226,14 +226,15 @@ class WordCodec:
     """Ids of whole texts under the lower-casing word vocabulary, as little-endian unsigned 32-bit integers.
 
     White space ends every token there, so a text's ids are those of its words. Texts with control strings or
-    characters on which libraries differ go to the tokenizers library itself.
+    characters on which libraries differ go to the tokenizers library itself; so do those with a word that holds a
+    character that Unicode has not assigned as this Python knows it, as libraries know different versions.
     """
 
     ODD = ("<|", "Σ", "\x1c", "\x1d", "\x1e", "\x1f")
 
     def __init__(self, path: str, keep: int = 900_000):
         self.path, self.bpe, self.split, self.keep = path, SegmentTreeBpe(path), regex.compile(WORD_PIECES), keep
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes | None] = {}
         self.library = None
 
     def learn(self, words: set[str]) -> None:
@@ -243,7 +244,9 @@ class WordCodec:
         known = self.words
         new = words.difference(known)
         whole = {w for w in new if w.isalpha() and w.isascii()}
-        cut = [(w, self.split.findall(w)) for w in new - whole]
+        unsure = {w for w in new if not w.isascii() and "Cn" in map(unicodedata.category, w)}
+        known.update(dict.fromkeys(unsure))
+        cut = [(w, self.split.findall(w)) for w in new - whole - unsure]
         pieces = list(whole.union(p for _, ps in cut for p in ps).difference(known))
         known.update(zip(pieces, [array("I", x).tobytes() for x in self.bpe.encode([p.encode() for p in pieces])], strict=True))
         for w, ps in cut:
@@ -258,7 +261,11 @@ class WordCodec:
                 t = t if unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t)
                 cut.append(t.lower().split())
         self.learn(set().union(*(ws for ws in cut if isinstance(ws, list))))
-        return [b"".join(map(self.words.__getitem__, ws)) if isinstance(ws, list) else self._by_library(ws) for ws in cut]
+        out = []
+        for t, ws in zip(texts, cut, strict=True):
+            found = list(map(self.words.__getitem__, ws)) if isinstance(ws, list) else [None]
+            out.append(self._by_library(t) if None in found else b"".join(found))
+        return out
 
     def _by_library(self, text: str) -> bytes:
         if self.library is None:

@@ -261,6 +261,13 @@ def test_packing_in_many_parts(spark, monkeypatch):
     assert max(at.values()) <= 2048 and len(at) <= 1.03 * len(gaps)
 
 
+def test_word_ids_of_all_characters():
+    lib, codec = library("word_bpe_49k.json"), bpe.codec(bpe.WordCodec, public_tokenizers.path("word_bpe_49k.json"))
+    texts = [f"x{chr(i)}1 {chr(i)} a" for i in range(0x30000) if not 0xD800 <= i < 0xE000]
+    ids = [np.array(e.ids, "<u4").tobytes() for at in range(0, len(texts), 20_000) for e in lib.encode_batch(texts[at : at + 20_000], add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, ids, [x for at in range(0, len(texts), 500) for x in codec.encode(texts[at : at + 500])], strict=True) if a != b] == []
+
+
 @given(st.text(max_size=60))
 @settings(deadline=None, max_examples=150)
 def test_bpe_as_the_library(text):
