@@ -32,12 +32,6 @@ def bm25(docs: DataFrame, terms: list[str], weights=(("title", 12.0), ("text", 1
     return joined.select("doc_id", sum(parts, F.lit(0.0)).alias("score")).filter("score > 0")
 
 
-def nearest(vectors: DataFrame, query: list[float], k: int = 10) -> DataFrame:
-    """(vec_id, similarity): the k rows of highest cosine."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.select("vec_id", T.cosine(F.col("embedding"), q).alias("similarity")).orderBy(F.col("similarity").desc_nulls_last(), "vec_id").limit(k)
-
-
 def fuse(rankings: list[DataFrame], key: str, k: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of tables (key, rank): sum of 1 / (k + rank)."""
     parts = [r.select(F.col(key), (1 / (F.lit(k) + F.col("rank"))).alias("part")) for r in rankings]
@@ -47,11 +41,6 @@ def fuse(rankings: list[DataFrame], key: str, k: int = 60) -> DataFrame:
     return every.groupBy(key).agg(F.sum("part").alias("score"))
 
 
-def first_per(df: DataFrame, keys: list[str], *order) -> DataFrame:
-    """The first row of each key in the given order."""
-    return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_nth = 1").drop("_nth")
-
-
 def upsert(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Merged rows with `change` new, updated, unchanged or kept; nulls of the new rows overwrite nothing."""
     both = old.select(key, *columns, F.lit(True).alias("here")).alias("o").join(new.select(key, *columns, F.lit(True).alias("here")).alias("n"), key, "full_outer")

@@ -52,7 +52,3 @@ def table_digest(df: DataFrame, columns: list[str]) -> DataFrame:
 def first_by_key(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """The first row of each key, null being a key."""
     return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_nth = 1").drop("_nth")
-
-
-def any_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -350,3 +350,30 @@ def rule_basis(s, d):
     first = first_by_key(hits.select("rule", "pos", "doc_id", "day", "aging"), ["rule"], "pos", F.col("day").desc(), "doc_id")
     basis = F.when(F.col("aging").isNull(), "unknown").when(F.col("aging") == "已废止", "stale").otherwise("ok")
     return rules.select("rule").distinct().join(first, "rule", "left").select("rule", "doc_id", basis.alias("basis"))
+
+
+# Titles that state their number in different ways, and what else is known of it.
+_UNNUMBERED = {
+    "stated": """CASE doc_id % 7 WHEN 0 THEN concat('关于某事的财政部 国家税务总局公告20', 10 + doc_id % 15, '年第', doc_id % 900 + 1, '号') WHEN 1 THEN concat('注释 根据国家税务总局公告2021年第', doc_id % 900 + 1, '号') WHEN 2 THEN concat('关于某事的通知（财税〔20', 10 + doc_id % 15, '〕', doc_id % 900 + 1, '号）')
+      WHEN 3 THEN '关于某事的通知' WHEN 4 THEN '关于2019年某事的通知' WHEN 5 THEN concat('公告2021年第', doc_id % 900 + 1, '号') END""",
+    "year": "CASE WHEN doc_id % 5 = 0 THEN '2020' END",
+    "nth": "CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '十' ELSE CAST(doc_id % 99 AS {s}) END",
+    "issuer": "CASE WHEN doc_id % 2 = 0 THEN '财政部,国家税务总局' END",
+}
+
+
+def _sql_issuer(x):
+    fits = f"NOT regexp_matches(e, '{I.TEXT_WORDS}') AND CASE WHEN regexp_matches(e, '(总局|管理局|局|部|委|院|署|厅|会|府|办公室|办公厅|中心|银行|分行)$') THEN NOT contains('{I.TEXT_CHARACTERS}', e[1]) ELSE NOT regexp_matches(e, '[{I.TEXT_CHARACTERS}]') END"
+    return f"CASE WHEN len({x}) <= 2 THEN {x} ELSE coalesce(list_filter(list_transform(range(1, len({x})), lambda i: substring({x}, i::INT)), lambda e: {fits})[1], right({x}, 2)) END"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, {", ".join(f"{e.format(s='VARCHAR')} AS {c}" for c, e in _UNNUMBERED.items())} FROM documents WHERE doc_id IS NOT NULL),
+u AS (SELECT *, coalesce(stated, '') AS z, regexp_extract(coalesce(stated, ''), '20[0-9][0-9]年第[0-9]+号') AS tail FROM t),
+v AS (SELECT *, CASE WHEN tail <> '' THEN ltrim(list_last(string_split_regex(substring(z, 1, instr(z, tail) - 1), '关于|的|，|。|；|：|（|[(]|〔|[[]|《|》|:')), ' 、') ELSE '' END AS body, regexp_extract(z, '[\p{{Han}}]+〔20[0-9][0-9]〕[0-9]+号') AS bracketed FROM u),
+w AS (SELECT *, CASE WHEN tail <> '' AND len(trim(body)) >= 2 AND trim(body) NOT IN ('公告', '通知', '令', '决定', '办法', '规定', '意见', '通告') THEN {_sql_issuer('trim(body)')} || tail WHEN bracketed <> '' THEN bracketed END AS in_title, coalesce(year, nullif(regexp_extract(z, '20[0-9][0-9]'), '')) AS y FROM v)
+SELECT doc_id, coalesce(in_title, CASE WHEN y IS NOT NULL AND regexp_full_match(nth, '[0-9]+') THEN replace(coalesce(issuer, ''), ',', ' ') || y || '年第' || nth || '号' END) AS number,
+CASE WHEN in_title IS NOT NULL THEN 'high' WHEN y IS NOT NULL AND regexp_full_match(coalesce(nth, ''), '[0-9]+') AND issuer IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence FROM w""")
+def built_numbers(s, d):
+    """Numbers taken from titles or put together, with how sure they are."""
+    rows = table(s, d, "documents").filter("doc_id is not null").selectExpr("doc_id", *[f"{e.format(s='STRING')} AS {c}" for c, e in _UNNUMBERED.items()])
+    return rows.select("doc_id", I.built_number(*map(F.col, ("stated", "year", "nth", "issuer"))).alias("b")).select("doc_id", "b.number", "b.confidence")

@@ -108,3 +108,17 @@ def test_closure_walks_chains_and_circles(spark, edge):
     rows = [(a, "repeals", b, None, None, "content", "high") for a, b in edge + edge] + [(1, "repeals", None, "x", None, "content", "low"), (2, "cites", 1, None, None, "content", "low")]
     frame = spark.createDataFrame(rows, "src long, relation string, dst long, dst_no string, evidence string, evidence_source string, confidence string")
     assert {(r["src"], r["dst"]): r["steps"] for r in R.repeal_closure(frame).collect()} == near
+
+
+def test_issuers_and_built_numbers(spark):
+    issuers = {"其企业所得税优惠政策可以按照财税": "财税", "注释 根据国家税务总局": "国家税务总局", "人力资源和社会保障部": "人力资源和社会保障部", "海关总署": "海关总署", "考虑在粤人社规": "粤人社规", "展期内销售的进口展品继续按照财关税": "财关税", "国家数据局": "国家数据局", "据国家税务总局": "国家税务总局", "财税": "财税", "可以": "可以", "": ""}
+    assert {x: one(spark, I.issuer_in, x) for x in issuers} == issuers
+    repairs = {"根据财企〔2002〕266号": "财企〔2002〕266号", "财企〔2002〕266号": None, "注释 根据国家税务总局公告2018年第33号": "国家税务总局公告2018年第33号", "161": None, None: None}
+    assert {x: one(spark, I.repaired_number, x) for x in repairs} == repairs
+    cases = [
+        (("关于某事项的工业和信息化部 国家发展改革委 财政部 国家税务总局公告2021年第10号", None, None, None), ("工业和信息化部 国家发展改革委 财政部 国家税务总局公告2021年第10号", "high")), (("公告2021年第3号", "2021", "3", "财政部,国家税务总局"), ("财政部 国家税务总局2021年第3号", "medium")),
+        (("关于某事的通知（财税〔2016〕36号）", None, None, None), ("财税〔2016〕36号", "high")), (("关于2019年某事的通知", None, "19", None), ("2019年第19号", "low")), (("关于某事的通知", "", "19", "财政部"), (None, "low")), ((None, None, None, None), (None, "low")), (("某事", "2020", "x", "财政部"), (None, "low")),
+    ]
+    frame = spark.createDataFrame([(i, *c) for i, (c, _) in enumerate(cases)], "i int, t string, y string, n string, o string")
+    found = frame.select("i", I.built_number(F.col("t"), F.col("y"), F.col("n"), F.col("o")).alias("b")).orderBy("i").collect()
+    assert [tuple(r["b"]) for r in found] == [want for _, want in cases]
