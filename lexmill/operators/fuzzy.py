@@ -56,28 +56,22 @@ def lost_bigrams(least: int) -> float:
 
 
 def ratio_from(a: str, b: str, least: int) -> int:
-    """partial_ratio where it is `least` or more, else 0: windows that lack too many bigrams of the shorter are passed over."""
+    """partial_ratio where it is `least` or more, else 0.
+
+    From one window to the next the common subsequence grows by one at most, so a window that is k short of what would
+    count lets the next k - 1 be passed over.
+    """
     a, b = sorted((a, b), key=len)
     if not a:
         return 0
     if a in b:
         return 100
-    n, letters, wanted = len(a), set(a), {a[i : i + 2] for i in range(len(a) - 1)}
-    enough = len(wanted) - floor(n * lost_bigrams(least) + 1e-9)
-    best = have = 0
-    held: dict[str, int] = {}
-    for last in range(1, len(b) + n - 1):  # windows end after `last`; bigrams that begin in them are counted as they come and go
-        if last < len(b) and (g := b[last - 1 : last + 1]) in wanted:
-            held[g] = held.get(g, 0) + 1
-            have += held[g] == 1
-        if last >= n and (g := b[last - n : last - n + 2]) in wanted:
-            held[g] -= 1
-            have -= held[g] == 0
-        if have < enough:
-            continue
-        s, e = max(0, last + 1 - n), min(len(b), last + 1)
-        if (b[e - 1] if e == last + 1 else b[s]) in letters:
-            best = max(best, int(200 * _common(a, b[s:e]) / (n + e - s)))
+    n, best, first = len(a), 0, 1 - len(a)
+    while first < len(b):
+        s, e = max(0, first), min(len(b), first + n)
+        common, size = _common(a, b[s:e]), n + e - s
+        best = max(best, int(200 * common / size))
+        first += max(1, -(-max(least, best + 1) * size // 200) - common)
     return best if best >= least else 0
 
 
