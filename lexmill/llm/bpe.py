@@ -244,7 +244,7 @@ class WordCodec:
         known = self.words
         new = words.difference(known)
         whole = {w for w in new if w.isalpha() and w.isascii()}
-        unsure = {w for w in new if not w.isascii() and "Cn" in map(unicodedata.category, w)}
+        unsure = {w for w in new if not w.isprintable() and "Cn" in map(unicodedata.category, w)}
         known.update(dict.fromkeys(unsure))
         cut = [(w, self.split.findall(w)) for w in new - whole - unsure]
         pieces = list(whole.union(p for _, ps in cut for p in ps).difference(known))
@@ -263,8 +263,10 @@ class WordCodec:
         self.learn(set().union(*(ws for ws in cut if isinstance(ws, list))))
         out = []
         for t, ws in zip(texts, cut, strict=True):
-            found = list(map(self.words.__getitem__, ws)) if isinstance(ws, list) else [None]
-            out.append(self._by_library(t) if None in found else b"".join(found))
+            try:
+                out.append(b"".join(map(self.words.__getitem__, ws)) if isinstance(ws, list) else self._by_library(ws))
+            except TypeError:  # one of the words is not sure
+                out.append(self._by_library(t))
         return out
 
     def _by_library(self, text: str) -> bytes:
