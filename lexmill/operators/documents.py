@@ -75,6 +75,21 @@ def ngram_candidates(left: DataFrame, right: DataFrame, n: int = 5, common: int
     return a.join(b, "gram").select("left_id", "right_id").distinct()
 
 
+def longer_titles(titles: DataFrame, least: int) -> DataFrame:
+    """titles (title, ...) with n_longer: how many rows have a longer title that begins with this one. Only titles of `least`
+    characters or more count, and only rows with a longer one are returned.
+
+    Equal titles are one row with a number. Each distinct title is posted under its own beginnings, so the work grows with
+    their characters and no pair is made.
+    """
+    titles = titles.filter(F.length("title") >= least)
+    distinct = titles.groupBy("title").agg(F.count("*").alias("n"))
+    starts = F.transform(F.sequence(F.lit(least), F.length("title") - 1), lambda i: F.substring("title", F.lit(1), i))
+    posts = distinct.filter(F.length("title") > least).select(F.explode(starts).alias("title"), "n")
+    longer = posts.groupBy("title").agg(F.sum("n").alias("n_longer"))
+    return titles.join(longer, "title")
+
+
 def merge_spans(spans: DataFrame, keys: list[str], first: str, last: str) -> DataFrame:
     """Spans of each key that touch or overlap, merged, with the number of spans in each."""
     order = Window.partitionBy(*keys).orderBy(first, last)

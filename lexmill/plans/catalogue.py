@@ -142,13 +142,11 @@ def null_safe_dup(s, d):
 @query("""WITH t AS (SELECT p_partkey, p_name FROM part UNION ALL SELECT -1 - p_partkey, concat(p_name, ', with all its annexes') FROM part WHERE p_partkey % 10 = 0)
 SELECT a.p_partkey AS short_key, count(*) AS n_longer FROM t a JOIN t b ON starts_with(b.p_name, a.p_name) AND len(b.p_name) > len(a.p_name) AND len(a.p_name) >= 8 GROUP BY 1""")
 def prefix_selfjoin(s, d):
-    """Titles that others begin with, among the parts' names and names with something added; blocks of eight characters."""
+    """Titles that others begin with, among the parts' names and names with something added."""
     names = table(s, d, "part").select("p_partkey", "p_name")
-    names = names.unionByName(names.filter("p_partkey % 10 = 0").select((-1 - F.col("p_partkey")).alias("p_partkey"), F.concat("p_name", F.lit(", with all its annexes")).alias("p_name"))).filter(F.length("p_name") >= 8)
-    a, b = names.alias("a"), names.alias("b")
-    block = F.substring("a.p_name", 1, 8) == F.substring("b.p_name", 1, 8)
-    longer = F.startswith("b.p_name", F.col("a.p_name")) & (F.length("b.p_name") > F.length("a.p_name"))
-    return a.join(b, block & longer).groupBy(F.col("a.p_partkey").alias("short_key")).agg(F.count("*").alias("n_longer"))
+    names = names.unionByName(names.filter("p_partkey % 10 = 0").select((-1 - F.col("p_partkey")).alias("p_partkey"), F.concat("p_name", F.lit(", with all its annexes")).alias("p_name")))
+    found = D.longer_titles(names.select("p_partkey", F.col("p_name").alias("title")), 8)
+    return found.groupBy(F.col("p_partkey").alias("short_key")).agg(F.sum("n_longer").alias("n_longer"))
 
 
 @query("""WITH f AS (SELECT p_brand, p_type, min(p_retailprice) AS fill FROM part WHERE p_size > 25 GROUP BY 1, 2)

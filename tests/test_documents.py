@@ -1,5 +1,7 @@
 """Maintenance of document collections."""
 
+from pyspark.sql import functions as F
+
 from lexmill.operators import documents as D
 
 
@@ -20,3 +22,15 @@ def test_candidates_are_not_capped(spark):
     left = spark.createDataFrame([(1, "common title")], "id int, title string")
     right = spark.range(1200).selectExpr("cast(id as int) id", "'common title' title")
     assert D.ngram_candidates(left, right).count() == 1200
+
+
+def test_longer_titles_make_no_pairs(spark):
+    rows = [(1, "abcdefgh"), (2, "abcdefghi"), (3, "abcdefgh"), (4, "abcdefghij"), (5, "abcdefg"), (6, None), (7, "abcdefgx"), (8, "")]
+    titles = spark.createDataFrame(rows, "id int, title string")
+    found = {r["id"]: r["n_longer"] for r in D.longer_titles(titles, 8).collect()}
+    assert found == {1: 2, 2: 1, 3: 2}
+    # 30,000 short titles and as many longer ones are 900 million pairs; no row of them is made
+    many = spark.range(60_000).selectExpr("id", "if(id % 2 = 0, 'common title', 'common title, longer') title")
+    plan = D.longer_titles(many, 8)
+    assert plan.agg(F.sum("n_longer")).first()[0] == 30_000 * 30_000
+    assert "startswith" not in plan._jdf.queryExecution().toString().lower()
