@@ -31,6 +31,12 @@ def _plain(n: Column) -> Column:
     return F.when(F.contains(s, F.lit(".")), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
 
 
+def once(value: Column, f) -> Column:
+    """f of a value that is found once a row; a plain Python name stands for its expression wherever it is used, in a lambda
+    even once an element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def number_set(x: Column) -> Column:
     """The distinct numbers of a text, without commas; of a list mark run together with a year (1.2016) the year too."""
     bare = F.transform(every(_bare(x), NUMBER), lambda n: F.replace(n, F.lit(","), F.lit("")))
@@ -94,22 +100,59 @@ def audit_flags(source: Column, target: Column, held_hash: Column | None = None)
     return out
 
 
+def _chunks(x: Column, size: int) -> Column:
+    return F.regexp_extract_all(x, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
+def _cut(chunks: Column, size: int, start: Column, end: Column) -> Column:
+    """What stands from start to end of a text given as chunks; only the chunks in question are looked at, as finding a place
+    in a text means counting its characters from the start."""
+    first = F.floor(start / size).cast("int")
+    near = F.slice(chunks, first + 1, F.floor(end / size).cast("int") - first + 1)
+    return F.substring(F.array_join(near, ""), start - first * size + 1, end - start)
+
+
 def split_alike(source: Column, target: Column, most: int) -> Column:
     """array<struct<source, target>>: both texts in as many parts as the source has lengths of `most`. A part of the source
     ends after the last end of a sentence near its length, if there is one, the target's in proportion; joined again
-    either side gives its whole text. One fold over the parts, which carries where the last ones ended."""
+    either side gives its whole text. Texts are cut into chunks once, in linear time; where a part may be so short that it
+    matters where the last one ended, one fold over the ends carries that, as numbers alone."""
     s, t = text_of(source), text_of(target)
     n = F.greatest(F.lit(1), F.ceil(F.length(s) / most)).cast("int")
-
-    def part(done: Column, i: Column) -> Column:
-        last = i == n - 1
-        end = F.when(last, F.length(s)).otherwise(F.least(F.length(s), (i + 1) * most))
-        near = F.least(F.lit(240), F.greatest(F.lit(0), end - done["s"] - most // 2))
-        upto = F.length(F.regexp_extract(F.substring(s, end - near + 1, near), rf"(?s)^.*[{SENTENCE_ENDS}]", 0))
-        end = F.when(~last & (near > 0) & (upto > 1), end - near + upto).otherwise(end)
-        other = F.when(last, F.length(t)).otherwise(F.least(F.length(t), F.bround((i + 1) * F.length(t) / n).cast("int")))
-        piece = F.struct(F.substring(s, done["s"] + 1, end - done["s"]).alias("source"), F.substring(t, done["t"] + 1, other - done["t"]).alias("target"))
-        return F.struct(end.cast("int").alias("s"), other.cast("int").alias("t"), F.concat(done["parts"], F.array(piece)).alias("parts"))
-
-    start = F.struct(F.lit(0).alias("s"), F.lit(0).alias("t"), F.array().cast("array<struct<source:string,target:string>>").alias("parts"))
-    return F.aggregate(F.sequence(F.lit(0), n - 1), start, part, lambda done: done["parts"])
+    both = F.struct(_chunks(s, most).alias("s"), _chunks(t, most).alias("t"), F.length(s).alias("s_size"), F.length(t).alias("t_size"), n.alias("n"))
+    reach = 240
+
+    def last_end(x: Column, i: Column) -> Column:
+        """How far before the end of the i-th length of `most` the last sentence within `reach` ends; `reach` if none does."""
+        end = (i + 1) * most
+        window = _cut(x["s"], most, F.greatest(F.lit(0), end - reach), end)
+        upto = F.length(F.regexp_extract(window, rf"(?s)^.*[{SENTENCE_ENDS}]", 0))
+        return F.when(upto > 0, F.least(F.lit(reach), end) - upto).otherwise(reach)
+
+    def source_end(i: Column, before: Column, near: Column) -> Column:
+        # a sentence that ends with the first character looked at is passed over
+        return (i + 1) * most - F.when(before < near - 1, before).otherwise(0)
+
+    def of_text(x: Column) -> Column:
+        inner = F.sequence(F.lit(0), x["n"] - 2)
+        inner = F.when(x["n"] > 1, F.transform(inner, lambda i: F.struct(i.alias("i"), last_end(x, i).alias("before"))))
+        inner = F.coalesce(inner, F.array().cast("array<struct<i:int,before:int>>"))
+        if most - most // 2 >= reach:
+            ends = F.transform(inner, lambda e: source_end(e["i"], e["before"], F.lit(reach)))
+        else:
+            near = lambda done, e: F.least(F.lit(reach), F.greatest(F.lit(0), (e["i"] + 1) * most - F.element_at(done, -1) - most // 2))
+            folded = F.aggregate(inner, F.array(F.lit(0)), lambda done, e: F.concat(done, F.array(source_end(e["i"], e["before"], near(done, e)))))
+            ends = F.slice(folded, 2, F.greatest(F.lit(0), F.size(folded) - 1))
+        ends = F.concat(F.array(F.lit(0)), ends, F.array(x["s_size"]))
+        others = F.transform(F.sequence(F.lit(0), x["n"]), lambda i: F.when(i == x["n"], x["t_size"]).otherwise(F.least(x["t_size"], F.bround(i.cast("long") * x["t_size"] / x["n"]).cast("int"))))
+
+        def pieces(at: Column) -> Column:
+            def piece(i: Column) -> Column:
+                one, two = ((_cut(x[c], most, F.get(at[c], i), F.get(at[c], i + 1))) for c in ("s", "t"))
+                return F.struct(one.alias("source"), two.alias("target"))
+
+            return F.transform(F.sequence(F.lit(0), x["n"] - 1), piece)
+
+        return once(F.struct(ends.alias("s"), others.alias("t")), pieces)
+
+    return once(both, of_text)
