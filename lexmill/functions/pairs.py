@@ -64,15 +64,17 @@ def ways_to_write(number: Column, unit: Column) -> Column:
 def missing_numbers(source: Column, target: Column) -> Column:
     """array<struct<said, strong>>: numbers of the source that the target has in no way of writing, nor as part of a
     number. Those of three digits or more, or with a unit, are strong; others may have been put in words."""
-    there = number_set(target)
-    gone = F.filter(numbers_with_units(source), lambda n: ~F.exists(ways_to_write(n["number"], n["unit"]), lambda w: F.exists(there, lambda t: F.contains(t, w))))
+    # a number that contains a way of writing it is found in all numbers at once, a line each
+    there = F.array_join(number_set(target), "\n")
+    gone = once(there, lambda lines: F.filter(numbers_with_units(source), lambda n: ~F.exists(ways_to_write(n["number"], n["unit"]), lambda w: F.contains(lines, w))))
     return F.transform(gone, lambda n: F.struct(F.concat(n["number"], n["unit"]).alias("said"), ((F.length(n["number"]) >= 3) | (n["unit"] != "")).alias("strong")))
 
 
 def adjacent_repeats(x: Column) -> Column:
     """Sentences of REPEAT_LEAST characters or more that stand twice in a row."""
     parts = F.transform(F.split(text_of(x), r"(?<=[.!?])\s+", -1), lambda p: F.trim(p))
-    return F.filter(F.transform(parts, lambda p, i: F.when((F.length(p) >= REPEAT_LEAST) & (F.get(parts, i + 1) == p), p)), lambda p: p.isNotNull())
+    twice = lambda p, following: F.when((F.length(p) >= REPEAT_LEAST) & (p == following), p)
+    return once(parts, lambda parts: F.array_compact(F.zip_with(parts, F.slice(parts, 2, F.size(parts)), twice)))
 
 
 def audit_flags(source: Column, target: Column, held_hash: Column | None = None) -> dict[str, Column]:
@@ -87,7 +89,7 @@ def audit_flags(source: Column, target: Column, held_hash: Column | None = None)
     out = {
         "residual": has_target & t.rlike("[一-鿿]"),
         "short": both & (F.length(t) / F.length(s) < SHORT),
-        "cut_off": has_target & F.rtrim(t).rlike(UNFINISHED),
+        "cut_off": has_target & F.right(F.rtrim(t), F.lit(20)).rlike(UNFINISHED),  # longer than its longest word
         "numbers_missing": both & F.exists(missing_numbers(source, target), lambda x: x["strong"]),
         "repeats": has_target & (F.size(adjacent_repeats(target)) > 0),
         "empty": F.length(F.trim(t)) < 10,
