@@ -12,6 +12,8 @@ one is the beginning of grams, as the last places of a text have grams of what i
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,29 @@ def _length(x: Column) -> Column:
     return F.length(F.coalesce(x, F.lit("")))
 
 
+def _gram_places(batches):
+    """Blocks (doc_id, field, block, x, n) as rows (gram, field, doc_id, block, places), for the first n places of x; the last
+    grams of a text are what is left of it."""
+    for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+        texts = batch.column("x").to_pylist()
+        chars = np.frombuffer("".join(t + "\0" * (N - 1) for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + 1
+        size, n = np.array([len(t) for t in texts], np.int64), batch.column("n").to_numpy().astype(np.int64)
+        first = np.cumsum(size + N - 1) - size - N + 1
+        row = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        code = np.zeros(len(row), np.uint64)
+        for k in range(N):  # 21 bits a character, one more than its number; 0 is the end of the text
+            code = code << np.uint64(21) | np.where(at + k < size[row], chars[first[row] + at + k], 0)
+        order = np.lexsort((code, row))  # stable, so places rise
+        row, at, code = row[order], at[order], code[order]
+        starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])]) if len(row) else np.zeros(0, np.int64)
+        distinct, which = np.unique(code[starts], return_inverse=True)
+        grams = ["".join(chr((c >> 21 * k & 0x1FFFFF) - 1) for k in reversed(range(N)) if c >> 21 * k & 0x1FFFFF) for c in distinct.tolist()]
+        places = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(row)], pa.int32()), pa.array(at + 1, pa.int16()))
+        whose = pa.array(row[starts])
+        yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()).take(pa.array(which)), *[batch.column(c).take(whose) for c in ("field", "doc_id", "block")], places], ["gram", "field", "doc_id", "block", "places"])
+
+
 def append(docs: DataFrame, path: str, generation: int, deleted: DataFrame | None = None) -> None:
     """Write docs as a generation of the index at `path`, in place of what that generation held, with the doc_ids of
     `deleted` marked as gone; where docs has one of them too, it stays.
@@ -57,8 +82,8 @@ def append(docs: DataFrame, path: str, generation: int, deleted: DataFrame | Non
     # blocks of a text are rows before its places are, so that no row holds all of a long text's grams
     blocks = cells.select("doc_id", "f.field", "f.x", F.explode(F.sequence(F.lit(0), F.floor((F.length("f.x") - 1) / BLOCK))).alias("block"))
     blocks = blocks.select("doc_id", "field", "block", F.substring("x", (F.col("block") * BLOCK + 1).cast("int"), F.lit(BLOCK + N - 1)).alias("x"), F.least(F.lit(BLOCK), F.length("x") - F.col("block") * BLOCK).cast("int").alias("n"))
-    places = blocks.select("doc_id", "field", "block", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.substring(F.col("x"), i, F.lit(N)))).alias("at", "gram"))
-    rows = places.groupBy("gram", "field", "doc_id", "block").agg(F.array_sort(F.collect_list(F.col("at").cast("smallint"))).alias("places"))
+    # a block is one row, so its places are put together where it is, without a shuffle
+    rows = blocks.select("doc_id", "field", "block", "x", "n").mapInArrow(_gram_places, "gram string, field int, doc_id long, block long, places array<smallint>")
     rows = rows.select(_part(F.col("gram")).alias("part"), "gram", "field", "doc_id", "block", "places")
     rows.hint("rebalance", "part").sortWithinPartitions("part", "gram", "field", "doc_id").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings/generation={generation}")
     kept.write.mode("overwrite").parquet(f"{path}/documents/generation={generation}")

@@ -101,3 +101,20 @@ def test_no_text_is_read(spark, tmp_path):
     none = f"file://{tmp_path}/none"
     P.append(frame.filter("false"), none, 0)
     assert [(r["doc_id"], r["total"], r["hint"]) for r in P.search(spark, none, P.Search(["增值税"])).collect()] == [(None, 0, "no_hits")]
+
+
+def test_a_block_is_posted_where_it_is():
+    import pyarrow as pa
+
+    texts = ["aaaab", "x\0\0", "🙂税", "", "abcabc"]
+    cols = {"doc_id": pa.array([1, 2, 3, 4, 5], pa.int64()), "field": pa.array([3] * 5, pa.int32()), "block": pa.array([0] * 5, pa.int64()), "x": texts, "n": pa.array([5, 3, 2, 0, 4], pa.int32())}
+    found = {}
+    for b in P._gram_places([pa.RecordBatch.from_pydict(cols)]):
+        for r in b.to_pylist():
+            assert (r["doc_id"], r["gram"]) not in found
+            found[r["doc_id"], r["gram"]] = r["places"]
+    want = {}
+    for i, (t, n) in enumerate(zip(texts, cols["n"].to_pylist(), strict=True), 1):
+        for at in range(n):
+            want.setdefault((i, t[at : at + 3]), []).append(at + 1)
+    assert found == want
