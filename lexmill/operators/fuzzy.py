@@ -1,5 +1,6 @@
 """Best partial match of titles over blocked candidates."""
 
+from functools import lru_cache, reduce
 from math import floor
 
 import pandas as pd
@@ -7,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from lexmill.plans.storage import discard, join_checked, materialize
+from lexmill.plans.storage import discard, materialize
 
 #: Titles that hold an n-gram beyond which the n-gram alone is no key.
 HOT_GRAM = 200
@@ -76,9 +77,19 @@ def ratio_from(a: str, b: str, least: int) -> int:
 
 
 def ratios_from(least: int):
+    """partial_ratio of pairs where it is `least` or more, else 0; pairs that share too few bigrams are passed over."""
+    share = lost_bigrams(least)
+
     @F.pandas_udf(IntegerType())
     def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([ratio_from(x, y, least) for x, y in zip(a, b, strict=True)], dtype="int32")
+        parts = lru_cache(10_000)(lambda x: frozenset(x[i : i + 2] for i in range(len(x) - 1)))
+
+        def one(x: str, y: str) -> int:
+            short = x if len(x) <= len(y) else y
+            few = len(parts(x) & parts(y)) < len(parts(short)) - floor(len(short) * share + 1e-9)
+            return 0 if few else ratio_from(x, y, least)
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
     return ratios
 
@@ -111,6 +122,36 @@ def _keys(x: Column, long: bool) -> Column:
     return F.concat(F.when(size >= 12, tag("l", 10)).when(size >= 6, tag("m", 5)).otherwise(none), F.when(size >= 6, tag("s", 5)).otherwise(F.array(F.lit(""))))
 
 
+def _contained(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(x, y): the titles of x that other ones of y contain. A title is looked up by the one of its n-grams that the fewest
+    of y have; where one of them stands in none, neither does the title."""
+    size = F.length("x")
+    x = x.select("x", F.when(size >= 10, 10).when(size >= 5, 5).otherwise(size).alias("n"))
+    sizes = sorted(r["n"] for r in x.select("n").distinct().collect())  # of 1 to 5 and 10
+    grams = lambda c, n: F.transform(_grams(F.col(c), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+    if not sizes:
+        return x.select("x", F.col("x").alias("y"))
+    of_y = materialize(y.select("y", F.explode(F.concat(*[grams("y", n) for n in sizes])).alias("g")).select("y", "g.n", "g.gram"))
+    of_x = reduce(DataFrame.unionByName, [x.filter(F.col("n") == n).select("x", F.explode(grams("x", n)).alias("g")) for n in sizes]).select("x", "g.n", "g.gram")
+    seen = of_y.groupBy("n", "gram").agg(F.count("*").alias("times"))
+    rarest = of_x.join(seen.hint("merge"), ["n", "gram"], "left").groupBy("x", "n").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "gram")).alias("least"))
+    rarest = rarest.filter("least.times > 0").select("x", "n", F.col("least.gram").alias("gram"))
+    out = materialize(rarest.join(of_y.hint("merge"), ["n", "gram"]).filter((F.col("x") != F.col("y")) & F.contains("y", F.col("x"))).select("x", "y"))
+    discard(of_y)
+    return out
+
+
+def whole_titles(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The pairs (a, b) of close_titles with a score of 100: those where one title is the other or a part of it."""
+    a = materialize(left.select(F.col("title").alias("x")).filter("length(x) > 0").distinct())
+    b = materialize(right.select(F.col("title").alias("x")).filter("length(x) > 0").distinct())
+    inside = _contained(a, b.select(F.col("x").alias("y"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # a right that is too short for an n-gram is found for lefts under 6 characters alone
+    around = _contained(b, a.select(F.col("x").alias("y"))).select(F.col("y").alias("a"), F.col("x").alias("b")).filter("length(b) >= 5 or length(a) < 6")
+    same = a.join(b.hint("merge"), "x").select(F.col("x").alias("a"), F.col("x").alias("b"))
+    return materialize(inside.unionByName(around).unionByName(same))
+
+
 def close_titles(left: DataFrame, right: DataFrame, least: int = 88, hot: int = HOT_GRAM) -> DataFrame:
     """(a, b, score): the pairs of different titles, from the column `title` of either side, with a partial ratio of
     `least` or more that share an n-gram (10 characters, or 5 where a title is short; lefts under 6 need share none).
@@ -126,14 +167,14 @@ def close_titles(left: DataFrame, right: DataFrame, least: int = 88, hot: int =
     of_b = b.select("b", F.explode(_keys(F.col("b"), True)).alias("key"))
     if not a.filter("length(a) < 6").isEmpty():
         of_b = of_b.unionByName(b.select("b", F.lit("").alias("key")))
-    of_b = materialize(join_checked(of_b, of_a.select("key").distinct(), "key", "left_semi"))
+    of_b = materialize(of_b.join(of_a.select("key").distinct().hint("merge"), "key", "left_semi"))
     wide = of_b.groupBy("key").agg(F.count("*").alias("n")).withColumn("is_hot", (F.col("n") > hot) | (F.col("key") == ""))
     wide = materialize(wide.select("key", "is_hot"))
     seen = b.select(F.explode(_grams(F.col("b"), 2)).alias("part")).groupBy("part").agg(F.count("*").alias("n"))
 
     def dealt(side: DataFrame, title: str, first: str, second: str) -> DataFrame:
         """(title, key, part): hot keys with all parts of the title, and with the rarest ones, each for one of the directions."""
-        keyed = side.join(wide, "key")
+        keyed = side.join(wide.hint("merge"), "key")  # small in files, large in a driver
         cold = keyed.filter("not is_hot").select(title, "key", F.lit("").alias("part"))
         x = F.col(title)
         bigrams = keyed.filter("is_hot").select(title).distinct().select(title, F.explode_outer(_grams(x, 2)).alias("part")).join(seen, "part", "left")
@@ -147,9 +188,7 @@ def close_titles(left: DataFrame, right: DataFrame, least: int = 88, hot: int =
     right_way = (F.col("part") == "") | (shorter & F.startswith("part", F.lit("<"))) | (~shorter & F.startswith("part", F.lit(">")))
     # written, or the check below would be made for each shared key, before the pairs are distinct
     found = materialize(found.filter(right_way & (F.col("a") != F.col("b"))).select("a", "b").distinct())
-    short = F.when(shorter, F.col("a")).otherwise(F.col("b"))
-    enough = F.size(F.array_intersect(_grams(F.col("a"), 2), _grams(F.col("b"), 2))) >= F.size(_grams(short, 2)) - _lost(short, least)
-    scored = materialize(found.filter(enough).select("a", "b", ratios_from(least)("a", "b").alias("score")).filter(F.col("score") >= least))
+    scored = materialize(found.select("a", "b", ratios_from(least)("a", "b").alias("score")).filter(F.col("score") >= least))
     same = a.join(b, F.col("a") == F.col("b")).select("a", "b", F.lit(100).alias("score"))
     out = materialize(scored.unionByName(same))
     discard(a, b, of_b, wide, found, scored)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import identifiers as I
-from lexmill.operators.fuzzy import close_titles
+from lexmill.operators.fuzzy import close_titles, whole_titles
 from lexmill.plans.storage import discard, materialize
 
 #: Least partial ratios: for cited titles, for objects of repeal, for titles in an official catalogue.
@@ -24,7 +24,8 @@ def best_titles(mentions: DataFrame, docs: DataFrame) -> DataFrame:
 
     Where `acts` is set, statutes are passed over, as no other document repeals them; so are interpretations, wherever
     the key isn't that of one. Equal keys are matched once, and equal titles stand as one with their two smallest ids,
-    enough for any src, so a title that a third of all documents have is one row.
+    enough for any src, so a title that a third of all documents have is one row. Keys that are, hold or stand in whole
+    titles are settled first, by one rare n-gram each; close titles are searched for the others alone.
     """
     by_title = Window.partitionBy("key").orderBy("doc_id")
     holders = docs.filter("key != ''").select("key", "doc_id").withColumn("nth", F.row_number().over(by_title)).filter("nth <= 2").drop("nth")
@@ -32,13 +33,23 @@ def best_titles(mentions: DataFrame, docs: DataFrame) -> DataFrame:
     least = mentions.agg(F.min("least")).first()[0]
     if least is None:
         return mentions.withColumn("dst", F.lit(None).cast("long")).withColumn("score", F.lit(None).cast("int"))
-    pairs = close_titles(wanted.select(F.col("key").alias("title")), holders.select(F.col("key").alias("title")), least)
     allowed = (~F.col("acts") | ~F.col("b").rlike(I.STATUTE)) & (~I.interprets(F.col("b")) | F.contains("key", F.lit("解读")))
-    found = wanted.join(pairs, wanted.key == pairs.a).filter(allowed).select("key", "acts", "b", "score").join(holders.select(F.col("key").alias("b"), "doc_id"), "b")
     order = Window.partitionBy("key", "acts").orderBy(F.col("score").desc(), "doc_id")
-    top = found.withColumn("nth", F.row_number().over(order)).filter("nth <= 2")
-    top = top.groupBy("key", "acts").agg(F.array_sort(F.collect_list(F.struct("nth", "doc_id", "score"))).alias("top"))
-    joined = mentions.join(top, ["key", "acts"], "left").withColumn("top", F.get(F.filter("top", lambda t: F.coalesce(t["doc_id"] != F.col("src"), F.lit(True))), 0))
+
+    def best(wanted: DataFrame, pairs: DataFrame) -> DataFrame:
+        """(key, acts, top): the two best documents, in order."""
+        found = wanted.join(pairs.hint("merge"), wanted.key == pairs.a).filter(allowed).select("key", "acts", "b", "score").join(holders.select(F.col("key").alias("b"), "doc_id").hint("merge"), "b")
+        top = found.withColumn("nth", F.row_number().over(order)).filter("nth <= 2")
+        return top.groupBy("key", "acts").agg(F.array_sort(F.collect_list(F.struct("nth", "doc_id", "score"))).alias("top"))
+
+    titles = holders.select(F.col("key").alias("title"))
+    whole = best(wanted, whole_titles(wanted.select(F.col("key").alias("title")), titles).withColumn("score", F.lit(100)))
+    # nothing is better than a whole title; a second one is asked for only where the first is the document itself
+    alone = F.max(F.coalesce(F.col("src") == F.col("top")[0]["doc_id"], F.lit(False))) & (F.size(F.first("top")) < 2)
+    whole = materialize(mentions.select("key", "acts", "src").join(whole.hint("merge"), ["key", "acts"]).groupBy("key", "acts").agg(F.first("top").alias("top"), alone.alias("alone")).filter("not alone").drop("alone"))
+    rest = materialize(wanted.join(whole.select("key", "acts").hint("merge"), ["key", "acts"], "left_anti"))
+    top = whole.unionByName(best(rest, close_titles(rest.select(F.col("key").alias("title")), titles, least)))
+    joined = mentions.join(top.hint("merge"), ["key", "acts"], "left").withColumn("top", F.get(F.filter("top", lambda t: F.coalesce(t["doc_id"] != F.col("src"), F.lit(True))), 0))
     enough = F.col("top.score") >= F.col("least")
     return joined.withColumn("dst", F.when(enough, F.col("top.doc_id"))).withColumn("score", F.when(enough, F.col("top.score"))).drop("top")
 

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from lexmill.operators import fuzzy
 from lexmill.operators.fuzzy import close_titles, fuzzy_match, partial_ratio
 
 
@@ -65,3 +66,14 @@ def test_partial_ratio_passes_over_no_window():
             cut[at : at + rng.randrange(2)] = rng.choice(["", "x", "yz"])
         want = partial_ratio(a, "".join(cut))
         assert all(ratio_from(a, "".join(cut), least) == (want if want >= least else 0) for least in (75, 88, 95))
+
+
+def test_whole_titles_against_every_pair(spark):
+    rng = random.Random(8)
+    some = lambda k: "".join(rng.choices("abc", k=rng.randrange(1, k)))
+    a, b = ({some(30) for _ in range(150)} for _ in "ab")
+    a, b = a | {x[1:] for x in b if len(x) > 12} | {"", "😀b"}, b | {x + "cc" for x in a} | {"a😀bc"}
+    frame = lambda xs: spark.createDataFrame([(x,) for x in [*xs, None]], "title string")
+    found = [(r["a"], r["b"]) for r in fuzzy.whole_titles(frame(a), frame(b)).collect()]
+    want = {(x, y) for x in a for y in b if x and y and (x in y or (y in x and (len(y) >= 5 or len(x) < 6)))}
+    assert len(found) == len(set(found)) and set(found) == want
