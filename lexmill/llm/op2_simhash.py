@@ -11,8 +11,8 @@ of blocks being a task's work of bounded size; what leaves a block is a spanning
 pairs. Equal fingerprints are one row with the smallest doc_id before any of this.
 
 The pipeline's stage removes texts of a shingle similarity of 0.8 or more. Such pairs differ in some 10 of 64 sign
-bits, which no index of byte positions reaches; similar_texts therefore searches by min-wise fingerprints, 16 a text,
-and verifies each candidate on the whole shingle sets.
+bits, which no index of byte positions reaches; similar_texts therefore takes the candidates of the index and searches
+by min-wise fingerprints, 16 a text, for the others. Each candidate is verified on the whole shingle sets.
 """
 
 from itertools import combinations
@@ -43,7 +43,11 @@ def fingerprint(text: str | None, words: int = 4) -> int:
         ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
         starts = [0, *ends[: -words].tolist()]
         shingles = [line[a:b] for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)]
-    h = np.fromiter(map(_hash, shingles), np.uint64, len(shingles))
+    return sign_bits(np.fromiter(map(_hash, shingles), np.uint64, len(shingles)))
+
+
+def sign_bits(h: np.ndarray) -> int:
+    """The SimHash of shingle hashes: a bit is 1 if over half of them have it; 0 for none."""
     set_in = np.zeros(64, np.int64)
     for at in range(0, len(h), 8192):
         set_in += np.unpackbits(h[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
@@ -177,7 +181,8 @@ def _set_id(h: np.ndarray) -> int:
 
 
 def _sketches(words: int):
-    """(doc, sid, n, keys, sketch): a number for the set, its size, the fingerprint of each band, a byte of each minimum."""
+    """(doc, sid, n, keys, sketch, fp): a number for the set, its size, the min-wise fingerprint of each band, a byte of each
+    minimum, and the SimHash of the set."""
 
     def one(text):
         h = shingle_hashes(text, words)
@@ -185,13 +190,13 @@ def _sketches(words: int):
         for at in range(0, len(h), 4096):
             low = np.minimum(low, ((h[None, at : at + 4096] ^ _TWIST[0]) * _TWIST[1]).min(axis=1))
         keys = [xxhash.xxh3_64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
-        return _set_id(h), len(h), np.array(keys, np.uint64).view(np.int64).tolist(), (low >> np.uint64(24)).astype(np.uint8).tobytes()
+        return _set_id(h), len(h), np.array(keys, np.uint64).view(np.int64).tolist(), (low >> np.uint64(24)).astype(np.uint8).tobytes(), sign_bits(h)
 
     def run(batches):
         for b in slices(batches):
             found = [one(t) for t in b.column("text").to_pylist()]
-            cols = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc"), *cols], ["doc", "sid", "n", "keys", "sketch"])
+            cols = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc"), *cols], ["doc", "sid", "n", "keys", "sketch", "fp"])
 
     return run
 
@@ -297,19 +302,29 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("src", "dst")
 
 
+def simhash_pairs(sets: DataFrame, max_distance: int = 4) -> DataFrame:
+    """(src, dst), src < dst: candidates among sets (sid, fp) from the index over byte positions. They span the groups of
+    fingerprints at most max_distance bits apart, and join sets of one fingerprint to the least of them."""
+    prints = materialize(sets.groupBy("fp").agg(F.min("sid").alias("doc_id")))
+    equal = sets.join(prints, "fp").filter(F.col("sid") != F.col("doc_id")).select(F.col("doc_id").alias("src"), F.col("sid").alias("dst"))
+    near = fingerprint_links(prints, max_distance)
+    return near.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).unionByName(equal)
+
+
 def similar_texts(docs: DataFrame, words: int = 5) -> DataFrame:
     """(doc_id, component_id) of each row of docs with a doc_id. Linked are texts whose sets of word shingles have a
     Jaccard similarity of 0.8 or more; component_id is the smallest doc_id reachable.
 
-    Several min-wise fingerprints a text only search for candidates; each link is verified on the whole sets. A pair
+    SimHash fingerprints within 4 bits, found by the index over byte positions, are the first candidates; several min-wise
+    fingerprints a text search for those beyond its reach. Each link is verified on the whole sets. A pair
     at 0.8 shares none of the 16 fingerprints with a chance of (1 - 0.8^4)^16 = 0.0002, one at 0.85 of 0.00001. Equal
     sets are one row. The first round verifies pairs that span the candidates of each bucket. In the second the sets
     of texts with candidates that the first has not brought together come to the buckets, where all such pairs are
     counted in blocks; what leaves a block spans its links. So no round writes the pairs of a group.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).filter("doc is not null")
-    rows = materialize(texts.mapInArrow(_sketches(words), "doc long, sid long, n int, keys array<long>, sketch binary"))
-    distinct = materialize(rows.groupBy("sid").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("n", "keys", "sketch")]))
+    rows = materialize(texts.mapInArrow(_sketches(words), "doc long, sid long, n int, keys array<long>, sketch binary, fp long"))
+    distinct = materialize(rows.groupBy("sid").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("n", "keys", "sketch", "fp")]))
     posts = distinct.select("sid", F.explode("keys").alias("key"))
     shared = posts.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     own, other = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -319,7 +334,8 @@ def similar_texts(docs: DataFrame, words: int = 5) -> DataFrame:
     def dealt(frame: DataFrame) -> DataFrame:
         return frame.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    pairs = materialize(dealt(posts.withColumn("label", F.col("sid"))).mapInArrow(_candidates(True), "src long, dst long").distinct())
+    pairs = dealt(posts.withColumn("label", F.col("sid"))).mapInArrow(_candidates(True), "src long, dst long")
+    pairs = materialize(pairs.unionByName(simhash_pairs(distinct)).distinct())
     ends = pairs.select(F.col("src").alias("sid")).unionByName(pairs.select(F.col("dst").alias("sid"))).distinct()
     wanted = distinct.join(ends, "sid").select("doc").distinct()
     sets = materialize(join_checked(texts, wanted, "doc").mapInArrow(_shingle_sets(words), "sid long, shingles array<long>").dropDuplicates(["sid"]))

@@ -400,3 +400,12 @@ def test_labelled_sample_takes_whole_texts_up_to_its_bound(spark):
     assert len(whole) == 40 and shift == 0 and max(len(t) for t, _ in whole) == 100_000 and min(len(t) for t, _ in whole) == 1
     some, _ = labelled_sample(docs, labels, "quality", 100, labels.doc_id >= 0, chars=200)
     assert sum(len(t) for t, y in some if y == 0) == 100 and sum(len(t) for t, y in some) <= 200
+
+
+def test_pipeline_near_duplicates_begin_with_simhash(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    texts = {1: words, 2: [*words[:-1], "other"], 3: [f"v{i}" for i in range(400)]}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    # without any candidate of the min-wise fingerprints the near pair comes from the index over SimHash bytes
+    monkeypatch.setattr(op2_simhash, "_candidates", lambda spanning: lambda batches: (b.select(["key", "i", "j", "sid"] if not spanning else ["key", "sid"]).rename_columns(["key", "i", "j", "sid"] if not spanning else ["src", "dst"]).slice(0, 0) for b in batches))
+    assert {r["doc_id"]: r["component_id"] for r in op2_simhash.similar_texts(docs).collect()} == {1: 1, 2: 1, 3: 3}
