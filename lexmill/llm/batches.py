@@ -1,13 +1,31 @@
 """Small helpers for the Arrow batches that Python tasks receive."""
 
 import numpy as np
+import pyarrow as pa
+
+_held: dict = {}
+
+
+def held(key, make):
+    """What make() gives for the key, kept per worker process between tasks until another key is asked for.
+
+    Workers outlive a stage, so what each operator keeps would add up over the stages of a pipeline.
+    """
+    if key not in _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+        _held[key] = make()
+    return _held[key]
 
 
 def slices(batches, rows: int = 256):
-    """Record batches cut to at most `rows` rows, so that few texts are Python objects at a time."""
+    """Record batches cut to at most `rows` rows, so that few texts are Python objects at a time. What Arrow keeps of
+    batches that are done goes back at the end, as the worker waits for other tasks with it."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        batch = None
+    pa.default_memory_pool().release_unused()
 
 
 def sorted_groups(batches, keys: list[str], columns: list[str], to_numpy):

@@ -14,6 +14,8 @@ from array import array
 import numpy as np
 import regex
 
+from lexmill.llm.batches import held
+
 LANE = 256
 _NONE = np.iinfo(np.int64).max
 
@@ -277,11 +279,6 @@ class WordCodec:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-_codecs: dict[tuple, object] = {}
-
-
 def codec(kind: type, path: str):
     """One codec per worker process, kept between tasks."""
-    if (kind, path) not in _codecs:
-        _codecs[kind, path] = kind(path)
-    return _codecs[kind, path]
+    return held((kind, path), lambda: kind(path))

@@ -13,10 +13,11 @@ from collections import Counter
 from operator import eq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.batches import held
 from lexmill.llm.labelled import labelled_sample, remainder
 
 #: Labelled rows the model is fitted on at most, and the words it has vectors for.
@@ -159,21 +160,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> QualityM
     return QualityModel(*labelled_sample(docs, labels, "quality", rows, remainder("doc_id", 4) != 2))
 
 
-_loaded: dict[str, WordIds] = {}  # of one model a worker, by the model's own name
+def rows_of(model: QualityModel) -> WordIds:
+    """The model's words, with those met since, kept per worker process."""
+    return held(model.name, lambda: WordIds(model.vocabulary))
 
 
 def scored(docs: DataFrame, model: QualityModel):
     """A Column with the score of docs.text; nothing but the text is an input."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by VOCABULARY * DIMS
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
         m = shared.value
-        if m.name not in _loaded:
-            _loaded.clear()
-            _loaded[m.name] = WordIds(m.vocabulary)
-        parts = [m.score(text.iloc[a : a + 256], _loaded[m.name]) for a in range(0, len(text), 256)]
-        return pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
+        parts = [m.score(text.slice(a, 256).to_pylist(), rows_of(m)) for a in range(0, len(text), 256)]
+        return pa.array(np.concatenate(parts) if parts else [], pa.float64())
 
     return score(F.coalesce(F.col("text").cast("string"), F.lit("")))
 

@@ -409,3 +409,17 @@ def test_pipeline_near_duplicates_begin_with_simhash(spark, monkeypatch):
     # without any candidate of the min-wise fingerprints the near pair comes from the index over SimHash bytes
     monkeypatch.setattr(op2_simhash, "_candidates", lambda spanning: lambda batches: (b.select(["key", "i", "j", "sid"] if not spanning else ["key", "sid"]).rename_columns(["key", "i", "j", "sid"] if not spanning else ["src", "dst"]).slice(0, 0) for b in batches))
     assert {r["doc_id"]: r["component_id"] for r in op2_simhash.similar_texts(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_a_worker_keeps_the_tables_of_one_operator():
+    import gc
+    import weakref
+
+    model = op3_quality.QualityModel([("a good text " * k, k % 2) for k in range(1, 40)])
+    words = weakref.ref(bpe.codec(bpe.WordCodec, public_tokenizers.path("word_bpe_49k.json")))
+    rows = weakref.ref(op3_quality.rows_of(model))
+    gc.collect()
+    assert words() is None and rows() is op3_quality.rows_of(model)
+    bpe.codec(bpe.WordCodec, public_tokenizers.path("word_bpe_49k.json"))
+    gc.collect()
+    assert rows() is None
