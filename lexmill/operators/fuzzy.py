@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from lexmill.plans.storage import discard, materialize
+from lexmill.plans.storage import BROADCAST_BYTES, discard, materialize, measured_bytes
 
 #: Titles that hold an n-gram beyond which the n-gram alone is no key.
 HOT_GRAM = 200
@@ -152,7 +152,22 @@ def whole_titles(left: DataFrame, right: DataFrame) -> DataFrame:
     return materialize(inside.unionByName(around).unionByName(same))
 
 
-def close_titles(left: DataFrame, right: DataFrame, least: int = 88, hot: int = HOT_GRAM) -> DataFrame:
+def _of_few(a: DataFrame, b: DataFrame, of_a: DataFrame, of_b: DataFrame, least: int) -> DataFrame:
+    """(a, b, score) of close_titles where the keys of the lefts fit into every task: the keys of a right are looked up where
+    they are made, numbers of titles that share one are all that is shuffled, and pairs of titles are scored unwritten."""
+    lefts = materialize(a.withColumn("i", F.monotonically_increasing_id()))
+    rights = materialize(b.withColumn("j", F.monotonically_increasing_id()))
+    of_i = of_a.join(lefts, "a").select("key", "i")
+    pairs = of_b(rights, "j").join(F.broadcast(of_i), "key").select("i", "j").distinct()
+    spark = a.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # by bytes the numbers would be one task's
+    titled = pairs.repartition(tasks, "j").join(rights.repartition(tasks, "j").hint("merge"), "j").join(F.broadcast(lefts), "i").filter("a != b")
+    out = materialize(titled.select("a", "b", ratios_from(least)("a", "b").alias("score")).filter(F.col("score") >= least))
+    discard(lefts, rights)
+    return out
+
+
+def close_titles(left: DataFrame, right: DataFrame, least: int = 88, hot: int = HOT_GRAM, most: int = BROADCAST_BYTES) -> DataFrame:
     """(a, b, score): the pairs of different titles, from the column `title` of either side, with a partial ratio of
     `least` or more that share an n-gram (10 characters, or 5 where a title is short; lefts under 6 need share none).
 
@@ -160,14 +175,26 @@ def close_titles(left: DataFrame, right: DataFrame, least: int = 88, hot: int =
     that good has, of the d + 1 rarest bigrams of the shorter title, at least one in common, where d is how many it may
     lack. So a phrase that a third of all titles hold makes no pairs of all of them, and none is missed. What is left is
     checked by shared bigrams before Python scores it. Nulls and empty titles match nothing.
+
+    Where the keys of the lefts have at most `most` bytes they are broadcast instead, whatever rights hold them: what is
+    shuffled then grows with the rights, while a hot n-gram with its bigrams makes hundreds of rows a right.
     """
     a = materialize(left.select(F.col("title").alias("a")).filter("length(a) > 0").distinct())
     b = materialize(right.select(F.col("title").alias("b")).filter("length(b) > 0").distinct())
     of_a = a.select("a", F.explode(_keys(F.col("a"), False)).alias("key"))
-    of_b = b.select("b", F.explode(_keys(F.col("b"), True)).alias("key"))
-    if not a.filter("length(a) < 6").isEmpty():
-        of_b = of_b.unionByName(b.select("b", F.lit("").alias("key")))
-    of_b = materialize(of_b.join(of_a.select("key").distinct().hint("merge"), "key", "left_semi"))
+    short = not a.filter("length(a) < 6").isEmpty()
+
+    def of_b(b: DataFrame, name: str) -> DataFrame:
+        keyed = b.select(name, F.explode(_keys(F.col("b"), True)).alias("key"))
+        return keyed.unionByName(b.select(name, F.lit("").alias("key"))) if short else keyed
+
+    same = a.join(b, F.col("a") == F.col("b")).select("a", "b", F.lit(100).alias("score"))
+    if measured_bytes(of_a.select("key", F.lit(0).alias("i"))) <= most and measured_bytes(a) <= most:
+        scored = _of_few(a, b, of_a, of_b, least)
+        out = materialize(scored.unionByName(same))
+        discard(a, b, scored)
+        return out
+    of_b = materialize(of_b(b, "b").join(of_a.select("key").distinct().hint("merge"), "key", "left_semi"))
     wide = of_b.groupBy("key").agg(F.count("*").alias("n")).withColumn("is_hot", (F.col("n") > hot) | (F.col("key") == ""))
     wide = materialize(wide.select("key", "is_hot"))
     seen = b.select(F.explode(_grams(F.col("b"), 2)).alias("part")).groupBy("part").agg(F.count("*").alias("n"))
@@ -189,7 +216,6 @@ def close_titles(left: DataFrame, right: DataFrame, least: int = 88, hot: int =
     # written, or the check below would be made for each shared key, before the pairs are distinct
     found = materialize(found.filter(right_way & (F.col("a") != F.col("b"))).select("a", "b").distinct())
     scored = materialize(found.select("a", "b", ratios_from(least)("a", "b").alias("score")).filter(F.col("score") >= least))
-    same = a.join(b, F.col("a") == F.col("b")).select("a", "b", F.lit(100).alias("score"))
     out = materialize(scored.unionByName(same))
     discard(a, b, of_b, wide, found, scored)
     return out

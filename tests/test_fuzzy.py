@@ -77,3 +77,30 @@ def test_whole_titles_against_every_pair(spark):
     found = [(r["a"], r["b"]) for r in fuzzy.whole_titles(frame(a), frame(b)).collect()]
     want = {(x, y) for x in a for y in b if x and y and (x in y or (y in x and (len(y) >= 5 or len(x) < 6)))}
     assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_close_titles_either_way(spark):
+    rng = random.Random(3)
+    some = lambda: "国家税务总局关于" + "".join(rng.choices("增值税所得印发办法", k=rng.randrange(1, 30)))
+    rights = [some() for _ in range(120)] + ["ab", "x1 y", None]
+    lefts = [t[: rng.randrange(3, 40)] + rng.choice(["", "税", "q"]) for t in rights[:80]] + ["b", "增值税"]
+    want = {(a, b): n for a in set(lefts) for b in set(rights) if b and plain_gate(a, b) and (n := partial_ratio(a, b)) >= 88}
+    frames = [spark.createDataFrame([(t,) for t in x], "title string") for x in (lefts, rights)]
+    for most in (0, 10_000_000):
+        found = [((r["a"], r["b"]), r["score"]) for r in close_titles(*frames, hot=3, most=most).collect()]
+        assert len(found) == len(want) and dict(found) == want
+
+
+def test_few_lefts_write_no_row_for_each_key(spark, monkeypatch):
+    rng, written, real = random.Random(4), [], fuzzy.materialize
+    cited = "".join(rng.choices("abcdefgh ", k=120))
+    rights = [f"{cited} {k} " + "".join(rng.choices("abcdefgh ", k=50)) for k in range(300)]
+
+    def counted(df):
+        out = real(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(fuzzy, "materialize", counted)
+    left, right = (spark.createDataFrame([(t,) for t in x], "title string") for x in ([cited[:40] + cited[44:]], rights))
+    assert close_titles(left, right).count() == 300 and max(written) == 300
