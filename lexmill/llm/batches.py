@@ -1,9 +1,19 @@
 """Small helpers for the Arrow batches that Python tasks receive."""
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
 _held: dict = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+
+
+def give_back() -> None:
+    """Return to the system what Arrow and the C library keep of memory that is no longer used."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def held(key, make):
@@ -13,19 +23,20 @@ def held(key, make):
     """
     if key not in _held:
         _held.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
         _held[key] = make()
     return _held[key]
 
 
 def slices(batches, rows: int = 256):
-    """Record batches cut to at most `rows` rows, so that few texts are Python objects at a time. What Arrow keeps of
-    batches that are done goes back at the end, as the worker waits for other tasks with it."""
+    """Record batches cut to at most `rows` rows, so that few texts are Python objects at a time. The parts are copies, so
+    none holds its batch while the next one is read; what is kept of memory that is done with goes back at the end, as
+    the worker waits for other tasks with it."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+            yield batch if batch.num_rows <= rows else batch.take(np.arange(at, min(at + rows, batch.num_rows)))
         batch = None
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def sorted_groups(batches, keys: list[str], columns: list[str], to_numpy):

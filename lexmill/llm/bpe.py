@@ -234,22 +234,33 @@ class WordCodec:
 
     ODD = ("<|", "Σ", "\x1c", "\x1d", "\x1e", "\x1f")
 
-    def __init__(self, path: str, keep: int = 900_000):
+    def __init__(self, path: str, keep: int = 500_000):
         self.path, self.bpe, self.split, self.keep = path, SegmentTreeBpe(path), regex.compile(WORD_PIECES), keep
         self.words: dict[str, bytes | None] = {}
+        self.before: dict[str, bytes | None] = {}
         self.library = None
 
+    def _unknown(self, words: set[str]) -> set[str]:
+        """The words that are not kept; those of the former generation that are met again move to this one."""
+        new = words.difference(self.words)
+        again = self.before.keys() & new
+        self.words.update((w, self.before.pop(w)) for w in again)
+        return new - again
+
     def learn(self, words: set[str]) -> None:
-        """Keep the ids of words and of their pieces; a piece is a word whose only piece is itself."""
-        if len(self.words) > self.keep:
-            self.words.clear()
+        """Keep the ids of words and of their pieces; a piece is a word whose only piece is itself.
+
+        Two generations of half of `keep` each: when this one is full the former goes, with the words not met since.
+        """
+        if len(self.words) > self.keep // 2:
+            self.before, self.words = self.words, {}
         known = self.words
-        new = words.difference(known)
+        new = self._unknown(words)
         whole = {w for w in new if w.isalpha() and w.isascii()}
         unsure = {w for w in new if not w.isprintable() and "Cn" in map(unicodedata.category, w)}
         known.update(dict.fromkeys(unsure))
         cut = [(w, self.split.findall(w)) for w in new - whole - unsure]
-        pieces = list(whole.union(p for _, ps in cut for p in ps).difference(known))
+        pieces = list(self._unknown(whole.union(p for _, ps in cut for p in ps)))
         known.update(zip(pieces, [array("I", x).tobytes() for x in self.bpe.encode([p.encode() for p in pieces])], strict=True))
         for w, ps in cut:
             known[w] = b"".join([known[p] for p in ps])

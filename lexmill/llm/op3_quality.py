@@ -10,6 +10,7 @@ give a logit; a temperature fitted on a part of the sample kept back turns it in
 import uuid
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.batches import held
+from lexmill.llm.batches import give_back, held
 from lexmill.llm.labelled import labelled_sample, remainder
 
 #: Labelled rows the model is fitted on at most, and the words it has vectors for.
@@ -170,10 +171,14 @@ def scored(docs: DataFrame, model: QualityModel):
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by VOCABULARY * DIMS
 
     @F.arrow_udf("double")
-    def score(text: pa.Array) -> pa.Array:
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        parts = [m.score(text.slice(a, 256).to_pylist(), rows_of(m)) for a in range(0, len(text), 256)]
-        return pa.array(np.concatenate(parts) if parts else [], pa.float64())
+        rows = rows_of(m)
+        for text in texts:
+            parts = [m.score(text.slice(a, 256).to_pylist(), rows) for a in range(0, len(text), 256)]
+            text = None
+            yield pa.array(np.concatenate(parts) if parts else [], pa.float64())
+        give_back()
 
     return score(F.coalesce(F.col("text").cast("string"), F.lit("")))
 

@@ -423,3 +423,29 @@ def test_a_worker_keeps_the_tables_of_one_operator():
     bpe.codec(bpe.WordCodec, public_tokenizers.path("word_bpe_49k.json"))
     gc.collect()
     assert rows() is None
+
+
+def test_the_words_of_a_worker_stay_bounded_and_those_in_use_stay():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    small, whole = bpe.WordCodec(path, keep=400), bpe.WordCodec(path)
+    for k in range(12):
+        texts = ["the income tax, " + " ".join(f"w{k}x{i}" for i in range(40)), "the <|endoftext|> tax", "Σ The"]
+        assert small.encode(texts) == whole.encode(texts)
+        assert "income" in small.words and "tax," in small.words  # met in every batch, so never learnt anew
+        assert not small.words.keys() & small.before.keys()
+    assert small.before and len(small.words) + len(small.before) < len(whole.words)
+
+
+def test_slices_do_not_hold_their_batch():
+    import pyarrow as pa
+
+    from lexmill.llm import batches
+
+    def stream():
+        yield pa.record_batch({"doc_id": list(range(1000)), "text": ["x" * 100] * 1000})
+
+    before, seen, last = pa.total_allocated_bytes(), [], None
+    for last in batches.slices(stream()):
+        seen += last.column("doc_id").to_pylist()
+    assert seen == list(range(1000)) and last.num_rows == 232
+    assert pa.total_allocated_bytes() - before < 60_000  # the last part's rows, not all 1,000
