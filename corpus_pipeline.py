@@ -38,7 +38,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places the documents' pieces in sequences; a null text is empty and takes one token, repeated rows are packed each."""
-    return op5_packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return op5_packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep=500_000)  # beside heaps that earlier stages have grown
 
 
 STAGES = [("quality_classifier", quality_classifier), ("quality_rules", quality_rules), ("line_dedup", line_dedup), ("simhash_near_dedup", simhash_near_dedup), ("best_fit_packing", best_fit_packing)]

@@ -234,7 +234,7 @@ class WordCodec:
 
     ODD = ("<|", "Σ", "\x1c", "\x1d", "\x1e", "\x1f")
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 1_200_000):
         self.path, self.bpe, self.split, self.keep = path, SegmentTreeBpe(path), regex.compile(WORD_PIECES), keep
         self.words: dict[str, bytes | None] = {}
         self.before: dict[str, bytes | None] = {}
@@ -290,6 +290,6 @@ class WordCodec:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def codec(kind: type, path: str):
+def codec(kind: type, path: str, **bounds):
     """One codec per worker process, kept between tasks."""
-    return held((kind, path), lambda: kind(path))
+    return held((kind, path, *bounds.items()), lambda: kind(path, **bounds))
