@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import identifiers as I
-from lexmill.operators.fuzzy import close_titles, whole_titles
+from lexmill.operators.closest import closest_titles, likely_titles
+from lexmill.operators.fuzzy import whole_titles
 from lexmill.plans.storage import discard, materialize
 
 #: Least partial ratios: for cited titles, for objects of repeal, for titles in an official catalogue.
@@ -25,7 +26,8 @@ def best_titles(mentions: DataFrame, docs: DataFrame) -> DataFrame:
     Where `acts` is set, statutes are passed over, as no other document repeals them; so are interpretations, wherever
     the key isn't that of one. Equal keys are matched once, and equal titles stand as one with their two smallest ids,
     enough for any src, so a title that a third of all documents have is one row. Keys that are, hold or stand in whole
-    titles are settled first, by one rare n-gram each; close titles are searched for the others alone.
+    titles are settled first, by one rare n-gram each; the closest titles are searched for the others alone, from the score
+    of a likely one on.
     """
     by_title = Window.partitionBy("key").orderBy("doc_id")
     holders = docs.filter("key != ''").select("key", "doc_id").withColumn("nth", F.row_number().over(by_title)).filter("nth <= 2").drop("nth")
@@ -48,7 +50,18 @@ def best_titles(mentions: DataFrame, docs: DataFrame) -> DataFrame:
     alone = F.max(F.coalesce(F.col("src") == F.col("top")[0]["doc_id"], F.lit(False))) & (F.size(F.first("top")) < 2)
     whole = materialize(mentions.select("key", "acts", "src").join(whole.hint("merge"), ["key", "acts"]).groupBy("key", "acts").agg(F.first("top").alias("top"), alone.alias("alone")).filter("not alone").drop("alone"))
     rest = materialize(wanted.join(whole.select("key", "acts").hint("merge"), ["key", "acts"], "left_anti"))
-    top = whole.unionByName(best(rest, close_titles(rest.select(F.col("key").alias("title")), titles, least)))
+    likely = likely_titles(rest.select(F.col("key").alias("title")), titles, least)
+    # for every src some document is known with the score from which the best are searched for
+    known = best(rest, likely.filter("score is not null"))
+    other = F.get(F.filter("top", lambda t: F.coalesce(t["doc_id"] != F.col("src"), F.lit(True))), 0)["score"]
+    asked = mentions.select("key", "acts", "src", "least").join(rest.hint("merge"), ["key", "acts"]).join(known.hint("merge"), ["key", "acts"], "left")
+    asked = asked.groupBy("key", "acts").agg(F.greatest(F.min("least"), F.min(F.coalesce(other, F.lit(0)))).alias("least"))
+    bars = F.when(F.col("acts"), 1).otherwise(0) + F.when(F.contains("key", F.lit("解读")), 0).otherwise(2)
+    lefts = asked.join(likely.select(F.col("a").alias("key")).distinct().hint("merge"), "key", "left_semi").select(F.col("key").alias("a"), bars.alias("bars"), "least")
+    marks = F.when(F.col("b").rlike(I.STATUTE), 1).otherwise(0) + F.when(I.interprets(F.col("b")), 2).otherwise(0)
+    rights = holders.filter("doc_id is not null").groupBy(F.col("key").alias("b")).agg(F.min("doc_id").alias("rank")).select("b", marks.alias("marks"), "rank")
+    closest = closest_titles(materialize(lefts), materialize(rights)).groupBy("a", "b").agg(F.max("score").alias("score"))
+    top = whole.unionByName(best(rest, closest))
     joined = mentions.join(top.hint("merge"), ["key", "acts"], "left").withColumn("top", F.get(F.filter("top", lambda t: F.coalesce(t["doc_id"] != F.col("src"), F.lit(True))), 0))
     enough = F.col("top.score") >= F.col("least")
     return joined.withColumn("dst", F.when(enough, F.col("top.doc_id"))).withColumn("score", F.when(enough, F.col("top.score"))).drop("top")
