@@ -1,8 +1,9 @@
 """Search over a written index of character 3-grams with their places.
 
-The index is two tables. `postings` has a row for each gram, column, document and block of BLOCK characters, with the
-places in the block as differences from its start, so rows are short however long a text is; files are laid out by the
-first character of the gram, so a term reads a few folders and, in them, the row groups of its grams. `documents` has the
+The index is two tables. `postings` has a row for each gram, column and stretch of some SLICE characters of texts, with the
+documents and blocks of BLOCK characters that hold the gram and its places in each as differences from the block's start, so
+rows are short however long a text or a table is; they are written where they are made, so nothing but them goes to disk. Files are laid
+out by the first character of the gram, so a term reads a few folders and, in them, the row groups of its grams. `documents` has the
 length of each document and whatever queries filter and sort by. A change is a generation, a folder of its own in both
 tables; of a document the highest generation counts. A change that is played again writes the same folder anew.
 
@@ -11,18 +12,24 @@ one is the beginning of grams, as the last places of a text have grams of what i
 """
 
 from dataclasses import dataclass, field
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-N, BLOCK, PARTS = 3, 4096, 64
+from lexmill.plans.storage import discard, join_checked, materialize
+
+N, BLOCK, SLICE, PARTS = 3, 4096, 1 << 20, 64
+#: Bytes of texts that a task posts, more or less; it writes a file for each of PARTS.
+TASK_BYTES = 64_000_000
 #: Weights of a hit in title, number, issuer, text and keywords, and the constants of BM25.
 WEIGHTS = {"title": 12.0, "number": 8.0, "issuer": 4.0, "text": 1.0, "keywords": 2.0}
 K1, B = 1.2, 0.75
 LIKE_COLUMNS = ("title", "text")
-_POSTINGS = "gram string, field int, doc_id long, block long, places array<smallint>, generation int, part int"
+_POSTED = "gram string, field int, postings struct<docs:array<long>,blocks:array<long>,upto:array<int>,places:array<smallint>>"
+_POSTINGS = f"{_POSTED}, generation int, part int"
 SORTS = {
     "date_asc": lambda: [F.col("day").asc(), F.col("doc_id").asc()],
     "date_desc": lambda: [F.col("day").desc(), F.col("doc_id").desc()],
@@ -39,10 +46,43 @@ def _length(x: Column) -> Column:
     return F.length(F.coalesce(x, F.lit("")))
 
 
+def _slices(batch):
+    """A batch in parts of some SLICE characters, whole blocks each."""
+    upto = np.cumsum(batch.column("n").to_numpy().astype(np.int64)) // SLICE
+    cuts = [0, *(np.flatnonzero(upto[1:] != upto[:-1]) + 1).tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
+
+
+def _packed(batches):
+    """The blocks of _gram_places as rows (gram, field, postings), one for each gram and field of a slice: `docs` and `blocks` that
+    hold it, in order, `upto` the number of places up to each one's end, and all `places`."""
+    for b in _gram_places(batches):
+        if not b.num_rows:
+            continue
+        key = b.column("gram").dictionary_encode().indices.to_numpy().astype(np.int64) * len(WEIGHTS) + b.column("field").to_numpy()
+        order = np.argsort(key, kind="stable")
+        key, b = key[order], b.take(pa.array(order))
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        each, at = np.r_[first, len(key)], b.column("places").offsets.to_numpy()
+        upto = at[1:] - np.repeat(at[first], np.diff(each))
+        lists = lambda values, ends=each: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        cells = [lists(b.column("doc_id")), lists(b.column("block")), lists(pa.array(upto, pa.int32())), lists(b.column("places").values, at[each])]
+        rows = pa.array(first)
+        yield pa.RecordBatch.from_arrays([b.column("gram").take(rows), b.column("field").take(rows), pa.StructArray.from_arrays(cells, ["docs", "blocks", "upto", "places"])], ["gram", "field", "postings"])
+
+
+def _each_posting(*columns: str) -> list:
+    """The columns, and `p`, struct<doc_id, block, places>, for each document and block of a row of postings."""
+    of = lambda name: F.col(f"postings.{name}")
+    before = lambda i: F.coalesce(F.get(of("upto"), i - 1), F.lit(0))
+    one = lambda i: F.struct(F.get(of("docs"), i).alias("doc_id"), F.get(of("blocks"), i).alias("block"), F.slice(of("places"), before(i) + 1, F.get(of("upto"), i) - before(i)).alias("places"))
+    return [*columns, F.explode(F.transform(F.sequence(F.lit(0), F.size(of("docs")) - 1), one)).alias("p")]
+
+
 def _gram_places(batches):
     """Blocks (doc_id, field, block, x, n) as rows (gram, field, doc_id, block, places), for the first n places of x; the last
     grams of a text are what is left of it."""
-    for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+    for batch in (part for b in batches for part in _slices(b)):
         texts = batch.column("x").to_pylist()
         chars = np.frombuffer("".join(t + "\0" * (N - 1) for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + 1
         size, n = np.array([len(t) for t in texts], np.int64), batch.column("n").to_numpy().astype(np.int64)
@@ -71,9 +111,16 @@ def append(docs: DataFrame, path: str, generation: int, deleted: DataFrame | Non
     least counts, in the order of their texts.
     """
     order = [F.col(c).asc_nulls_first() for c in [*WEIGHTS, *sorted(set(docs.columns) - {"doc_id", *WEIGHTS})]]
-    one = docs.filter("doc_id is not null").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).filter("_nth = 1").drop("_nth")
+    docs = docs.filter("doc_id is not null")
+    least = lambda rows: rows.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).filter("_nth = 1").drop("_nth")
+    # a task sorts what it writes, so its share is bounded, or tasks would spill as much as the tables are large
+    length = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    one = least(docs.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, ceil(length / TASK_BYTES)), "doc_id"))
+    # of the other columns only rows that share a doc_id are sorted, so that texts are not shuffled once more
+    twice = materialize(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    alone = docs if twice.isEmpty() else join_checked(docs, twice, "doc_id", "left_anti").unionByName(least(join_checked(docs, twice, "doc_id", "left_semi")))
     size = sum((F.greatest(_length(F.col(c)) - (N - 1), F.lit(0)) for c in WEIGHTS), F.lit(0))
-    kept = one.select("doc_id", F.lit(False).alias("gone"), size.cast("long").alias("size"), *[c for c in docs.columns if c not in ("doc_id", "text")])
+    kept = alone.select("doc_id", F.lit(False).alias("gone"), size.cast("long").alias("size"), *[c for c in docs.columns if c not in ("doc_id", "text")])
     if deleted is not None:
         deleted = deleted.join(kept.select("doc_id"), "doc_id", "left_anti")
         kept = kept.unionByName(deleted.select("doc_id", F.lit(True).alias("gone")).distinct(), allowMissingColumns=True)
@@ -82,11 +129,12 @@ def append(docs: DataFrame, path: str, generation: int, deleted: DataFrame | Non
     # blocks of a text are rows before its places are, so that no row holds all of a long text's grams
     blocks = cells.select("doc_id", "f.field", "f.x", F.explode(F.sequence(F.lit(0), F.floor((F.length("f.x") - 1) / BLOCK))).alias("block"))
     blocks = blocks.select("doc_id", "field", "block", F.substring("x", (F.col("block") * BLOCK + 1).cast("int"), F.lit(BLOCK + N - 1)).alias("x"), F.least(F.lit(BLOCK), F.length("x") - F.col("block") * BLOCK).cast("int").alias("n"))
-    # a block is one row, so its places are put together where it is, without a shuffle
-    rows = blocks.select("doc_id", "field", "block", "x", "n").mapInArrow(_gram_places, "gram string, field int, doc_id long, block long, places array<smallint>")
-    rows = rows.select(_part(F.col("gram")).alias("part"), "gram", "field", "doc_id", "block", "places")
-    rows.hint("rebalance", "part").sortWithinPartitions("part", "gram", "field", "doc_id").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings/generation={generation}")
+    # a block is one row, so its places are put together where it is, and sorted and written there, without a shuffle
+    rows = blocks.select("doc_id", "field", "block", "x", "n").mapInArrow(_packed, _POSTED)
+    rows = rows.select(_part(F.col("gram")).alias("part"), "gram", "field", "postings")
+    rows.sortWithinPartitions("part", "gram", "field").write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(f"{path}/postings/generation={generation}")
     kept.write.mode("overwrite").parquet(f"{path}/documents/generation={generation}")
+    discard(twice)
 
 
 @dataclass
@@ -128,14 +176,15 @@ def occurrences(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
         folders = grams.select(_part(F.col("gram")).alias("part")).distinct()
         parts = sorted(r["part"] for r in folders.collect())
         rows = postings.filter(F.col("part").isin(parts) & F.col("gram").isin(sorted({x[1] for x in wanted}))).join(F.broadcast(grams), "gram")
-        starts = rows.select("term", "doc_id", "generation", "field", F.explode("places").alias("at"), "block", "shift").withColumn("start", F.col("block") * BLOCK + F.col("at") - F.col("shift"))
+        starts = rows.select(*_each_posting("term", "generation", "field", "shift")).select("term", "p.doc_id", "generation", "field", F.explode("p.places").alias("at"), "p.block", "shift").withColumn("start", F.col("block") * BLOCK + F.col("at") - F.col("shift"))
         whole = starts.groupBy("term", "doc_id", "generation", "field", "start").agg(F.count("*").alias("got")).join(F.broadcast(need), "term").filter("got = need")
         found.append(whole.groupBy("term", "doc_id", "generation", "field").agg(F.count("*").alias("n")))
     for i, w in enumerate(words):
         if len(w) < N:
             part = spark.range(1).select(_part(F.lit(w))).first()[0]
             rows = postings.filter((F.col("part") == part) & F.startswith("gram", F.lit(w)))
-            found.append(rows.groupBy("doc_id", "generation", "field").agg(F.sum(F.size("places")).alias("n")).select(F.lit(i).alias("term"), "doc_id", "generation", "field", "n"))
+            rows = rows.select(*_each_posting("generation", "field")).select("p.doc_id", "generation", "field", F.size("p.places").alias("n"))
+            found.append(rows.groupBy("doc_id", "generation", "field").agg(F.sum("n").alias("n")).select(F.lit(i).alias("term"), "doc_id", "generation", "field", "n"))
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)

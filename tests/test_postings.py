@@ -118,3 +118,17 @@ def test_a_block_is_posted_where_it_is():
         for at in range(n):
             want.setdefault((i, t[at : at + 3]), []).append(at + 1)
     assert found == want
+
+
+def test_postings_are_rows_of_grams_not_of_documents(spark, tmp_path):
+    """Copies of a text add places, not rows, to the index, and nothing but texts is shuffled for it."""
+    rows, frame = documents(spark, 400)
+    text = "增值税优惠 the abcabc" * 3
+    same = frame.withColumn("text", F.lit(text))
+    P.append(same, f"file://{tmp_path}/index", 0)
+    held = spark.read.schema(P._POSTINGS).parquet(f"file://{tmp_path}/index/postings").filter("field = 3")
+    grams = {text[i : i + 3] for i in range(len(text))}
+    assert held.select("gram").distinct().count() == len(grams) and held.count() <= len(grams) * 4
+    assert held.agg(F.sum(F.size("postings.places"))).first()[0] == 400 * len(text) and held.agg(F.sum(F.size("postings.docs"))).first()[0] == 400 * len(grams)
+    hits = P.occurrences(spark, f"file://{tmp_path}/index", ["abcab", "the", "惠 "]).filter("field = 3").groupBy("term").agg(F.count("*").alias("docs"), F.min("n").alias("least"), F.max("n").alias("most"))
+    assert {r["term"]: (r["docs"], r["least"], r["most"]) for r in hits.collect()} == {0: (400, 3, 3), 1: (400, 3, 3), 2: (400, 3, 3)}
